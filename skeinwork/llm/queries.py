@@ -14,6 +14,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.source_mix import mix_sources
 
@@ -21,6 +27,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.hamming_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op4_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.histogram_shard import shard_documents
 
@@ -34,15 +46,39 @@ def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.line_crf import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.exact_dedup import duplicate_groups
 
     return duplicate_groups(core(table(spark, sf_dir, "documents"))).withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_histogram_shard, op5_best_fit_pack, op9_exact_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_source_mix, op3_hamming_topk, op4_histogram_shard, op5_best_fit_pack, op7_line_crf, op9_exact_dedup, op10_toxicity)
+}
 
 ORACLE_SQL = {
+    "op3_hamming_topk": """
+        WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
+              CAST(list_sum(list_transform(list_zip(q.b, v.b), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+              FROM bits q, bits v WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance
+        FROM d QUALIFY rank <= 10""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
         g AS (SELECT norm, count(*) AS group_size, min_by(doc_id, struct_pack(a := -n, b := doc_id)) AS keep_id FROM d GROUP BY norm)
