@@ -4,10 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skeinwork.llm.best_fit_pack import pack_documents
 from skeinwork.llm.common import stored, table
+from skeinwork.llm.exact_dedup import deduplicate
+from skeinwork.llm.ngram_join import without_near_copies
+from skeinwork.llm.queries import tokenizer_path
+from skeinwork.llm.source_mix import mixed_documents
+from skeinwork.llm.toxicity import fit_toxicity, without_toxic
 
-STAGES = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on the labelled ones, doesn't find toxic."""
+    return without_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; a row is there once for each time."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact-dedup", drop_copies), ("near-copies", drop_near_copies), ("mix", mix), ("pack", pack)]
+
+#: The stages use trained weights, hashes and a tokenizer, which SQL doesn't have.
 ORACLE_SQL = None
 
 

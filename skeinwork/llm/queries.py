@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm.common import core, table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -43,7 +43,7 @@ def op4_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.best_fit_pack import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.exact_dedup import duplicate_groups
 
@@ -68,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mix, op3_hamming_topk, op4_histogram_shard, op5_best_fit_pack, op7_line_crf, op9_exact_dedup, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mix, op3_hamming_topk, op4_histogram_shard, op5_best_fit_pack, op7_line_crf, op8_ngram_join, op9_exact_dedup, op10_toxicity)
 }
 
 ORACLE_SQL = {
