@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import text_hash as th
+from skeinwork.llm.blobs import PER_TASK, Dealer, shared_pairs
 from skeinwork.llm.common import core, stored
 from skeinwork.llm.components import components
 
@@ -20,16 +21,10 @@ NEED, PARTS = 80, 100
 EXTRA = 0.05
 #: Counts of the most frequent tokens that the orders know; all others count as rare.
 FREQUENT, LEAST_IN_BATCH = 1 << 18, 2
-#: A key that so many sets of one task share is passed on at once, so no task gathers a hot one.
-HOT_IN_TASK = 64
-#: Prefix tokens a map task holds, and a reducing one is meant to.
-HELD, PER_TASK = 1 << 21, 1 << 21
 #: Tokens of a block that are verified together; larger blocks are verified in pairs of parts.
 BLOCK_TOKENS = 1 << 22
 ORDERS = (0x1234567, 0x7654321, 0x3C6EF35F)
 
-_PAIR = np.dtype([("key", "<u8"), ("c", "<u8")])
-
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     """Tokens a set of n shares with any set it links to."""
@@ -118,67 +113,20 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(token[some].view(np.int64)), pa.array(times[some].astype(np.int64))], names)
 
 
-def _blobs(pairs: np.ndarray, dest: np.ndarray, direct: bool) -> Iterator[tuple[int, bool, bytes]]:
-    by = np.argsort(dest, kind="stable")
-    pairs, dest = pairs[by], dest[by]
-    at = np.flatnonzero(np.diff(dest, prepend=-1))
-    for a, b in zip(at, [*at[1:], len(dest)]):
-        yield int(dest[a]), direct, pairs[a:b].tobytes()
-
-
 def _prefixes(orders, parts: int):
-    """Prefix tokens under the first order, as blobs of (key, class) for the tasks that join them.
-
-    A key that many classes of the task share is certain to be shared: those rows go on as
-    they are (direct), and two of them stand for the rest where the key is joined.
-    """
-
-    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(held))
-        start = np.flatnonzero(np.concatenate([[True], pairs["key"][1:] != pairs["key"][:-1]]))
-        size = np.diff(np.append(start, len(pairs)))
-        hot = np.repeat(size >= HOT_IN_TASK, size)
-        stand = hot & (np.arange(len(pairs)) - np.repeat(start, size) < 2)
-        out = [*_blobs(p := pairs[~hot | stand], (p["key"] % np.uint64(parts)).astype(np.int64), False), *_blobs(p := pairs[hot & ~stand], (p["c"] % np.uint64(parts)).astype(np.int64), True)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["part", "direct", "pairs"])
+    """Prefix tokens under the first order with their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = orders.value
-        held, count = [], 0
+        known, dealer = orders.value, Dealer(parts)
         for batch in batches:
             for x in shingle_sets(batch.column(1)):
                 if len(x):
-                    key = known.prefix(x, 0)
-                    rows = np.empty(len(key), _PAIR)
-                    rows["key"], rows["c"] = key, np.int64(_class(signature(x))).view(np.uint64)
-                    held.append(rows)
-                    count += len(key)
-                    if count >= HELD:
-                        yield emit(held)
-                        held, count = [], 0
-        if held:
-            yield emit(held)
+                    yield from dealer.add(known.prefix(x, 0), _class(signature(x)))
+        yield from dealer.end()
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c) of the keys that two classes or more have in their prefixes."""
-    joined, direct = [], []
-    for batch in batches:
-        for straight, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            (direct if straight else joined).append(np.frombuffer(blob, _PAIR))
-    out = np.concatenate(direct) if direct else np.zeros(0, _PAIR)
-    if joined:
-        pairs = np.unique(np.concatenate(joined))
-        start = np.flatnonzero(np.concatenate([[True], pairs["key"][1:] != pairs["key"][:-1]]))
-        size = np.diff(np.append(start, len(pairs)))
-        out = np.concatenate([out, pairs[np.repeat(size > 1, size)]])
-    for i in range(0, len(out), 1 << 16):
-        part = out[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part["key"].view(np.int64)), pa.array(part["c"].view(np.int64))], ["key", "c"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The token sets of the wanted classes; a row of another text under the same doc_id is left out."""
     for batch in batches:
@@ -297,8 +245,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     3. The sets of the blocks' classes are fetched once; within a block, candidates must share
        enough prefix tokens under every one of several orders before their overlap is counted.
        A block beyond BLOCK_TOKENS is cut into parts, each pair of which is a task.
-    No pairs are listed: tasks report links that join components. Hot tokens are split by
-    HOT_IN_TASK, groups of equal sets by their class.
+    No pairs are listed: tasks report links that join components. A hot token's rows bypass
+    the task that joins it, groups of equal sets by their class.
 
     A null or empty text, or one of blanks, has no shingles, is linked with nothing and its
     component is its own doc_id. Rows with a null doc_id get a null component and link nothing
@@ -319,8 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     total = light.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (3 * PER_TASK)))
-    shared = docs.mapInArrow(_prefixes(orders, parts), "part int, direct boolean, pairs binary").repartition(parts, "part").mapInArrow(_shared, "key long, c long")
-    live = stored(shared, "join-shared")
+    live = stored(shared_pairs(docs, _prefixes(orders, parts), parts), "join-shared")
     wanted = F.least(F.floor(F.lit(EXTRA) * F.ceil(F.lit(NEED) * F.col("n") / PARTS)) + 1, F.col("n"))
     sizes = classes.groupBy("c").agg(F.min(wanted).alias("wanted"))
     for _ in range(2):

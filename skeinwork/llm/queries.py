@@ -46,6 +46,12 @@ def op5_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skeinwork.llm.substring_fm import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skeinwork.llm.line_crf import fit_quality, score_quality
 
@@ -74,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_source_mix, op3_hamming_topk, op4_histogram_shard, op5_best_fit_pack, op7_line_crf, op8_ngram_join, op9_exact_dedup, op10_toxicity)
+    for f in (op1_secret_scan, op2_source_mix, op3_hamming_topk, op4_histogram_shard, op5_best_fit_pack, op6_substring_fm, op7_line_crf, op8_ngram_join, op9_exact_dedup, op10_toxicity)
 }
 
 ORACLE_SQL = {
