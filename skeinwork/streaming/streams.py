@@ -19,7 +19,7 @@ def event_stream(spark: SparkSession, folder: str, like: DataFrame, per_trigger:
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and sums of each type in tumbling windows; events later than the watermark are left out."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
