@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.llm import text_hash as th
@@ -18,9 +18,9 @@ WORDS = 5
 #: Two sets link when PARTS * intersection >= NEED * union.
 NEED, PARTS = 80, 100
 #: Prefixes are this share of a set longer than one shared token asks for, and must share as many tokens more.
-EXTRA = 0.05
+EXTRA = 0.1
 #: Counts of the most frequent tokens that the orders know; all others count as rare.
-FREQUENT, LEAST_IN_BATCH = 1 << 18, 2
+FREQUENT, LEAST_IN_BATCH = 1 << 21, 2
 #: Tokens of a block that are verified together; larger blocks are verified in pairs of parts.
 BLOCK_TOKENS = 1 << 22
 ORDERS = (0x1234567, 0x7654321, 0x3C6EF35F)
@@ -181,6 +181,8 @@ def linked(sets: list[np.ndarray], known: Orders, left: np.ndarray | None = None
             near &= PARTS * both >= NEED * (n[a] + n[members] - both)
         return members[near]
 
+    if left is not None and not (left.any() and (~left).any()):
+        return parent
     if left is not None:
         index, open_ = index_of(np.flatnonzero(~left)), ~left
         for a in np.flatnonzero(left):
@@ -241,7 +243,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
        of one set form a class, which stands for them all from here on.
     2. Each class's prefix under a global order (rare tokens first) is dealt by token. A linked
        class shares several prefix tokens with its partner, so classes with fewer shared ones
-       are dropped, twice. What still shares a token forms a block.
+       are dropped, and of the others' shared tokens only the rarest, by their exact number of
+       classes, propose candidates. What still shares a token forms a block.
     3. The sets of the blocks' classes are fetched once; within a block, candidates must share
        enough prefix tokens under every one of several orders before their overlap is counted.
        A block beyond BLOCK_TOKENS is cut into parts, each pair of which is a task.
@@ -270,17 +273,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     live = stored(shared_pairs(docs, _prefixes(orders, parts), parts), "join-shared")
     wanted = F.least(F.floor(F.lit(EXTRA) * F.ceil(F.lit(NEED) * F.col("n") / PARTS)) + 1, F.col("n"))
     sizes = classes.groupBy("c").agg(F.min(wanted).alias("wanted"))
-    for _ in range(2):
-        kept = live.groupBy("c").count().join(sizes, "c").filter("count >= wanted").select("c")
-        live = live.join(kept, "c", "left_semi")
-        many = live.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
-        live = stored(live.join(many.select("key"), "key", "left_semi"), "join-live")
+    kept = live.groupBy("c").count().join(sizes, "c").filter("count >= wanted").select("c")
+    live = stored(live.join(kept, "c", "left_semi").distinct(), "join-live")
+    # Linked classes share `wanted` of these keys, so one at least that isn't among either's most frequent ones.
+    frequency = live.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    by_class = Window.partitionBy("c")
+    ranked = live.join(frequency, "key").join(sizes, "c").withColumns({"place": F.row_number().over(by_class.orderBy("df", "key")), "keys": F.count("*").over(by_class)})
+    live = stored(ranked.filter("place <= keys - wanted + 1").select("key", "c"), "join-live")
     stars = live.groupBy("key").agg(F.min("c").alias("a"))
     blocks = components(live.join(stars, "key").select("a", F.col("c").alias("b")).filter("a <> b").distinct())
 
     members = stored(classes.join(blocks.select(F.col("node").alias("c"), F.col("label").alias("block")), "c").select("sig", "rep", "n", "block"), "join-members")
     cuts = members.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("classes")).filter("classes > 1").select("block", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("cuts"))
-    fetched = docs.join(members.join(cuts.select("block"), "block", "left_semi").select(F.col("rep").alias("doc_id"), "sig", "block"), "doc_id").select("text", "sig", F.col("doc_id").alias("rep"), "block")
+    fetched = docs.hint("merge").join(members.join(cuts.select("block"), "block", "left_semi").select(F.col("rep").alias("doc_id"), "sig", "block"), "doc_id").select("text", "sig", F.col("doc_id").alias("rep"), "block")
     sets = stored(fetched.mapInArrow(_sets, "sig binary, rep long, block long, tokens binary"), "join-sets")
     # Part p of a block of k parts meets each part q in the task (min, max).
     dealt = sets.join(cuts, "block").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
