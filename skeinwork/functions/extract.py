@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ _AMOUNT = r"(?i)([$€£])\s?(\d+(?:\.\d+)?)\s?(million|billion|mn|mm|bn|m|b)?\b
 NOBODY = ("the", "a", "an", "startup", "company", "firm", "plan", "plans")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def entity(raw: Column) -> Column:
     """A name in lower case with single blanks; null if it names nobody."""
     name = F.lower(F.trim(F.regexp_replace(raw, "[^A-Za-z0-9]+", " ")))
@@ -37,15 +44,19 @@ def funding_entity(text: Column | str, possessive: bool = False) -> Column:
 
 def amount(text: Column | str) -> Column:
     """struct(currency, value, scale) of the first amount after a funding verb, else of the last one."""
-    x = col(text)
+    return let(let(col(text), _chosen_amount), _amount_parts)
+
+
+def _chosen_amount(x: Column) -> Column:
     verb = F.regexp_instr(x, F.lit(rf"(?i)\b{_RAISES}\b"))
     after = F.regexp_extract(F.when(verb > 0, F.substr(x, verb)), _AMOUNT, 0)
     last = F.try_element_at(F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(0)), F.lit(-1))
-    chosen = F.coalesce(F.nullif(after, F.lit("")), last)
-    value = F.regexp_replace(F.regexp_extract(chosen, _AMOUNT, 2), r"^0+(?=\d)", "")
-    value = F.when(value.contains("."), F.regexp_replace(F.regexp_replace(value, "0+$", ""), r"\.$", "")).otherwise(value)
-    scale = F.lower(F.regexp_extract(chosen, _AMOUNT, 3))
-    scale = F.when(scale.isin("mn", "mm", "million"), "m").when(scale.isin("bn", "billion"), "b").otherwise(scale)
+    return F.coalesce(F.nullif(after, F.lit("")), last)
+
+
+def _amount_parts(chosen: Column) -> Column:
+    value = let(F.regexp_replace(F.regexp_extract(chosen, _AMOUNT, 2), r"^0+(?=\d)", ""), lambda v: F.when(v.contains("."), F.regexp_replace(F.regexp_replace(v, "0+$", ""), r"\.$", "")).otherwise(v))
+    scale = let(F.lower(F.regexp_extract(chosen, _AMOUNT, 3)), lambda s: F.when(s.isin("mn", "mm", "million"), "m").when(s.isin("bn", "billion"), "b").otherwise(s))
     return F.when(chosen.isNotNull(), F.struct(F.regexp_extract(chosen, _AMOUNT, 1).alias("currency"), value.alias("value"), scale.alias("scale")))
 
 
@@ -105,19 +116,27 @@ def program(text: Column | str) -> Column:
 
 def funding_key(title: Column | str, preview: Column | str, published: Column | str) -> Column:
     """struct(entity, amount, round, published) or null where entity, amount or date is missing."""
-    head = without_labels(title)
-    text = F.trim(F.concat_ws(" ", head, col(preview)))
-    who = F.coalesce(funding_entity(head), funding_entity(F.coalesce(col(preview), F.lit(""))), funding_entity(text))
-    key = F.struct(who.alias("entity"), amount(text).alias("amount"), round_marker(text).alias("round"), F.to_date(col(published)).alias("published"))
-    return F.when(who.isNotNull() & amount(text).isNotNull() & col(published).isNotNull(), key)
+    day = F.to_date(col(published))
+
+    def of(t: Column) -> Column:
+        who = F.coalesce(funding_entity(t["head"]), funding_entity(t["preview"]), funding_entity(t["text"]))
+        key = F.struct(who.alias("entity"), amount(t["text"]).alias("amount"), round_marker(t["text"]).alias("round"), day.alias("published"))
+        return let(key, lambda k: F.when(k["entity"].isNotNull() & k["amount"].isNotNull() & k["published"].isNotNull(), k))
+
+    head, tail = without_labels(title), F.coalesce(col(preview), F.lit(""))
+    return let(F.struct(head.alias("head"), tail.alias("preview"), F.trim(F.concat_ws(" ", head, tail)).alias("text")), of)
 
 
 def deployment_key(title: Column | str, preview: Column | str, published: Column | str) -> Column:
     """struct(pair, entity, quantity, product, published); null where it would name too little."""
     text = F.trim(F.concat_ws(" ", col(title), col(preview)))
-    pair, who, many, product = deployment_pair(text), deployer(title), quantity(text), program(text)
-    enough = (pair.isNotNull() | who.isNotNull()) & (many.isNotNull() | product.isNotNull()) & (pair.isNotNull() | product.isNotNull())
-    return F.when(enough & col(published).isNotNull(), F.struct(pair.alias("pair"), who.alias("entity"), many.alias("quantity"), product.alias("product"), F.to_date(col(published)).alias("published")))
+    parts = let(text, lambda x: F.struct(deployment_pair(x).alias("pair"), deployer(title).alias("entity"), quantity(x).alias("quantity"), program(x).alias("product"), F.to_date(col(published)).alias("published")))
+
+    def enough(k: Column) -> Column:
+        pair, product = k["pair"].isNotNull(), k["product"].isNotNull()
+        return F.when((pair | k["entity"].isNotNull()) & (k["quantity"].isNotNull() | product) & (pair | product) & k["published"].isNotNull(), k)
+
+    return let(parts, enough)
 
 
 def same_funding(a: Column, b: Column, days: int = 3) -> Column:
