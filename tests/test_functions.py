@@ -148,3 +148,24 @@ def test_summaries():
     assert summary.summarise(None, None) is None
     assert summary.sanitised("It was cut off and") is None
     assert summary.trim_sentence(" ".join(["the"] * 40)) == "the."
+
+
+def test_items(spark):
+    from skeinwork.sources import items
+
+    base = {"kind": "rss", "layer": "direct", "is_wrapper": False, "enabled": True, "parser": "p", "url": "https://a.org", "priority": 5}
+    dim = registry.sources(spark, [{"id": "a", "name": "A", "is_direct_source": True, **base, "parser_hint": "x", "tags": ["t", "u"]}, {"id": "b", "name": "B", "is_direct_source": False, **base}])
+    raw = spark.createDataFrame([("a", " https://A.org/x?utm_id=1#y ", " A  title ", "s\n s", "e1"), ("b", "https://b.org/1", "B", None, None), ("a", "nowhere", "C", None, None), ("a", "https://a.org/2", " ", None, None)], "source_id string, url string, title string, snippet string, external_id string").withColumn("published_ts", F.lit(None).cast("timestamp"))
+    got = {r["source_id"]: r for r in items.normalized(raw, dim).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["canonical_url"] == "https://A.org/x" and got["a"]["domain"] == "a.org" and got["a"]["title"] == "A title" and got["a"]["text_preview"] == "s s"
+    assert got["a"]["directness_rank"] == 100 and got["b"]["directness_rank"] == 10 and got["a"]["metadata"] == {"external_id": "e1", "parser": "p", "tags": "t,u", "parser_hint": "x"}
+    over = spark.createDataFrame([('{"2024-W05": [{"id": "1", "title": "T", "url": "https://x.org"}, {"id": "2", "title": "U", "url": "x"}]}',), ("{",)], "value string")
+    assert [(r["id"], r["score"]) for r in items.overrides(over, "2024-W05").collect()] == [("1", 100)]
+
+
+@pytest.mark.parametrize("title, preview, wanted", [
+    ("Acme launches Spot robot for sites", None, ("acme", "spot robot")), ("Acme unveils something", "It shows its new Atlas Pro platform today.", ("acme", "atlas pro platform")), ("Acme launches robots", None, None), ("Nobody here", "its Atlas platform", None),
+])
+def test_launch_key(spark, title, preview, wanted):
+    got = one(spark, extract.launch_key("t", "p"), t=title, p=preview)
+    assert (tuple(got) if got else None) == wanted
