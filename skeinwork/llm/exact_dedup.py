@@ -71,20 +71,21 @@ def duplicate_groups(docs: DataFrame, digest=sha256) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns.
+    """The rows of docs that stay, with docs' own columns; ties as in duplicate_groups.
 
-    The row is carried through the same combining as a struct next to its content, so rows
-    that share a doc_id are told apart.
+    Whole rows move once, to learn whether their digest repeats; rows of repeated digests are
+    then combined by content. A row is known by its number in the written table, so rows that
+    share a doc_id are told apart.
     """
-    cols = docs.columns
-    payload = F.struct(*[F.col(f"`{c}`") for c in cols])
+    payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = pick(docs, "text", "string")
-    rows = docs.select(payload.alias("doc"), pick(docs, "doc_id", "long").alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).alias("n"), sha256(without_blanks(text)).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    work = stored(rows, "dedup-work")
-    light = work.select("doc_id", "n", "digest", "row")
-    counts = light.groupBy("digest", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n"))
-    repeated = counts.filter("n > 1").select("digest")
-    inside = without_blanks(F.col("doc.text").cast("string")) if "text" in cols else F.lit("")
-    copies = work.join(repeated, "digest", "left_semi").select("doc_id", "n", "digest", "row", inside.alias("norm"))
-    losers = copies.join(_combined(copies, "digest", "norm").select("digest", "norm", F.col("best.d").alias("winner")), ["digest", "norm"]).filter("row <> winner").select("row")
-    return work.join(losers, "row", "left_anti").select("doc.*")
+    rows = docs.select(payload.alias("doc"), pick(docs, "doc_id", "long").alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).alias("n"), sha256(without_blanks(text)).alias("digest"))
+    counts = rows.groupBy("digest", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n"))
+    repeated = counts.filter("n > 1").select("digest", F.lit(True).alias("repeated"))
+    marked = stored(rows.join(repeated, "digest", "left").withColumn("row", F.monotonically_increasing_id()), "dedup-marked")
+    inside = without_blanks(F.col("doc.text").cast("string")) if "text" in docs.columns else F.lit("")
+    copies = marked.filter("repeated").select("doc_id", "n", "digest", "row", inside.alias("norm"))
+    winners = _combined(copies, "digest", "norm").select("digest", "norm", F.col("best.d").alias("winner"))
+    losers = copies.join(winners, ["digest", "norm"]).filter("row <> winner").select("row")
+    alone, several = marked.filter("repeated is null"), marked.filter("repeated").join(losers, "row", "left_anti")
+    return alone.select("doc.*").unionByName(several.select("doc.*"))
