@@ -232,6 +232,27 @@ def _verify(orders):
     return run
 
 
+def frequent_tokens(counts: DataFrame, most: int | None = None) -> Orders:
+    """Orders that know the most frequent tokens, at most `most` of them.
+
+    The least count that is known follows from a histogram of count levels (eight to a
+    doubling, so some hundreds of rows), and only tokens from there on reach the driver.
+    """
+    counts = stored(counts.withColumn("level", F.floor(8 * F.log2("times"))), "join-counts")
+    left, least = FREQUENT if most is None else most, None
+    for level, n in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = level
+    if least is None:
+        return Orders(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    known = counts.filter(F.col("level") >= least).select("token", "times").toArrow()
+    tokens, times = (known.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in (0, 1))
+    by = np.lexsort((tokens, times))
+    return Orders(tokens[by].view(np.uint64), np.arange(1, len(by) + 1))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
@@ -261,9 +282,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = core(docs)
     profile = stored(docs.mapInArrow(_profile, "doc_id long, n long, sig binary, c long, token long, times long"), "join-profile")
     light = profile.filter("n is not null").select("doc_id", "n", "sig", "c")
-    top = profile.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).select("token").toArrow()
-    tokens = top.column(0).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) if top.num_rows else np.zeros(0, np.uint64)
-    orders = spark.sparkContext.broadcast(Orders(tokens, np.arange(len(tokens), 0, -1)))
+    orders = spark.sparkContext.broadcast(frequent_tokens(profile.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times"))))
 
     classes = light.filter("sig is not null and doc_id is not null").groupBy("sig", "c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = stored(classes, "join-classes")
