@@ -138,7 +138,11 @@ def train(texts: list[str | None], quality: np.ndarray, share: np.ndarray | None
     """Every line takes its document's label; weights and transitions by Adam on the likelihood.
 
     share: how many documents each sampled one stands for; it weighs the calibration.
+    Without labelled texts every score is 0.5.
     """
+    if not texts:
+        width = line_features(*th.texts(pa.array([""])))[2].shape[1]
+        return LineField(np.zeros(width), np.zeros((2, 2)))
     data, offsets = th.texts(pa.array(texts, pa.string()))
     doc, size, x = line_features(data, offsets)
     y = quality[doc]

@@ -88,18 +88,40 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, width: in
     return p[:width], np.concatenate([[first], first + np.cumsum(gaps)])
 
 
+def _distinct_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and number of uses of each feature of each text that LEAST_DOCS texts may have.
+
+    Chunk by chunk, with a table of counts by hash bucket: a feature in a bucket of fewer pairs
+    than that is too rare to be kept, which is true of nearly all.
+    """
+    mask, parts = np.uint64((1 << 22) - 1), []
+    counts = np.zeros(1 << 22, np.int32)
+    for first, _, data, offsets in th.chunks(pa.array(texts, pa.string()), 1 << 20):
+        row, h = _features(data, offsets)
+        by = np.lexsort((h, row))
+        row, h = row[by], h[by]
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+        times = np.diff(np.append(start, len(h)))
+        parts.append(((row[start] + first).astype(np.int64), h[start], times))
+        np.add.at(counts, (h[start] & mask).astype(np.int64), 1)
+    kept = [tuple(x[counts[(p[1] & mask).astype(np.int64)] >= LEAST_DOCS] for x in p) for p in parts]
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
 def train(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
     """A model of the labelled texts.
 
     labels know toxic or not; the grades above 0 come from how many of the words that mark
-    toxic texts a toxic text uses: one, two to four, five or more.
+    toxic texts a toxic text uses: one, two to four, five or more. Without labelled texts
+    nothing is toxic.
     """
-    data, offsets = th.texts(pa.array(texts, pa.string()))
-    row, h = _features(data, offsets)
+    if not texts:
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]))
+    row, h, times = _distinct_features(texts)
     vocabulary, col = np.unique(h, return_inverse=True)
     n, width = len(texts), max(1, len(vocabulary))
-    pairs, times = np.unique(row * width + col, return_counts=True)
-    row, col = pairs // width, pairs % width
     in_toxic = np.bincount(col, toxic[row], width)
     in_all = np.bincount(col, minlength=width)
     yes, no = max(1, toxic.sum()), max(1, (1 - toxic).sum())
@@ -137,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 def _score(model: OrdinalModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            latent = [model.latent(data, offsets) for _, _, data, offsets in th.chunks(batch.column(1))]
+            latent = [model.latent(data, offsets) for _, _, data, offsets in th.chunks(batch.column(1), 1 << 20)]
             p = model.grades(np.concatenate(latent)) if latent else np.zeros((0, len(model.thresholds) + 1))
             severity = p @ np.arange(p.shape[1])
             grade = np.sum(np.cumsum(p[:, :-1], axis=1) < 0.5, axis=1)
