@@ -18,6 +18,8 @@ PROBES, DRAWN = 32, 64
 #: A splitter is met within this part of a shard's bytes.
 TOLERANCE = 0.001
 ROUNDS = 24
+#: Rows between two boundaries at most: what one task orders.
+CELL_ROWS = 1_000_000
 
 
 def _part(value: Column) -> Column:
@@ -74,13 +76,13 @@ def find_splitters(light: DataFrame, shards: int) -> tuple[list[int], list[int],
 
     Each round counts the exact bytes below every candidate boundary in one pass over key and
     size. Where a splitter lies between two candidates and neither meets the tolerance, the
-    next round's candidates are keys drawn from that interval (an expected DRAWN of them,
-    whatever the size of the data), so a group of equal texts is entered as fast as any other.
-    The driver sees one row per interval only.
+    next round's candidates are keys drawn from that interval (an expected DRAWN of them), so
+    a group of equal texts is entered as fast as any other. Intervals of more than CELL_ROWS
+    rows are cut in the same way. The driver sees one row per interval and the drawn keys only.
     """
     cached = light.select("key", "size")
     total_rows = light.count()
-    each = max(PROBES, -(-total_rows // (shards * 1_000_000)))
+    each = max(PROBES, -(-total_rows // (shards * CELL_ROWS)))
     n = shards * each
     probes = [(1 << (8 * WIDTH)) * i // n for i in range(1, n)]
     rounds = []
@@ -102,6 +104,7 @@ def find_splitters(light: DataFrame, shards: int) -> tuple[list[int], list[int],
             if min(gap) > TOLERANCE * total / shards and splits:
                 open_.append(c)
             chosen.append(c if gap[0] <= gap[1] or c == len(probes) else c + 1)
+        open_ += [c for c, r in cells.items() if r["rows"] > CELL_ROWS]
         if not open_:
             # Boundary c is the c-th probe; 0 and the last stand for the ends.
             return probes, rows, [min(max(c, 1), len(probes)) - 1 for c in chosen], rounds
@@ -110,7 +113,8 @@ def find_splitters(light: DataFrame, shards: int) -> tuple[list[int], list[int],
         for c in sorted(set(open_)):
             r = cells[c]
             fresh |= {int.from_bytes(r["low"], "big") + 1, int.from_bytes(r["high"], "big")}
-            drawn = F.abs(F.xxhash64("key", F.lit(turn))) <= min((1 << 63) - 1, int(DRAWN / r["rows"] * (1 << 63)))
+            share = max(DRAWN, 2 * r["rows"] / CELL_ROWS) / r["rows"]
+            drawn = F.abs(F.xxhash64("key", F.lit(turn))) <= min((1 << 63) - 1, int(share * (1 << 63)))
             wanted = wanted | (F.col("key").between(F.lit(bytes(r["low"])), F.lit(bytes(r["high"]))) & drawn)
         fresh |= {int.from_bytes(r["key"], "big") for r in cached.select("key").filter(wanted).collect()}
         probes = sorted(set(probes) | fresh)
