@@ -171,6 +171,14 @@ def test_shards_split_equal_texts(spark):
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 20
 
 
+def test_no_cell_is_large(spark, monkeypatch):
+    monkeypatch.setattr(histogram_shard, "CELL_ROWS", 50)
+    df = make(spark, [(1, "same text", "a")] * 900 + [(i, f"t{i}", "b") for i in range(100)])
+    light = df.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).select(F.lit(7).cast("long").alias("size"), histogram_shard._key().alias("key"))
+    probes, rows, chosen, _ = histogram_shard.find_splitters(light.cache(), 4)
+    assert sum(rows) == 1000 and max(rows) <= 50 and probes == sorted(set(probes)) and len(chosen) == 3
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(4)
     for n in (0, 1, 50, 3000):
@@ -377,3 +385,19 @@ def test_pipeline(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == columns, name
     assert corpus_pipeline.run(spark, sf_dir).filter("length > 4096").count() == 0
+
+
+def test_frequent_tokens_are_bounded(spark):
+    counts = spark.createDataFrame([(i, 2 + i % 50) for i in range(1000)], "token long, times long")
+    for most in (0, 10, 300, 5000):
+        orders = ngram_join.frequent_tokens(counts, most)
+        assert len(orders.tokens) <= most and (most < 5000 or len(orders.tokens) == 1000)
+    times = {int(t): 2 + int(t) % 50 for t in orders.tokens}
+    ranked = sorted(zip(orders.ranks.tolist(), orders.tokens.tolist()))
+    assert [times[t] for _, t in ranked] == sorted(times.values())
+
+
+def test_without_labels(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).filter("toxic").count() == 0
+    assert {round(r["score"], 9) for r in line_crf.score_quality(docs, line_crf.fit_quality(docs, labels)).collect()} == {0.5}
