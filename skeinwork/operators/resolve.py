@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import event_key, overlap, tokens
@@ -36,12 +36,8 @@ def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = N
     return both.filter(near & ((F.col("x.key") == F.col("y.key")) | (measure >= SIMILAR))).select("a", "b", F.round(measure, 6).alias("similarity"))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, group (its smallest member) from edges (a, b): labels spread until none changes.
-
-    Each round is cut by checkpoint() into the folder that the cluster shares.
-    """
-    spark = edges.sparkSession
+def _shared_folder(spark: SparkSession) -> None:
+    """checkpoint() needs a folder that the cluster shares."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
@@ -49,15 +45,33 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
             where = tempfile.mkdtemp(prefix="skeinwork-")
         spark.sparkContext.setCheckpointDir(where)
-    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("group"))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("m"))
-        step = labels.join(near, "node").select("node", F.least("group", "m").alias("group"), (F.col("m") < F.col("group")).alias("moved")).checkpoint()
-        labels = step.select("node", "group")
-        if step.filter("moved").isEmpty():
-            break
-    return labels
+
+
+def least_reached(steps: DataFrame) -> DataFrame:
+    """node, label (the smallest node that steps a -> b reach from it, or itself), until none changes.
+
+    Each round a node takes the smallest label of where its steps lead, then the label of that
+    label, so chains shorten by half and more. Labels only fall, so the rounds come to an end.
+    Each round is cut by checkpoint() into the folder that the cluster shares.
+    """
+    _shared_folder(steps.sparkSession)
+    steps = steps.select("a", "b").distinct().checkpoint()
+    nodes = steps.select(F.col("a").alias("node"), F.least("a", "b").alias("label")).unionByName(steps.select(F.col("b").alias("node"), F.col("b").alias("label")))
+    labels = nodes.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+    while True:
+        near = steps.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
+        step = step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was").checkpoint()
+        labels = step.select("node", "label")
+        if step.filter("label <> was").isEmpty():
+            return labels
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, group (its smallest member) from edges (a, b): labels spread until none changes."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
+    return least_reached(both).withColumnRenamed("label", "group")
 
 
 def representative_order(prefix: str = "") -> list[Column]:

@@ -115,6 +115,12 @@ def test_clusters_equal_one_fold_over_all(spark):
     assert got == dict(resolve.fold_clusters(base).itertuples(index=False))
 
 
+def test_long_chains_are_one_group(spark):
+    edges = [(i, i + 1) for i in range(400)] + [(1000 - i, 999 - i) for i in range(300)]
+    got = {r["node"]: r["group"] for r in resolve.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(401)} | {i: 700 for i in range(700, 1001)}
+
+
 def test_state(spark, tmp_path):
     table = state.Versions(spark, str(tmp_path / "t"))
     first = spark.createDataFrame([(1, 1, "a", 5), (2, 1, "b", 5)], "k int, at int, v string, created int")
