@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a week that take part in the ordered choice at most; they are the best by rank.
-POOL = 400
-
 
 def digest_order(bucket_rank: Column) -> list[Column]:
     return [bucket_rank.asc(), F.col("sent").desc(), F.col("signal").desc(), F.col("score").desc(), F.col("id").asc()]
@@ -65,17 +62,17 @@ def select_distinct(prepared: list[dict], wanted: Sequence[str], k: int = 5) ->
 def weekly(candidates: DataFrame, limit: int, preferred: Sequence[str], weak: Sequence[str], ranks: Column) -> DataFrame:
     """week, place, id of each week's prepared rows.
 
-    candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score. A
-    window limits each week to its POOL best before the ordered choice, which looks at a few
-    rows of each bucket only.
+    candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score. The
+    choice sees the whole week: which rows of a bucket count as repeats depends on all rows
+    before them, so no number of the best rows is sure to hold each bucket's pick.
     """
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("week").orderBy(F.col("manual").desc(), *digest_order(ranks)))
-    pool = candidates.withColumn("r", place).filter(F.col("r") <= POOL)
+    read = candidates.select("week", "id", "url", "title", "story", "bucket", "sent", "manual", "noise", place.alias("r"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = prepare(pdf.sort_values("r").to_dict("records"), limit, preferred, weak)
         return pd.DataFrame([(r["week"], i, str(r["id"])) for i, r in enumerate(rows, 1)], columns=["week", "place", "id"])
 
-    return pool.groupBy("week").applyInPandas(choose, "week string, place int, id string")
+    return read.groupBy("week").applyInPandas(choose, "week string, place int, id string")

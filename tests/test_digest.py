@@ -33,6 +33,18 @@ def test_select_distinct():
     assert ids(digest.select_distinct(rows, [5, 99, 1], 4)) == [3, 5, 1, 2]
 
 
+def test_large_bucket_leaves_the_others_their_picks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [row(i, "a", sent=True, story="s" if i % 7 else None) for i in range(900)] + [row(1000 + i, b, sent=i % 2 == 0) for i, b in enumerate("bcbcb")]
+    rows = [r | {"week": "w", "signal": 0, "score": r["id"]} for r in rows]
+    df = spark.createDataFrame(rows, "week string, id long, url string, title string, story string, bucket string, sent boolean, manual boolean, noise boolean, signal int, score long")
+    rank = F.when(F.col("bucket") == "a", 0).when(F.col("bucket") == "b", 1).otherwise(2)
+    got = [int(r["id"]) for r in digest.weekly(df, 20, ("a", "b", "c"), (), rank).orderBy("place").collect()]
+    ordered = sorted(rows, key=lambda r: ("abc".index(r["bucket"]), not r["sent"], -r["score"], r["id"]))
+    assert got == ids(digest.prepare(ordered, 20, ("a", "b", "c"), ())) and got[1:3] == [1004, 1003]
+
+
 @pytest.mark.parametrize("answer, wanted", [
     ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('Sure: {"a": {"b": 1}} done', '{"a": {"b": 1}}'), ('{"a": 1} {"b": 2}', None), ("none", None), (None, None), ("[1]", None),
 ])
