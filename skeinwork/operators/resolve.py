@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import event_key, overlap, tokens
 from skeinwork.operators.rank import best_of
 
 SIMILAR = 0.75
+#: Within a group of rows that all match, steps lead back by up to 2 ** (SKIPS - 1) places; longer ways take more rounds.
+SKIPS = 16
 
 
-def candidate_pairs(items: DataFrame, item_id: str, title: str, rare: int | None = 50) -> DataFrame:
+def candidate_pairs(items: DataFrame, item_id: str, title: str, rare: int | None = None) -> DataFrame:
     """(a, b), a < b, of items that share a title token, or their whole key.
 
-    rare: tokens of more items than that don't propose pairs (None: all do). Rare tokens first
-    is what keeps the number of pairs in proportion to the rows.
+    rare: tokens of more items than that don't propose pairs (None: all do), which loses the
+    pairs that share none but frequent tokens.
     """
     base = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"))
     words = base.select("id", F.explode("tokens").alias("t"))
@@ -27,24 +31,52 @@ def candidate_pairs(items: DataFrame, item_id: str, title: str, rare: int | None
     return pairs
 
 
-def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10, rare: int | None = 50) -> DataFrame:
-    """a, b, similarity of the candidate pairs that tell of one event."""
+def proposed(sets: DataFrame) -> DataFrame:
+    """(a, b) of sets of different groups whose overlap may be SIMILAR or more; none such is left out.
+
+    sets: id, tokens (distinct), group. Of n tokens, such a set shares ceil(SIMILAR * n) with
+    a set as large or larger, so one at least of its n - ceil(SIMILAR * n) + 1 rarest tokens:
+    only these propose, to all sets that hold them and aren't smaller.
+    """
+    words = sets.select("id", "group", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("count", "t"))
+    rarest = words.join(words.groupBy("t").count(), "t").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n")) + 1)
+    both = rarest.select("t", F.col("id").alias("a"), F.col("n").alias("p"), F.col("group").alias("g")).join(words.select("t", F.col("id").alias("b"), F.col("n").alias("q"), F.col("group").alias("h")), "t")
+    return both.filter("g <> h and (p < q or (p = q and a < b))").select("a", "b").distinct()
+
+
+def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10, rare: int | None = None) -> DataFrame:
+    """a, b, similarity of the pairs that tell of one event; with rare, only of those that rarer tokens propose."""
     side = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("at"))
-    both = candidate_pairs(items, item_id, title, rare).join(side.select(F.col("id").alias("a"), F.struct("tokens", "key", "at").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.struct("tokens", "key", "at").alias("y")), "b")
+    if rare:
+        pairs = candidate_pairs(items, item_id, title, rare)
+    else:
+        keyed = side.select("key", F.col("id").alias("a")).join(side.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+        pairs = proposed(side.select("id", "tokens", F.col("id").alias("group"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(keyed).distinct()
+    both = pairs.join(side.select(F.col("id").alias("a"), F.struct("tokens", "key", "at").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.struct("tokens", "key", "at").alias("y")), "b")
     measure = overlap(F.col("x.tokens"), F.col("y.tokens"))
-    near = F.coalesce(F.abs(F.unix_timestamp("x.at") - F.unix_timestamp("y.at")) <= days * 86400, F.lit(True))
-    return both.filter(near & ((F.col("x.key") == F.col("y.key")) | (measure >= SIMILAR))).select("a", "b", F.round(measure, 6).alias("similarity"))
+    return both.filter(_near(F.col("x.at"), F.col("y.at"), days) & ((F.col("x.key") == F.col("y.key")) | (measure >= SIMILAR))).select("a", "b", F.round(measure, 6).alias("similarity"))
 
 
-def _shared_folder(spark: SparkSession) -> None:
-    """checkpoint() needs a folder that the cluster shares."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            import tempfile
+def _near(x: Column, y: Column, days: int = 10) -> Column:
+    return F.coalesce(F.abs(F.unix_timestamp(x) - F.unix_timestamp(y)) <= days * 86400, F.lit(True))
 
-            where = tempfile.mkdtemp(prefix="skeinwork-")
-        spark.sparkContext.setCheckpointDir(where)
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df written into the folder that the cluster shares, and read again: a plan without a past.
+
+    A checkpointed table keeps its plan's constraints, which double from round to round.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        import tempfile
+
+        where = tempfile.mkdtemp(prefix="skeinwork-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}-resolve-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def least_reached(steps: DataFrame) -> DataFrame:
@@ -52,17 +84,15 @@ def least_reached(steps: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label of where its steps lead, then the label of that
     label, so chains shorten by half and more. Labels only fall, so the rounds come to an end.
-    Each round is cut by checkpoint() into the folder that the cluster shares.
     """
-    _shared_folder(steps.sparkSession)
-    steps = steps.select("a", "b").distinct().checkpoint()
+    steps = _stored(steps.select("a", "b").distinct())
     nodes = steps.select(F.col("a").alias("node"), F.least("a", "b").alias("label")).unionByName(steps.select(F.col("b").alias("node"), F.col("b").alias("label")))
-    labels = nodes.groupBy("node").agg(F.min("label").alias("label")).checkpoint()
+    labels = _stored(nodes.groupBy("node").agg(F.min("label").alias("label")))
     while True:
         near = steps.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        step = step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was").checkpoint()
+        step = _stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was"))
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
             return labels
@@ -89,8 +119,8 @@ def representatives(members: DataFrame) -> DataFrame:
 
 
 def fold_clusters(rows: pd.DataFrame) -> pd.DataFrame:
-    """Cluster of each row of one candidate component, greedily in order: a row joins the first
-    cluster that has a matching row. rows: id, order, url, at, tokens, key."""
+    """Cluster of each row, greedily in order: a row joins the first cluster that has a
+    matching row. rows: id, order, url, at, tokens, key. What cluster() does, in one task."""
     from datetime import timedelta
 
     def same(a: dict, b: dict) -> bool:
@@ -108,16 +138,39 @@ def fold_clusters(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"id": r["id"], "cluster": c[0]["id"]} for c in clusters for r in c])
 
 
-def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order: str, rare: int | None = None) -> DataFrame:
-    """id, cluster: the greedy clustering, folded within components of candidate pairs.
+def _earlier(rows: DataFrame, *by: str, skips: int = 1) -> DataFrame:
+    """Steps (a, b) from each row to the one before it among rows with the same `by`, and to those 2, 4, ... places before; rows: node and `by`."""
+    w = Window.partitionBy(*by).orderBy("node")
+    before = F.array(*[F.lag("node", 1 << i).over(w) for i in range(skips)])
+    return rows.select(F.col("node").alias("a"), before.alias("b")).select("a", F.explode("b").alias("b")).filter("b is not null")
+
+
+def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order: str) -> DataFrame:
+    """id, cluster: the greedy clustering of fold_clusters over all rows, without a fold.
 
-    Rows that no pair joins can't be in one cluster, so folding each component in order gives
-    what one fold over all rows would.
+    A row joins the first of its earlier matches' clusters, which bears the name of its first
+    row; so its cluster is the smallest row that steps from matches to earlier matches reach.
+    Rows of one (key, at), of one url and of one set of tokens match each other. Where all of
+    two such groups match, a row's steps lead to the row before it in its own group and in
+    both, as the others follow: no pairs of rows are listed.
     """
-    base = items.select(F.col(item_id).alias("id"), F.col(order).alias("order"), F.col(url).alias("url"), F.col(at).alias("at"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"))
-    by_url = base.filter("url is not null").groupBy("url").agg(F.min("id").alias("a"))
-    edges = similar_pairs(items, item_id, title, at, rare=rare).select("a", "b").union(base.join(by_url, "url").filter("a <> id").select("a", F.col("id").alias("b")))
-    groups = connected(edges)
-    home = base.join(groups, base["id"] == groups["node"], "left").withColumn("group", F.coalesce("group", "id")).drop("node")
-    kind = dict(items.dtypes)[item_id]
-    return home.groupBy("group").applyInPandas(fold_clusters, f"id {kind}, cluster {kind}")
+    base = items.select(F.col(item_id).alias("id"), F.struct(F.col(order).alias("order"), F.col(item_id).alias("id")).alias("node"), F.col(url).alias("url"), F.col(at).alias("at"), F.array_sort(F.array_distinct(tokens(title))).alias("tokens"), event_key(title).alias("key"))
+    group = F.sha2(F.concat_ws("|", "key", F.coalesce(F.col("at").cast("string"), F.lit(""))), 256)
+    base = base.withColumn("group", group).withColumn("kind", F.sha2(F.concat_ws("|", "group", F.array_join("tokens", " ")), 256))
+    base = _stored(base)
+    first = lambda c: F.first(c).alias(c)
+    kinds = _stored(base.groupBy(F.col("kind").alias("id")).agg(first("tokens"), first("group"), first("at")))
+    x, y = (kinds.select(F.col("id").alias(i), F.struct("tokens", "at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    alike = proposed(kinds).join(x, "a").join(y, "b").filter(_near(F.col("x.at"), F.col("y.at")) & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
+    keyed = base.groupBy("group").agg(first("key"), first("at"))
+    l, r = (keyed.select("key", F.col("group").alias(i), F.col("at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    same = l.join(r, "key").filter((F.col("a") < F.col("b")) & _near(F.col("x"), F.col("y"))).select("a", "b")
+
+    def between(pairs: DataFrame, name: str) -> DataFrame:
+        """Steps between the rows of the groups of each pair."""
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(name))
+        return _earlier(ends.join(base.select(name, "node"), name), "a", "b")
+
+    steps = _earlier(base, "group", skips=SKIPS).unionByName(_earlier(base.filter("url is not null"), "url", skips=SKIPS)).unionByName(between(alike, "kind")).unionByName(between(same, "group"))
+    reached = least_reached(steps).select("node", F.col("label.id").alias("cluster"))
+    return base.select("id", "node").join(reached, "node", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

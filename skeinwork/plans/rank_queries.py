@@ -136,7 +136,7 @@ _TOK = f"SELECT doc_id AS id, list_distinct({TOKENS}) AS tok, {KEY} AS k FROM do
            SELECT a, b, round(CASE WHEN least(len(x.tok), len(y.tok)) > 0 THEN len(list_intersect(x.tok, y.tok)) / least(len(x.tok), len(y.tok)) ELSE 0.0 END, 6) AS similarity
            FROM p JOIN d x ON x.id = p.a JOIN d y ON y.id = p.b WHERE x.k = y.k OR CASE WHEN least(len(x.tok), len(y.tok)) > 0 THEN len(list_intersect(x.tok, y.tok)) / least(len(x.tok), len(y.tok)) ELSE 0.0 END >= 0.75""")
 def title_similarity_pairs(t: Tables):
-    return resolve.similar_pairs(t.documents.select("doc_id", text.title_of("text").alias("title")), "doc_id", "title")
+    return resolve.similar_pairs(t.documents.select("doc_id", text.title_of("text").alias("title")), "doc_id", "title", rare=50)
 
 
 _LINKS = f"SELECT doc_id, md5(text) AS x, source || ':' || {KEY} AS y FROM documents"
@@ -154,9 +154,9 @@ def duplicate_components(t: Tables):
 
 @query()
 def event_clusters(t: Tables):
-    """Greedy clustering of titles into events, within candidate components."""
+    """Greedy clustering of titles into events."""
     items = t.documents.select("doc_id", text.title_of("text").alias("title"), F.concat(F.lit("doc:"), F.md5("text")).alias("url"), F.lit(None).cast("timestamp").alias("at"))
-    return resolve.cluster(items, "doc_id", "title", "url", "at", "doc_id", rare=50)
+    return resolve.cluster(items, "doc_id", "title", "url", "at", "doc_id")
 
 
 @query("SELECT user_id, event_type, count(*) % 2 = 1 AS active, max(ts) AS changed_at FROM events GROUP BY 1, 2")

@@ -115,6 +115,43 @@ def test_clusters_equal_one_fold_over_all(spark):
     assert got == dict(resolve.fold_clusters(base).itertuples(index=False))
 
 
+def test_clusters_and_pairs_need_no_rare_token(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(14)]
+    titles = [" ".join(rng.choices(words, k=rng.choice((0, 2, 3, 5, 8)))) for _ in range(330)]
+    at = [None if rng.random() < 0.3 else dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(60)) for _ in titles]
+    rows = [(i, (i * 7) % 331, t, f"u{rng.randrange(300)}", d) for i, (t, d) in enumerate(zip(titles, at))]
+    items = spark.createDataFrame(rows, "id int, place int, title string, url string, at timestamp")
+    got = {r["id"]: r["cluster"] for r in resolve.cluster(items, "id", "title", "url", "at", "place").collect()}
+    sets = [set(t.split()) for t in titles]
+    keys = ["-".join(t.split()[:6]) for t in titles]
+    base = pd.DataFrame({"id": range(len(rows)), "order": [r[1] for r in rows], "url": [r[3] for r in rows], "at": pd.to_datetime(pd.Series(at)), "tokens": [sorted(x) for x in sets], "key": keys})
+    assert got == dict(resolve.fold_clusters(base).itertuples(index=False))
+    near = lambda a, b: at[a] is None or at[b] is None or abs(at[a] - at[b]) <= dt.timedelta(10)
+    alike = lambda a, b: keys[a] == keys[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.75)
+    pairs = {(r["a"], r["b"]) for r in resolve.similar_pairs(items, "id", "title", "at").collect()}
+    assert pairs == {(a, b) for b in range(len(rows)) for a in range(b) if near(a, b) and alike(a, b)}
+
+
+def test_event_clusters_of_frequent_tokens(spark, tmp_path):
+    import itertools
+
+    import pandas as pd
+
+    from skeinwork.plans.rank_queries import event_clusters
+    from skeinwork.plans.registry import Tables
+
+    rows = [(i, " ".join(x)) for i, x in enumerate(itertools.permutations([f"word{i}" for i in range(6)], 4)) if i % 2]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = pd.DataFrame([{"id": i, "order": i, "url": t, "at": pd.NaT, "tokens": t.split(), "key": t.replace(" ", "-")} for i, t in rows])
+    got = {r["id"]: r["cluster"] for r in event_clusters(Tables(spark, str(tmp_path))).collect()}
+    assert got == dict(resolve.fold_clusters(base).itertuples(index=False))
+
+
 def test_long_chains_are_one_group(spark):
     edges = [(i, i + 1) for i in range(400)] + [(1000 - i, 999 - i) for i in range(300)]
     got = {r["node"]: r["group"] for r in resolve.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
