@@ -41,8 +41,8 @@ def same_run_groups(t: Tables):
 @query()
 def near_duplicate_stories(t: Tables):
     """Documents of one language whose titles propose them and that tell one story."""
-    c = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("pack"), text.title_of("text").alias("title"), F.substring("text", 1, 400).alias("text"))
-    return history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title", rare=20))
+    c = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("pack"), text.title_of("text").alias("title"), "text")
+    return history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title"))
 
 
 PREFERRED, WEAK = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"), ("none",)

@@ -152,6 +152,32 @@ def test_event_clusters_of_frequent_tokens(spark, tmp_path):
     assert got == dict(resolve.fold_clusters(base).itertuples(index=False))
 
 
+def test_near_duplicates_of_frequent_tokens_and_late_text(spark, tmp_path):
+    import itertools
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    from skeinwork.plans.history_queries import near_duplicate_stories
+    from skeinwork.plans.registry import Tables
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    tails = [" ".join(rng.choices(words, k=120)) for _ in range(8)]
+    heads = [" ".join(rng.choices(words, k=60)) for _ in range(8)]
+    rows = [(i, rng.choice(["en", "de"]), f"common {' '.join(rng.choices(words, k=5))}\n{rng.choice(heads)} {rng.choice(tails)}") for i in range(70)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def same(x, y):
+        a, b = (r[2].split("\n")[0][:80] for r in (x, y))
+        s, t = set(a.split()), set(b.split())
+        p, q = ({w for w in re.findall("[a-z0-9]+", r[2])} for r in (x, y))
+        return SequenceMatcher(None, a, b).ratio() >= 0.78 or len(s & t) / min(len(s), len(t)) >= 0.8 or (len(p & q) >= 5 and len(p & q) / min(len(p), len(q)) >= 0.62)
+
+    wanted = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[1] == y[1] and same(x, y)}
+    assert wanted and {(r["a"], r["b"]) for r in near_duplicate_stories(Tables(spark, str(tmp_path))).collect()} == wanted
+
+
 def test_long_chains_are_one_group(spark):
     edges = [(i, i + 1) for i in range(400)] + [(1000 - i, 999 - i) for i in range(300)]
     got = {r["node"]: r["group"] for r in resolve.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
