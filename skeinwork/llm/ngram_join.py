@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from skeinwork.llm import text_hash as th
 from skeinwork.llm.blobs import PER_TASK, Dealer, shared_pairs
-from skeinwork.llm.common import core, stored
+from skeinwork.llm.common import core, pick, stored
 from skeinwork.llm.components import components
 
 WORDS = 5
@@ -278,6 +280,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts is in the component of each row's own text. An empty table gives no rows, other
     columns of docs aren't read.
     """
+    return _labelled(docs).drop("sig")
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """jaccard_components' rows, with the signature of each row's set."""
     spark = docs.sparkSession
     docs = core(docs)
     profile = stored(docs.mapInArrow(_profile, "doc_id long, n long, sig binary, c long, token long, times long"), "join-profile")
@@ -322,11 +329,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         labels = least.join(least.groupBy("label").agg(F.min("rep").alias("least")), "label").select(F.col("node").alias("sig"), F.col("least").alias("label"))
     found = classes.join(labels, "sig", "left").select("sig", F.least("rep", F.coalesce("label", "rep")).alias("found"))
     out = light.join(found, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "sig", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+
+
+@F.pandas_udf(BinaryType())
+def _signature_of(text: pd.Series) -> pd.Series:
+    return pd.Series([signature(x) if len(x) else None for x in shingle_sets(pa.array(text, pa.string()))], text.index, object)
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs' rows, with docs' own columns, of which one a component stays: that of the smallest doc_id."""
-    gone = jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    own = F.col("`doc_id`") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    return docs.join(gone, own == gone["_gone_id"], "left_anti")
+    """docs' rows, with docs' own columns, of which one a component stays: that of the smallest doc_id.
+
+    Rows whose doc_id has one text, or several that all go, are told by doc_id alone; where
+    only some of a doc_id's texts go, its rows are told apart by their sets' signatures.
+    """
+    rows = stored(_labelled(docs).filter("doc_id is not null").select("doc_id", "sig", (F.col("component_id") != F.col("doc_id")).alias("gone")), "join-gone")
+    ids = rows.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_or("gone").alias("some"), F.bool_and("gone").alias("every"))
+    own = pick(docs, "doc_id", "long")
+    partly = ids.filter("some and not every").select("_gone_id")
+    kept = docs.join(ids.filter("every").select("_gone_id"), own == F.col("_gone_id"), "left_anti")
+    if partly.isEmpty():
+        return kept
+    partly = stored(partly, "join-partly")
+    told = kept.join(partly, own == F.col("_gone_id"), "left_semi").withColumn("_own_sig", _signature_of(pick(docs, "text", "string")))
+    gone = rows.filter("gone").select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig")).distinct()
+    told = told.join(gone, (own == F.col("_gone_id")) & (F.col("_own_sig") == F.col("_gone_sig")), "left_anti").drop("_own_sig")
+    return kept.join(partly, own == F.col("_gone_id"), "left_anti").unionByName(told)

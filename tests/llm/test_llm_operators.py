@@ -289,6 +289,28 @@ def test_near_copies_keep_columns(docs):
     assert left.columns == docs.columns and 0 < left.count() < docs.count()
 
 
+def test_near_copies_are_told_by_row(spark):
+    rng = random.Random(9)
+    one, two, three = (prose(rng, 60) for _ in range(3))
+    # 5 has a copy of 1's text, leads 8 with another and has one of its own.
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (8, two, "d"), (5, three, "e"), (9, one, "f"), (None, one, "g"), (5, None, "h"), (1, one, "i")]
+    left = ngram_join.without_near_copies(make(spark, rows))
+    assert sorted((r["text"] or "", r["source"]) for r in left.collect()) == sorted((t or "", s) for i, t, s in rows if i is None or i == min(j for j, u, _ in rows if j is not None and (u or "") == (t or "")))
+
+
+def test_near_copies_equal_brute_force(docs, corpus):
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for w in (re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split() for _, t, _ in corpus)]
+    label, moved = [i for i, _, _ in corpus], True
+    while moved:
+        moved = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if any(x) and any(y) and label[a] is not None and label[b] is not None and 100 * len(x & y) >= 80 * len(x | y) and label[b] < label[a]:
+                    label[a], moved = label[b], True
+    wanted = collections.Counter((i, t) for (i, t, _), c in zip(corpus, label) if c == i)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in ngram_join.without_near_copies(docs).collect()) == wanted
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randrange(50)) for _ in range(30)] + [(7, 7), (200, 201), (201, 200)]
