@@ -159,11 +159,14 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
     base = base.withColumn("group", group).withColumn("kind", F.sha2(F.concat_ws("|", "group", F.array_join("tokens", " ")), 256))
     base = _stored(base)
     first = lambda c: F.first(c).alias(c)
-    kinds = _stored(base.groupBy(F.col("kind").alias("id")).agg(first("tokens"), first("group"), first("at")))
+    # Numbers in place of digests from here on: most of what is moved are pairs of them.
+    keyed = _stored(base.groupBy("group").agg(first("key"), first("at")).withColumn("number", F.monotonically_increasing_id()))
+    kinds = base.groupBy("kind").agg(first("tokens"), first("group"), first("at")).join(keyed.select("group", "number"), "group")
+    kinds = _stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at"))
+    base = _stored(base.select("id", "node", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "node", "url", "group", F.col("number").alias("kind")))
     x, y = (kinds.select(F.col("id").alias(i), F.struct("tokens", "at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     alike = proposed(kinds).join(x, "a").join(y, "b").filter(_near(F.col("x.at"), F.col("y.at")) & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
-    keyed = base.groupBy("group").agg(first("key"), first("at"))
-    l, r = (keyed.select("key", F.col("group").alias(i), F.col("at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    l, r = (keyed.select("key", F.col("number").alias(i), F.col("at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     same = l.join(r, "key").filter((F.col("a") < F.col("b")) & _near(F.col("x"), F.col("y"))).select("a", "b")
 
     def between(pairs: DataFrame, name: str) -> DataFrame:
