@@ -8,11 +8,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skeinwork.llm.common import tidy
+
 PAIR = np.dtype([("key", "<u8"), ("c", "<u8")])
 #: A key that so many pairs of one task have is passed on at once, so no task gathers a hot one.
 HOT_IN_TASK = 64
 #: Pairs a map task holds, and a joining one is meant to.
-HELD, PER_TASK = 1 << 21, 1 << 21
+HELD, PER_TASK = 1 << 20, 1 << 21
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Sorted by key, then c; each pair once."""
+    pairs = pairs[np.lexsort((pairs["c"], pairs["key"]))]
+    if not len(pairs):
+        return pairs
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs["key"][1:] != pairs["key"][:-1]) | (pairs["c"][1:] != pairs["c"][:-1])
+    return pairs[new]
 
 
 def _by_destination(pairs: np.ndarray, dest: np.ndarray, direct: bool) -> Iterator[tuple[int, bool, bytes]]:
@@ -44,7 +56,7 @@ class Dealer:
     def end(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        pairs = np.unique(np.concatenate(self.held))
+        pairs = _distinct(np.concatenate(self.held))
         self.held, self.count = [], 0
         start = np.flatnonzero(np.concatenate([[True], pairs["key"][1:] != pairs["key"][:-1]]))
         size = np.diff(np.append(start, len(pairs)))
@@ -62,7 +74,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (direct if straight else joined).append(np.frombuffer(blob, PAIR))
     out = np.concatenate(direct) if direct else np.zeros(0, PAIR)
     if joined:
-        pairs = np.unique(np.concatenate(joined))
+        pairs = _distinct(np.concatenate(joined))
         start = np.flatnonzero(np.concatenate([[True], pairs["key"][1:] != pairs["key"][:-1]]))
         size = np.diff(np.append(start, len(pairs)))
         out = np.concatenate([out, pairs[np.repeat(size > 1, size)]])
@@ -73,5 +85,5 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_pairs(rows: DataFrame, deal, parts: int) -> DataFrame:
     """(key, c) of every key that two different c or more have; deal yields a Dealer's batches."""
-    dealt = rows.mapInArrow(deal, "part int, direct boolean, pairs binary")
-    return dealt.repartition(parts, "part").mapInArrow(_shared, "key long, c long")
+    dealt = rows.mapInArrow(tidy(deal), "part int, direct boolean, pairs binary")
+    return dealt.repartition(parts, "part").mapInArrow(tidy(_shared), "key long, c long")

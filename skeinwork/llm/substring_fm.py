@@ -12,37 +12,62 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm import text_hash as th
 from skeinwork.llm.blobs import PER_TASK, Dealer, shared_pairs
-from skeinwork.llm.common import core, stored
+from skeinwork.llm.common import core, stored, tidy
 
 #: Words of a window.
 WINDOW = 50
 #: Words of an anchor. Every window has the smallest anchor hash among its own as its mark.
 ANCHOR = 16
-#: Windows of a segment at most, and words of an index shard.
-RUN, SHARD_WORDS = 64, 1 << 21
-#: Segments a map task remembers, to send a segment's words once.
-SENT = 1 << 20
+#: Windows of a segment at most, and words of an index.
+RUN, SHARD_WORDS = 64, 1 << 18
+#: Segments a map task remembers, to send a segment's words once; answers in a batch.
+SENT, ANSWERS = 1 << 16, 1 << 12
+#: Bytes of a word and its blank, as shards are sized before their words are counted.
+WORD_BYTES = 6
+
+
+class Bits:
+    """A packed bit vector with a count every 64 bits."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.packbits(bit, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
+        self.counts = np.zeros(len(self.words) + 1, np.int32)
+        np.cumsum(np.bitwise_count(self.words), dtype=np.int32, out=self.counts[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = at >> 6
+        return self.counts[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th one, from 0."""
+        word = np.searchsorted(self.counts, k, side="right") - 1
+        left, rest, at = self.words[word], k - self.counts[word], word << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            low = left & np.uint64((1 << width) - 1)
+            ones = np.bitwise_count(low)
+            beyond = rest >= ones
+            rest = rest - np.where(beyond, ones, 0)
+            at = at + np.where(beyond, width, 0)
+            left = np.where(beyond, left >> np.uint64(width), low)
+        return at
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of numbers, packed, with a count every 64 bits: rank in a step per plane."""
+    """Bit planes of a sequence of numbers: rank in a step per plane."""
 
     def __init__(self, values: np.ndarray, top: int) -> None:
-        self.n, self.planes = len(values), []
-        now = values
+        self.planes, now = [], values
         for level in reversed(range(max(1, int(top).bit_length()))):
             bit = ((now >> level) & 1).astype(bool)
-            packed = np.packbits(bit, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
-            count = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
-            self.planes.append((level, packed, count, int(self.n - bit.sum())))
+            self.planes.append((level, Bits(bit), int(len(bit) - bit.sum())))
             now = np.concatenate([now[~bit], now[bit]])
 
     def down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where position `at` lands after all planes, following the symbol's bits."""
-        for level, packed, count, zeros in self.planes:
-            word = at >> 6
-            ones = count[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        for level, bits, zeros in self.planes:
+            ones = bits.rank(at)
             at = np.where((symbols >> level) & 1, zeros + ones, at - ones)
         return at
 
@@ -51,65 +76,82 @@ class FmIndex:
     """Index of segments of word numbers for patterns of up to WINDOW words.
 
     Suffixes are sorted by their first WINDOW words only (by doubling); a backward step needs
-    no more, as it counts the suffixes before an interval and not their order.
+    no more, as it counts the suffixes before an interval and not their order. What is kept of
+    n words: the wavelet matrix of their Burrows-Wheeler transform, two bit vectors of where
+    suffixes differ in their first WINDOW - 1 and WINDOW words, and a 32-bit number of the least owner
+    for each distinct window. Neither the text nor the suffixes are.
     """
 
     def __init__(self, segments: list[np.ndarray], owners: np.ndarray) -> None:
         length = np.array([len(x) for x in segments])
-        self.ends = np.cumsum(length + 1) - 1
-        self.text = np.concatenate([np.append(x, 0) for x in segments]).astype(np.int64)
-        n = len(self.text)
+        text = np.zeros(int(length.sum()) + len(length), np.int32)
+        starts = np.cumsum(length + 1) - length - 1
+        for at, x in zip(starts, segments):
+            text[at : at + len(x)] = x
+        n = len(text)
+
+        def with_later(rank: np.ndarray, k: int) -> np.ndarray:
+            out = rank.astype(np.int64) * (int(rank.max()) + 1)
+            out[: max(n - k, 0)] += rank[k:]
+            return out
 
-        def later(rank: np.ndarray, k: int) -> np.ndarray:
-            return np.concatenate([rank[k:], np.zeros(min(k, n), rank.dtype)])[:n]
+        def renumbered(key: np.ndarray) -> np.ndarray:
+            return np.unique(key, return_inverse=True)[1].astype(np.int32)
 
-        rank, depth = self.text, 1
+        rank, depth = text, 1
         while depth * 2 <= WINDOW:
-            _, rank = np.unique(rank * (int(rank.max()) + 1) + later(rank, depth), return_inverse=True)
+            rank = renumbered(with_later(rank, depth))
             depth *= 2
-        base = int(rank.max()) + 1
-        shorter, whole = rank * base + later(rank, WINDOW - 1 - depth), rank * base + later(rank, WINDOW - depth)
-        order = np.argsort(whole, kind="stable")
-        bwt = self.text[order - 1]
-        self.bits = WaveletMatrix(bwt, int(self.text.max()))
-        symbols = np.arange(int(self.text.max()) + 1)
-        self.shift = np.searchsorted(np.sort(self.text), symbols) - self.bits.down(symbols, np.zeros(len(symbols), np.int64))
-        fresh = np.concatenate([[True], shorter[order][1:] != shorter[order][:-1]])
-        self.first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        starts = np.flatnonzero(fresh)
-        self.last = np.append(starts[1:], n)[np.cumsum(fresh) - 1]
-        fresh = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
-        self.group = np.cumsum(fresh) - 1
-        owner = np.repeat(owners, length + 1)[order]
-        self.least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
+        shorter = renumbered(with_later(rank, WINDOW - 1 - depth))
+        whole = renumbered(with_later(rank, WINDOW - depth))
+        del rank
+        order = np.argsort(whole, kind="stable").astype(np.int32)
+
+        def changes(ranks: np.ndarray) -> np.ndarray:
+            ranks = ranks[order]
+            return np.concatenate([[True], ranks[1:] != ranks[:-1], [True]])
+
+        self.shorter = Bits(changes(shorter))
+        edge = changes(whole)
+        del shorter, whole
+        self.whole = Bits(edge)
+        self.n, top = n, int(text.max())
+        self.bits = WaveletMatrix(text[order - 1], top)
+        symbols = np.arange(top + 1)
+        below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))[:-1]])
+        self.shift = (below - self.bits.down(symbols, np.zeros(top + 1, np.int64))).astype(np.int32)
+        self.owners, number = np.unique(owners, return_inverse=True)
+        owner = np.repeat(number.astype(np.int32), length + 1)[order]
+        self.least = np.minimum.reduceat(owner, np.flatnonzero(edge[:-1]))
 
     def least_owners(self, segments: list[np.ndarray]) -> list[np.ndarray]:
         """For each window of each segment, the least owner of the segments that hold it.
 
-        All segments are streamed at once, from their last word to their first. The interval
-        of the match is widened to that of its first WINDOW - 1 words, then a backward step adds the word
-        before it: the matching statistics, up to WINDOW.
+        segments: some of those the index was built of. All are streamed at once, from their
+        last word to their first. The interval of the match is widened to that of its first
+        WINDOW - 1 words, then a backward step adds the word before it: the matching
+        statistics, up to WINDOW.
         """
         length = np.array([len(x) for x in segments])
         by = np.argsort(-length, kind="stable")
-        words = np.concatenate([segments[i] for i in by]).astype(np.int64)
+        words = np.concatenate([segments[i] for i in by]).astype(np.int32)
         end = np.cumsum(length[by])
-        lo, hi = np.zeros(len(by), np.int64), np.full(len(by), len(self.text), np.int64)
-        out = np.full(len(words), np.iinfo(np.int64).max)
+        span = np.array([np.zeros(len(by), np.int64), np.full(len(by), self.n)])
+        out = np.zeros(len(words), np.int32)
         for t in range(int(length.max(initial=0))):
             live = int(np.searchsorted(-length[by], -t, side="left"))
-            c = words[end[:live] - 1 - t]
-            a, b = lo[:live], hi[:live]
+            at = end[:live] - 1 - t
+            c, now = words[at], span[:, :live]
             if t >= WINDOW:
-                a, b = self.first[a], self.last[a]
-            a = self.shift[c] + self.bits.down(c, a)
-            b = self.shift[c] + self.bits.down(c, b)
-            lo[:live], hi[:live] = a, b
+                group = self.shorter.rank(now[0] + 1)
+                now = np.array([self.shorter.select(group - 1), self.shorter.select(group)])
+            now = self.shift[c] + self.bits.down(np.concatenate([c, c]), now.ravel()).reshape(2, live)
+            span[:, :live] = now
             if t >= WINDOW - 1:
-                out[end[:live] - 1 - t] = self.least[self.group[a]]
+                out[at] = self.least[self.whole.rank(now[0] + 1) - 1]
         result: list[np.ndarray] = [np.zeros(0, np.int64)] * len(by)
         for i, e in zip(by, end):
-            result[i] = out[e - length[i] : e - WINDOW + 1]
+            result[i] = self.owners[out[e - length[i] : e - WINDOW + 1]]
         return result
 
 
@@ -169,52 +211,92 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "version", "start", "seg", "mark", "words"])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """seg, owners: for each window of a segment the least doc_id of the shard that has it."""
-
-    def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        words = b" ".join(r[1] for r in rows).split(b" ")
-        number = {w: i for i, w in enumerate(set(words), 1)}
-        flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        at = np.cumsum([r[1].count(b" ") + 1 for r in rows])
-        segments = np.split(flat, at[:-1])
-        index = FmIndex(segments, np.array([r[2] for r in rows], np.int64))
-        found = index.least_owners(segments)
-        out = [(r[0], x) for r, x in zip(rows, found) if (x < r[3]).any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["seg", "owners"])
+def _answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """seg, owners of one shard's rows (seg, words, owner, last); segments without a smaller owner are left out."""
+    number: dict[bytes, int] = {}
+    segments = []
+    for _, words, _, _ in rows:
+        segments.append(np.array([number.setdefault(w, len(number) + 1) for w in words.split(b" ")], np.int32))
+    del number
+    found = FmIndex(segments, np.array([r[2] for r in rows], np.int64)).least_owners(segments)
+    out = [(r[0], x) for r, x in zip(rows, found) if (x < r[3]).any()]
+    for i in range(0, len(out), ANSWERS):
+        part = out[i : i + ANSWERS]
+        yield pa.RecordBatch.from_arrays([pa.array([seg for seg, _ in part], pa.binary()), pa.array([x for _, x in part], pa.list_(pa.int64()))], ["seg", "owners"])
 
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seg, owners: for each window of a segment the least doc_id of the shard that has it. Rows come by shard."""
     shard, rows = None, []
     for batch in batches:
         for now, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if now != shard:
                 if rows:
-                    yield from answer(rows)
+                    yield from _answers(rows)
                 shard, rows = now, []
             rows.append(tuple(row))
     if rows:
-        yield from answer(rows)
+        yield from _answers(rows)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        n_words, n_removed, digest, kept = [], [], [], []
-        for text, starts in zip(batch.column(1), batch.column(2)):
-            words = (text.as_py() or "").encode().split()
-            n_words.append(len(words))
-            if starts.is_valid:
-                at = np.array(starts.as_py(), np.int64)
-                cover = np.zeros(len(words) + WINDOW + 1, np.int64)
-                at = at[at + WINDOW <= len(words)]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
-                stay = np.cumsum(cover)[: len(words)] == 0
-                words = [w for w, s in zip(words, stay) if s]
-            n_removed.append(n_words[-1] - len(words))
-            rest = b" ".join(words)
-            digest.append(hashlib.sha256(rest).hexdigest())
-            kept.append(rest.decode())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _whole_windows(parts: int):
+    """Hashes of whole windows, dealt with the number of their segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(parts)
+        for batch in batches:
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = th.words(np.frombuffer(words, np.uint8), np.zeros(1, np.int64), th.blanks_table())[2]
+                yield from dealer.add(np.unique(th.grams(h, WINDOW)), number)
+        yield from dealer.end()
+
+    return run
+
+
+def _kept(with_text: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_removed, digest, kept = [], [], [], []
+            for text, starts in zip(batch.column(1), batch.column(2)):
+                words = (text.as_py() or "").encode().split()
+                n_words.append(len(words))
+                if starts.is_valid:
+                    at = np.array(starts.as_py(), np.int64)
+                    cover = np.zeros(len(words) + WINDOW + 1, np.int32)
+                    at = at[at + WINDOW <= len(words)]
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + WINDOW, -1)
+                    stay = np.cumsum(cover)[: len(words)] == 0
+                    words = [w for w, s in zip(words, stay) if s]
+                n_removed.append(n_words[-1] - len(words))
+                rest = b" ".join(words)
+                digest.append(hashlib.sha256(rest).hexdigest())
+                if with_text:
+                    kept.append(rest.decode())
+            columns = {"doc_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            columns |= {"kept_text": pa.array(kept, pa.string())} if with_text else {}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return cut
+
+
+def _heavy_rows(heavy: DataFrame, parts: int) -> DataFrame:
+    """shard, seg, words, owner, last of the segments of marks that have more than an index holds.
+
+    A segment that only one document has, and no window of which another segment has, is left
+    out: a frequent line marks the windows around it, and most of them repeat nowhere. What
+    stays of a mark is cut into parts of half an index; each pair of parts is an index of its own.
+    """
+    shared = shared_pairs(heavy.select("number", "words"), _whole_windows(parts), parts).select(F.col("c").alias("number")).distinct()
+    alone = heavy.filter("last = owner").join(shared, "number", "left_semi")
+    left = stored(heavy.filter("last > owner").unionByName(alone), "fm-heavy")
+    half = WORD_BYTES * SHARD_WORDS // 2
+    cuts = left.groupBy("mark").agg(F.ceil(F.sum(F.octet_length("words")) / half).cast("int").alias("cuts"))
+    cuts = cuts.withColumn("cuts", F.when(F.col("cuts") <= 2, 1).otherwise(F.col("cuts")))
+    dealt = left.join(cuts, "mark").withColumn("part", F.pmod(F.xxhash64("seg"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    shard = F.xxhash64("mark", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.select((-1 - F.pmod(shard, F.lit(1 << 62))).alias("shard"), "seg", "words", "owner", "last")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -227,14 +309,24 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows["size"] or 0) // (100 * PER_TASK)))
     shared = shared_pairs(docs, _anchors(parts), parts)
     marks = shared.groupBy(F.col("c").alias("doc_id")).agg(F.collect_list("key").alias("marks"))
-    segments = stored(docs.join(marks, "doc_id").select("doc_id", "text", "marks", "version").mapInArrow(_segments, "doc_id long, version long, start int, seg binary, mark long, words binary"), "fm-segments")
+    segments = docs.join(marks, "doc_id").select("doc_id", "text", "marks", "version").mapInArrow(tidy(_segments), "doc_id long, version long, start int, seg binary, mark long, words binary")
+    segments = stored(segments, "fm-segments")
     distinct = segments.groupBy("seg").agg(F.first("mark").alias("mark"), F.first("words", ignorenulls=True).alias("words"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    distinct = stored(distinct, "fm-distinct")
-    total = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-total // (6 * SHARD_WORDS)))
-    dealt = distinct.select(F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"), "seg", "words", "owner", "last")
-    dealt = dealt.repartition(max(shards, 1), "shard").sortWithinPartitions("shard")
-    found = stored(dealt.mapInArrow(_search, "seg binary, owners array<long>"), "fm-found")
+    distinct = stored(distinct.withColumn("number", F.monotonically_increasing_id()), "fm-distinct")
+    sizes = stored(distinct.groupBy("mark").agg(F.sum(F.octet_length("words")).alias("size")), "fm-marks")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    light = distinct
+    shards = max(1, -(-total // (WORD_BYTES * SHARD_WORDS)))
+    hot = sizes.filter(F.col("size") > WORD_BYTES * SHARD_WORDS).select("mark")
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        light = distinct.join(hot, "mark", "left_anti")
+    dealt = light.select(F.pmod(F.xxhash64("mark"), F.lit(shards)).alias("shard"), "seg", "words", "owner", "last")
+    if some_hot:
+        dealt = dealt.unionByName(_heavy_rows(distinct.join(hot, "mark", "left_semi"), parts))
+    # A task reads several shards, one after another.
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
+    found = stored(dealt.mapInArrow(tidy(_search), "seg binary, owners array<long>"), "fm-found")
     mine = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = segments.select("doc_id", "version", "start", "seg").join(found, "seg").select("doc_id", "version", mine.alias("starts")).filter(F.size("starts") > 0)
     return hits.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
@@ -255,15 +347,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
        Burrows-Wheeler transform. Segments are streamed through it by backward search, whose
        interval after 50 words gives the least doc_id that has the window.
     4. Documents get their windows back and are cut.
-    A shard holds about SHARD_WORDS words, a mark's distinct segments stay together; what a
-    document gathers is bounded by its own length.
+    A shard holds about SHARD_WORDS words and a mark's segments stay together. A mark with more
+    segments than that has them thinned by the hashes of their whole windows and, if need be,
+    indexed in pairs of parts. What a document gathers is bounded by its own length.
 
     A null or empty text has no words. Texts of fewer than 50 words keep all. A null doc_id is
-    neither compared nor cut. Rows that repeat a doc_id, with one text or several, aren't
+    neither compared nor cut. A very long text costs its own words a few times over. Rows that repeat a doc_id, with one text or several, aren't
     smaller than each other; each is cut by its own text. An empty table gives no rows, other
     columns of docs aren't read.
     """
     docs = core(docs).withColumn("version", F.xxhash64("text"))
     both = docs.join(repeated_windows(docs), ["doc_id", "version"], "left").select("doc_id", "text", "starts")
-    out = both.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("kept_text")
+    return both.mapInArrow(tidy(_kept(with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
