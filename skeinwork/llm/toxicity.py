@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skeinwork.llm import text_hash as th
-from skeinwork.llm.common import core, pick
+from skeinwork.llm.common import core, pick, release, tidy
 
-#: Labelled rows a model is fitted on, half of them toxic where there are as many.
-SAMPLE = 6000
+#: Labelled rows a model is fitted on, half of them toxic where there are as many, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6000, 1 << 26
 #: Features are words and their first bytes; the model keeps this many of the most telling.
 FEATURES, PREFIXES, LEAST_DOCS = 1000, (4, 5, 6), 4
-GRADES = 4
+#: Probability of a grade above 0 from which a document is toxic.
+TOXIC = 0.5
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +96,23 @@ def _distinct_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray,
     Chunk by chunk, with a table of counts by hash bucket: a feature in a bucket of fewer pairs
     than that is too rare to be kept, which is true of nearly all.
     """
-    mask, parts = np.uint64((1 << 22) - 1), []
-    counts = np.zeros(1 << 22, np.int32)
+    buckets = 1 << 22
+    mask, parts = np.uint64(buckets - 1), []
+    counts = np.zeros(buckets, np.int32)
     for first, _, data, offsets in th.chunks(pa.array(texts, pa.string()), 1 << 20):
         row, h = _features(data, offsets)
         by = np.lexsort((h, row))
         row, h = row[by], h[by]
         start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
         times = np.diff(np.append(start, len(h)))
-        parts.append(((row[start] + first).astype(np.int64), h[start], times))
-        np.add.at(counts, (h[start] & mask).astype(np.int64), 1)
-    kept = [tuple(x[counts[(p[1] & mask).astype(np.int64)] >= LEAST_DOCS] for x in p) for p in parts]
-    if not kept:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*kept))
+        parts.append(((row[start] + first).astype(np.int32), h[start], times.astype(np.int32)))
+        counts += np.bincount((h[start] & mask).astype(np.int64), minlength=buckets).astype(np.int32)
+    for i, part in enumerate(parts):
+        often = counts[(part[1] & mask).astype(np.int64)] >= LEAST_DOCS
+        parts[i] = tuple(x[often] for x in part)
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def train(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
@@ -143,31 +148,51 @@ def train(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
 def sample(docs: DataFrame, labels: DataFrame, label: str, size: int = SAMPLE) -> tuple[list[str | None], np.ndarray]:
     """Texts and labels of at most `size` labelled rows, at most half of either class.
 
-    The ids are chosen from the labels alone, by hash, so no text moves but those of the sample.
+    The ids are chosen from the labels alone, by hash, so no text moves but those of the sample;
+    of these, in the hash's order, as many as SAMPLE_BYTES hold.
     """
     ids = labels.select(pick(labels, "doc_id", "long").alias("doc_id"), pick(labels, label, "int").alias("y")).dropna().filter("y in (0, 1)").dropDuplicates(["doc_id"])
     parts = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2) for y in (0, 1)]
     chosen = docs.sparkSession.createDataFrame([tuple(r) for p in parts for r in p.collect()], "doc_id long, y int")
-    got = core(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * size).collect()
-    return [r["text"] for r in got], np.array([r["y"] for r in got], np.int64)
+    found = core(docs).join(F.broadcast(chosen), "doc_id").select("*", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("size"))
+    upto = F.sum("size").over(Window.orderBy("h", "doc_id", "text"))
+    got = found.orderBy("h", "doc_id", "text").limit(2 * size).withColumn("upto", upto).filter(F.coalesce("upto", F.lit(0)) <= SAMPLE_BYTES).orderBy("doc_id", "text").select("text", "y").toArrow()
+    return got.column("text").to_pylist(), got.column("y").to_numpy().astype(np.int64)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    return train(*sample(docs, labels, "toxic"))
+    model = train(*sample(docs, labels, "toxic"))
+    release()
+    return model
+
+
+def _grades(model: OrdinalModel, texts: pa.Array) -> np.ndarray:
+    latent = [model.latent(data, offsets) for _, _, data, offsets in th.chunks(texts, 1 << 20)]
+    return model.grades(np.concatenate(latent)) if latent else np.zeros((0, len(model.thresholds) + 1))
 
 
 def _score(model: OrdinalModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            latent = [model.latent(data, offsets) for _, _, data, offsets in th.chunks(batch.column(1), 1 << 20)]
-            p = model.grades(np.concatenate(latent)) if latent else np.zeros((0, len(model.thresholds) + 1))
+            p = _grades(model, batch.column(1))
             severity = p @ np.arange(p.shape[1])
             grade = np.sum(np.cumsum(p[:, :-1], axis=1) < 0.5, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity), pa.array(1 - p[:, 0]), pa.array(grade.astype(np.int32))], [*batch.schema.names, "severity", "p_toxic", "grade"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(1 - p[:, 0]), pa.array(grade.astype(np.int32))], ["doc_id", "severity", "p_toxic", "grade"])
 
     return score
 
 
+def _clean(model: OrdinalModel, text: int, width: int):
+    """The first `width` columns of the rows whose text (column `text`) isn't toxic."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+            yield own.filter(pa.array(1 - _grades(model, batch.column(text))[:, 0] < TOXIC))
+
+    return clean
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic, grade (median) of every row; toxic: p_toxic >= 0.5.
 
@@ -175,15 +200,21 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     the thresholds alone; repeated rows repeat, an empty table gives no rows, other columns
     of docs aren't read.
     """
-    out = core(docs).mapInArrow(_score(model), "doc_id long, text string, severity double, p_toxic double, grade int")
-    return out.drop("text").withColumn("toxic", F.col("p_toxic") >= 0.5)
+    out = core(docs).mapInArrow(tidy(_score(model)), "doc_id long, severity double, p_toxic double, grade int")
+    return out.withColumn("toxic", F.col("p_toxic") >= TOXIC)
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """docs' rows that aren't toxic, with docs' own columns; order and repeats stay."""
-    cols = docs.columns
-    own = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("own")
-    both = docs.select(own, pick(docs, "text", "string").alias("text"))
-    kind = both.schema["own"].dataType.simpleString()
-    out = both.mapInArrow(_score(model), f"own {kind}, text string, severity double, p_toxic double, grade int")
-    return out.filter("p_toxic < 0.5").select("own.*")
+    """docs' rows that aren't toxic, with docs' own columns; order and repeats stay.
+
+    A null or empty text is judged by the thresholds alone, as a table without texts is; an
+    empty table stays empty. A row crosses to Python once and comes back only if it stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    schema = own.schema
+    if "text" in docs.columns and docs.schema["text"].dataType == StringType():
+        text = docs.columns.index("text")
+    else:
+        own, text = own.withColumn("text", pick(docs, "text", "string") if "text" not in docs.columns else F.col(names[docs.columns.index("text")]).cast("string")), len(names)
+    return own.mapInArrow(tidy(_clean(model, text, len(names))), schema).toDF(*docs.columns)
