@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import core, stored
+from skeinwork.llm.common import core, stored, tidy
 
 LENGTH = 4096
 END_ID = 1
 #: Pieces that one packing task gets; a group of them wastes less than one sequence more than all would.
 PACKED_TOGETHER = 16384
-#: Runs whose ids a worker keeps.
-KEPT_RUNS = 1_000_000
+#: Bytes of runs and their ids that a worker keeps, and what an entry costs beside them.
+KEPT_BYTES, ENTRY = 1 << 25, 200
 
 
 class WordTokenizer:
@@ -50,6 +50,7 @@ class WordTokenizer:
         ranks = {bytes(byte[c] for c in w.removesuffix("</w>")) + b"\xff" * w.endswith("</w>"): i for w, i in vocab.items() if w not in special}
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.runs: dict[str, bytes | None] = {}
+        self.held = 0
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -58,10 +59,13 @@ class WordTokenizer:
         try:
             return b"".join(map(known.__getitem__, runs))
         except KeyError:
-            if len(known) > KEPT_RUNS:
+            if self.held > KEPT_BYTES:
                 known.clear()
+                self.held = 0
             for run in set(runs).difference(known):
-                known[run] = None if self.OTHER.search(run) else self._merged(run)
+                ids = None if self.OTHER.search(run) else self._merged(run)
+                known[run] = ids
+                self.held += len(run) + len(ids or b"") + ENTRY
             if all(known[run] is not None for run in runs):
                 return b"".join(map(known.__getitem__, runs))
         except TypeError:  # a run that isn't merged here
@@ -159,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_i
     aren't read.
     """
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces = core(docs).mapInArrow(_pieces(tokenizer, length, with_ids), kinds)
+    pieces = core(docs).mapInArrow(tidy(_pieces(tokenizer, length, with_ids)), kinds)
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     short = pieces.filter(F.col("length") < length)
     groups = max(1, -(-short.count() // PACKED_TOGETHER))
@@ -175,7 +179,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_i
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.drop(columns=["part"]).assign(**pack(pdf).drop(columns=["row"]))[[x.split()[0] for x in schema.split(", ")]]
 
-    packed = light.groupBy("part").applyInPandas(whole, schema)
+    # By range: part numbers are few, and hashes of few numbers meet.
+    packed = light.repartitionByRange(groups, "part").groupBy("part").applyInPandas(whole, schema)
     full = pieces.filter(F.col("length") == length).select("doc_id", "piece", "start", "length", "ids_crc32", (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "row")
     out = packed.unionByName(full)
     if with_ids:
