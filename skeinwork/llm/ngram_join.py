@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from skeinwork.llm import text_hash as th
 from skeinwork.llm.blobs import PER_TASK, Dealer, shared_pairs
-from skeinwork.llm.common import core, pick, stored
+from skeinwork.llm.common import core, pick, stored, tidy
 from skeinwork.llm.components import components
 
 WORDS = 5
@@ -287,7 +287,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """jaccard_components' rows, with the signature of each row's set."""
     spark = docs.sparkSession
     docs = core(docs)
-    profile = stored(docs.mapInArrow(_profile, "doc_id long, n long, sig binary, c long, token long, times long"), "join-profile")
+    profile = stored(docs.mapInArrow(tidy(_profile), "doc_id long, n long, sig binary, c long, token long, times long"), "join-profile")
     light = profile.filter("n is not null").select("doc_id", "n", "sig", "c")
     orders = spark.sparkContext.broadcast(frequent_tokens(profile.filter("token is not null").groupBy("token").agg(F.sum("times").alias("times"))))
 
@@ -312,13 +312,14 @@ def _labelled(docs: DataFrame) -> DataFrame:
     members = stored(classes.join(blocks.select(F.col("node").alias("c"), F.col("label").alias("block")), "c").select("sig", "rep", "n", "block"), "join-members")
     cuts = members.groupBy("block").agg(F.sum("n").alias("tokens"), F.count("*").alias("classes")).filter("classes > 1").select("block", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("cuts"))
     fetched = docs.hint("merge").join(members.join(cuts.select("block"), "block", "left_semi").select(F.col("rep").alias("doc_id"), "sig", "block"), "doc_id").select("text", "sig", F.col("doc_id").alias("rep"), "block")
-    sets = stored(fetched.mapInArrow(_sets, "sig binary, rep long, block long, tokens binary"), "join-sets")
+    sets = stored(fetched.mapInArrow(tidy(_sets), "sig binary, rep long, block long, tokens binary"), "join-sets")
     # Part p of a block of k parts meets each part q in the task (min, max).
     dealt = sets.join(cuts, "block").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     dealt = dealt.select("block", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "sig", "rep", "part", "tokens", "cuts")
     tasks = dealt.drop("cuts").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
-    links = stored(tasks.mapInArrow(_verify(orders), "sig binary, rep long, to long, to_sig binary"), "join-links")
+    links = stored(tasks.mapInArrow(tidy(_verify(orders)), "sig binary, rep long, to long, to_sig binary"), "join-links")
+    orders.unpersist()
     split = cuts.filter("cuts > 1")
     if split.isEmpty():
         labels = links.select("sig", F.col("to").alias("label"))
@@ -341,7 +342,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs' rows, with docs' own columns, of which one a component stays: that of the smallest doc_id.
 
     Rows whose doc_id has one text, or several that all go, are told by doc_id alone; where
-    only some of a doc_id's texts go, its rows are told apart by their sets' signatures.
+    only some of a doc_id's texts go, its rows are told apart by their sets' signatures. Rows
+    with a null doc_id, and those without words, all stay; an empty table stays empty.
     """
     rows = stored(_labelled(docs).filter("doc_id is not null").select("doc_id", "sig", (F.col("component_id") != F.col("doc_id")).alias("gone")), "join-gone")
     ids = rows.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_or("gone").alias("some"), F.bool_and("gone").alias("every"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skeinwork.llm.common import core
+from skeinwork.llm.common import core, tidy
 
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -126,4 +126,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     give repeated results, an empty table none, other columns of docs aren't read; a text's
     work and memory are in proportion to its length.
     """
-    return core(docs).mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return core(docs).mapInArrow(tidy(_scan), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
