@@ -19,10 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the longest original, then the smallest doc_id."""
     return deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: the one with the smallest doc_id."""
     return without_near_copies(docs)
 
 
@@ -32,7 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_path())
+    """Pieces with their ids and their places in sequences of 4096 tokens."""
+    return pack_documents(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact-dedup", drop_copies), ("near-copies", drop_near_copies), ("mix", mix), ("pack", pack)]
