@@ -64,7 +64,7 @@ def duplicate_groups(docs: DataFrame, digest=sha256) -> DataFrame:
     cold, hot = _repeated(work.select("digest"), "exact-counts")
     marked = F.broadcast(hot.withColumn("hot", F.lit(True)))
 
-    merged = _combined(work.join(F.broadcast(hot), "digest"), ["digest", "norm"]).unionByName(_combined(work.join(cold, "digest", "left_semi"), ["digest", "norm"]))
+    merged = _combined(work.join(F.broadcast(hot), "digest"), ["digest", "norm"]).unionByName(_combined(work.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest", "left_semi"), ["digest", "norm"]))
     groups = stored(merged, "exact-groups")
     contents = groups.groupBy("digest").agg(F.count("*").alias("contents"))
 
