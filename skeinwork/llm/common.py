@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -36,6 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_records: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside, to be removed when no result is read from them any more."""
+    _records.append([])
+    try:
+        yield _records[-1]
+    finally:
+        _records.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it again.
 
@@ -44,6 +64,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    for record in _records:
+        record.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

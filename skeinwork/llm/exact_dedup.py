@@ -114,6 +114,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return _combined(copies.withColumn("norm", inside), ["digest", "norm"], doc=F.col("doc")).select("doc.*")
 
     from_hot = winners(rows.join(F.broadcast(hot), "digest"))
-    rest = rows.join(F.broadcast(hot), "digest", "left_anti").join(cold.withColumn("repeated", F.lit(True)), "digest", "left")
+    rest = rows.join(F.broadcast(hot), "digest", "left_anti").join(cold.withColumn("repeated", F.lit(True)).hint("merge"), "digest", "left")
     marked = stored(rest, "dedup-marked")
     return marked.filter("repeated is null").select("doc.*").unionByName(winners(marked.filter("repeated").drop("repeated"))).unionByName(from_hot)
