@@ -83,15 +83,25 @@ def zero_filled(df: DataFrame, column: str, listed: Sequence[str]) -> DataFrame:
 def aliases_in(items: DataFrame, item_id: str, fields: Sequence[str], aliases: DataFrame) -> DataFrame:
     """item_id, name, alias, field: aliases (name, alias: lower-case words) that occur in a field as words.
 
-    Items and aliases meet by an alias's first word, then the whole is looked for, so the
-    catalogue may grow without a nested loop.
+    A field's distinct runs of as many words as aliases have meet the aliases by equality; the
+    text itself stays where it is read, and the catalogue may grow without a nested loop.
     """
+    spelt = aliases.select("name", "alias", F.size(F.split("alias", " ")).alias("_n"))
+    sizes = sorted(r["_n"] for r in spelt.select("_n").distinct().collect())
     normal = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
-    stack = reduce(lambda a, b: a.unionAll(b), [items.select(F.col(item_id), F.lit(f).alias("field"), normal(F.col(f)).alias("_t")) for f in fields])
-    words = stack.withColumn("_w", F.explode(F.array_distinct(F.split("_t", " ")))).filter("_w <> ''")
-    keyed = aliases.withColumn("_w", F.split("alias", " ")[0])
-    inside = F.contains(F.concat(F.lit(" "), F.col("_t"), F.lit(" ")), F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
-    return words.join(keyed, "_w").filter(inside).select(item_id, "name", "alias", "field").distinct()
+
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    found = None
+    for f in fields:
+        words = items.select(F.col(item_id), F.lit(f).alias("field"), F.split(normal(F.col(f)), " ").alias("_w"))
+        one = words.select(item_id, "field", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("_w"), n) for n in sizes or [1]])))).alias("alias"))
+        found = one if found is None else found.unionByName(one)
+    return found.filter("alias <> ''").join(spelt.drop("_n"), "alias").select(item_id, "name", "alias", "field").distinct()
 
 
 def round_robin(df: DataFrame, source: str, source_order: str, position: str, key: str, limit: int | None = None) -> DataFrame:

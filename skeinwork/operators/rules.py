@@ -28,6 +28,32 @@ def sql_term_pattern(terms: Sequence[str]) -> str:
     return term_pattern(terms).replace("(?<![a-z0-9])", "(^|[^a-z0-9])").replace("(?![a-z0-9])", "($|[^a-z0-9])")
 
 
+#: Set around every run of letters and digits in a marked text, so that a substring is a whole word.
+MARK = "\x01"
+
+
+def marked(text: Column) -> Column:
+    """text with blanks collapsed and words marked: what terms are looked up in, made once a row."""
+    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "([a-z0-9]+)", f"{MARK}$1{MARK}")
+
+
+def term_in(text: Column, marked_text: Column, term: str) -> Column:
+    """Whether a term occurs as words: a substring search where the term begins and ends with a word, else a pattern."""
+    plain = " ".join(term.lower().split())
+    found = F.contains(marked_text, F.lit(re.sub("[a-z0-9]+", f"{MARK}\\g<0>{MARK}", plain)))
+    whole = plain[:1].isascii() and plain[:1].isalnum() and plain[-1:].isascii() and plain[-1:].isalnum()
+    return found if whole else text.rlike(term_pattern([term]))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, whatever is filtered, sorted and derived by them.
+
+    A predicate isn't pushed below a projection that isn't deterministic, nor is such a projection
+    merged with what uses it; the row number here is only that mark, it changes no value.
+    """
+    return df.withColumns({k: F.when(F.monotonically_increasing_id() >= 0, c) for k, c in columns.items()})
+
+
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
     return text.rlike(term_pattern(terms)) if terms else F.lit(False)
 
@@ -68,9 +94,28 @@ class RuleBook:
         hits = [f"({' + '.join(f'CAST({one([t])} AS INT)' for t in dict.fromkeys(self.lexicons[s]))}) >= {flag.at_least}" if flag.at_least > 1 else one(self.lexicons[s]) for s in flag.all_of]
         return " AND ".join([*hits, *(f"NOT {one(self.lexicons[s])}" for s in flag.none_of)])
 
+    def counts(self, text: Column, marked_text: Column) -> Column:
+        """struct of the flags' lexicons: how many distinct terms occur, as far as a flag asks (1 if any will do)."""
+        asked: dict[str, int] = {}
+        for f in self.flags:
+            for s in f.all_of:
+                asked[s] = max(asked.get(s, 1), f.at_least)
+            for s in f.none_of:
+                asked.setdefault(s, 1)
+        return F.struct(*[self._count(s, most, text, marked_text).alias(s) for s, most in asked.items()])
+
+    def _count(self, lexicon: str, most: int, text: Column, marked_text: Column) -> Column:
+        hits = [term_in(text, marked_text, t) for t in dict.fromkeys(self.lexicons[lexicon])]
+        if most == 1:
+            return reduce(lambda a, b: a | b, hits, F.lit(False)).cast("int")
+        return reduce(lambda a, b: a + b, [h.cast("int") for h in hits], F.lit(0))
+
     def flagged(self, df: DataFrame, text: Column) -> DataFrame:
-        """df with a boolean column per flag; each set is one compiled pattern in the generated code."""
-        return df.withColumns({f.name: self.column(f, text) for f in self.flags})
+        """df with a boolean column per flag. Text is marked and searched once a row."""
+        looked = once(once(df.withColumn("_text", text), _marked=marked(F.col("_text"))), _hits=self.counts(F.col("_text"), F.col("_marked")))
+        hit = lambda s, n=1: F.coalesce(F.col(f"_hits.{s}") >= n, F.lit(False))
+        flags = {f.name: reduce(lambda a, b: a & b, [*(hit(s, f.at_least) for s in f.all_of), *(~hit(s) for s in f.none_of)], F.lit(True)) for f in self.flags}
+        return looked.withColumns(flags).drop("_text", "_marked", "_hits")
 
     def score(self) -> Column:
         return reduce(lambda a, b: a + b, [F.when(F.col(f.name), f.weight).otherwise(0) for f in self.flags if f.weight], F.lit(0))
