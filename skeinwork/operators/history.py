@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from skeinwork.functions import extract
 from skeinwork.functions.text import story_text
+from skeinwork.operators.rank import best_of
 from skeinwork.operators.relational import interval_match
 from skeinwork.operators.resolve import connected
 
@@ -56,23 +58,49 @@ def suppressed(items: DataFrame, sent: DataFrame, shared: DataFrame) -> DataFram
     return items.select("item_id").join(first, "item_id", "left").select("item_id", F.when(F.col("place").isNotNull(), names[F.col("place")]).alias("reason"))
 
 
-def same_run_groups(items: DataFrame) -> DataFrame:
-    """node, group of a run's items that tell of one funding, partnership or launch within three days, transitively.
+#: Why items of a run are one story; the first of these that any of its pairs has names the group.
+RUN_REASONS = ("funding", "partnership", "launch")
+
+
+def same_run_pairs(items: DataFrame) -> DataFrame:
+    """a, b, reason of a run's items that tell of one funding, partnership or launch within three days.
 
-    items: item_id, at, funding, partners (pair), launch (struct of company and product).
+    items: item_id, at, funding (as extract.run_funding has it), partners (pair), launch (struct
+    of company and product). Fundings meet by entity and amount, or by entity and round.
     """
-    keys = {
-        "funding": F.concat_ws("|", F.lit("f"), "funding.entity", "funding.amount.currency", "funding.amount.value", "funding.amount.scale"),
-        "partners": F.concat_ws("|", F.lit("p"), F.array_join("partners", "+")),
-        "launch": F.concat_ws("|", F.lit("l"), "launch.company", "launch.product"),
-    }
+    f = F.col("funding")
+    money, backed = F.struct(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).cast("string"), F.size(f["investors"]) > 0
+    keys = (
+        (f["amount"].isNotNull(), F.concat_ws("|", F.lit("f"), f["entity"], money), 0), (f["round"].isNotNull() & backed, F.concat_ws("|", F.lit("r"), f["entity"], f["round"]), 0),
+        (F.col("partners").isNotNull(), F.concat_ws("|", F.lit("p"), F.array_join("partners", "+")), 1), (F.col("launch").isNotNull(), F.concat_ws("|", F.lit("l"), "launch.company", "launch.product"), 2),
+    )
     rows = None
-    for name, key in keys.items():
-        one = items.filter(F.col(name).isNotNull()).select("item_id", "at", key.alias("key"))
+    for given, key, place in keys:
+        one = items.filter(given).select("item_id", "at", "funding", key.alias("key"), F.lit(place).alias("place"))
         rows = one if rows is None else rows.unionByName(one)
     near = F.abs(F.datediff("l.at", "r.at")) <= 3
-    pairs = interval_match(rows, rows, "key", "at", 4).filter(near & (F.col("l.item_id") < F.col("r.item_id")))
-    return connected(pairs.select(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b")))
+    told = (F.col("l.place") > 0) | extract.same_run_funding(F.col("l.funding"), F.col("r.funding"))
+    pairs = interval_match(rows, rows, "key", "at", 4).filter(near & told & (F.col("l.item_id") < F.col("r.item_id")))
+    return pairs.groupBy(F.col("l.item_id").alias("a"), F.col("r.item_id").alias("b")).agg(F.min("l.place").alias("place"))
+
+
+def same_run_groups(items: DataFrame) -> DataFrame:
+    """node, group, reason of a run's items that tell of one story, transitively; the reason is that of the group's first pair."""
+    pairs = same_run_pairs(items)
+    nodes = connected(pairs)
+    first = pairs.join(nodes, F.col("a") == F.col("node")).groupBy("group").agg(F.min(F.struct("a", "b", "place")).alias("first"))
+    names = F.array(*map(F.lit, RUN_REASONS))
+    return nodes.join(first, "group").select("node", "group", names[F.col("first.place")].alias("reason"))
+
+
+def repeated_angles(items: DataFrame, recent: DataFrame) -> DataFrame:
+    """item_id, representative of the items that tell a company's story of one angle again.
+
+    items, recent: item_id, key (struct of company and angle, or null), score, at, url; of recent
+    ones the best speaks for its key.
+    """
+    best = best_of(recent.filter("key is not null"), ["key"], [F.desc("score"), F.desc("at"), F.col("url"), F.col("item_id")])
+    return items.filter("key is not null").join(best.select("key", F.col("item_id").alias("representative")), "key").select("item_id", "representative")
 
 
 @F.pandas_udf(DoubleType())
@@ -86,20 +114,58 @@ def signature(title: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: F.length(w) > 2), " ")
 
 
-def near_duplicate_pairs(candidates: DataFrame, pairs: DataFrame, ratio: float = 0.78) -> DataFrame:
+#: Words that carry no story identity.
+STORY_STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "into", "its", "has", "have", "will", "are", "was", "were", "new", "after", "over", "about", "said", "says")
+
+
+def near_duplicate_pairs(candidates: DataFrame, pairs: DataFrame, ratio: float = 0.78, related: Sequence[tuple[str, str]] = (), markers: Sequence[str] = (), stop_words: Sequence[str] = STORY_STOP_WORDS) -> DataFrame:
     """(a, b) of the given pairs that tell one story; candidates: id, pack, title, text.
 
-    Token measures are decided first, in the generated code; only pairs that they leave open
-    are compared sign by sign.
+    Both must be of one pack or of related ones. Then any of these tells: titles that share 0.8
+    of the smaller one's words; stories that share 0.62 of the smaller one's and five at least,
+    or four of which one is a marker; titles that are alike sign by sign. Words count once.
+    Measures of words are decided first, in the generated code; only titles whose lengths let
+    them be alike are compared sign by sign.
     """
-    words = F.filter(F.array_distinct(F.split(story_text(F.concat_ws(" ", "title", "text")), " ")), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$"))
-    side = candidates.select("id", "pack", signature(F.col("title")).alias("sig"), words.alias("story"))
-    x = side.select(F.col("id").alias("a"), F.struct("pack", "sig", "story").alias("x"))
-    y = side.select(F.col("id").alias("b"), F.struct("pack", "sig", "story").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").filter("x.pack = y.pack and x.sig <> '' and y.sig <> ''")
-    share = lambda p, q: F.size(F.array_intersect(p, q)) / F.greatest(F.least(F.size(p), F.size(q)), F.lit(1))
-    title = share(F.split("x.sig", " "), F.split("y.sig", " ")) >= 0.8
-    story = (share(F.col("x.story"), F.col("y.story")) >= 0.62) & (F.size(F.array_intersect("x.story", "y.story")) >= 5)
+    words = F.filter(F.array_distinct(F.split(story_text(F.concat_ws(" ", "title", "text")), " ")), lambda w: (F.length(w) > 2) & ~w.rlike("^[0-9]+$") & ~w.isin(*stop_words))
+    sig = signature(F.col("title"))
+    side = candidates.select("id", "pack", sig.alias("sig"), F.array_distinct(F.split(sig, " ")).alias("head"), words.alias("story"))
+    x = side.select(F.col("id").alias("a"), F.struct("pack", "sig", "head", "story").alias("x"))
+    y = side.select(F.col("id").alias("b"), F.struct("pack", "sig", "head", "story").alias("y"))
+    packs = F.col("x.pack") == F.col("y.pack")
+    for p, q in related:
+        packs |= F.col("x.pack").isin(p, q) & F.col("y.pack").isin(p, q)
+    both = pairs.join(x, "a").join(y, "b").filter(packs & F.expr("x.sig <> '' and y.sig <> ''"))
+    both = both.withColumn("shared", F.array_intersect("x.story", "y.story"))
+    smaller = lambda p, q: F.greatest(F.least(F.size(p), F.size(q)), F.lit(1))
+    title = F.size(F.array_intersect("x.head", "y.head")) / smaller("x.head", "y.head") >= 0.8
+    n = F.size("shared")
+    story = (n >= 5) & (n / smaller("x.story", "y.story") >= 0.62)
+    if markers:
+        story |= (n >= 4) & F.arrays_overlap("shared", F.array(*map(F.lit, markers)))
     decided = both.withColumn("same", title | story)
-    spelt = decided.filter("not same").filter(sequence_ratio(F.col("x.sig"), F.col("y.sig")) >= ratio)
+    p, q = F.length("x.sig"), F.length("y.sig")
+    spelt = decided.filter(~F.col("same") & (2 * F.least(p, q) >= ratio * (p + q))).filter(sequence_ratio(F.col("x.sig"), F.col("y.sig")) >= ratio)
     return decided.filter("same").select("a", "b").unionByName(spelt.select("a", "b"))
+
+
+def first_told(candidates: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
+    """The candidates that no accepted earlier one tells: each is probed in order against those accepted so far.
+
+    pairs: (a, b) that tell one story. Rows that no pair links are accepted as they are; a group
+    of linked ones, as large as its stories are told often, is folded in order.
+    """
+    links = pairs.select("a", "b")
+    groups = connected(links)
+    near = links.union(links.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))
+    linked = candidates.select("id", F.col(order).alias("place")).join(near, "id").join(groups.withColumnRenamed("node", "id"), "id")
+
+    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+        accepted: set = set()
+        for row in pdf.sort_values(["place", "id"]).itertuples():
+            if not accepted.intersection(row.near):
+                accepted.add(row.id)
+        return pd.DataFrame({"id": sorted(set(pdf["id"]) - accepted)})
+
+    told = linked.groupBy("group").applyInPandas(probe, candidates.select("id").schema)
+    return candidates.join(told, "id", "left_anti")

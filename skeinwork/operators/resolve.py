@@ -16,19 +16,11 @@ SIMILAR = 0.75
 SKIPS = 16
 
 
-def candidate_pairs(items: DataFrame, item_id: str, title: str, rare: int | None = None) -> DataFrame:
-    """(a, b), a < b, of items that share a title token, or their whole key.
-
-    rare: tokens of more items than that don't propose pairs (None: all do), which loses the
-    pairs that share none but frequent tokens.
-    """
-    base = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"))
-    words = base.select("id", F.explode("tokens").alias("t"))
-    if rare:
-        words = words.join(words.groupBy("t").count().filter(F.col("count") <= rare).select("t"), "t", "left_semi")
-    keyed = words.unionByName(base.select("id", F.concat(F.lit("="), F.col("key")).alias("t")))
-    pairs = keyed.select("t", F.col("id").alias("a")).join(keyed.select("t", F.col("id").alias("b")), "t").filter("a < b").select("a", "b").distinct()
-    return pairs
+def candidate_pairs(items: DataFrame, item_id: str, title: str, by: str | None = None) -> DataFrame:
+    """(a, b), a < b, of items that share a title token, or their whole key; by: only those with one value of this column."""
+    base = items.select(F.col(item_id).alias("id"), (F.col(by) if by else F.lit(0)).alias("by"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"))
+    keyed = base.select("id", "by", F.explode("tokens").alias("t")).unionByName(base.select("id", "by", F.concat(F.lit("="), F.col("key")).alias("t")))
+    return keyed.select("t", "by", F.col("id").alias("a")).join(keyed.select("t", "by", F.col("id").alias("b")), ["t", "by"]).filter("a < b").select("a", "b").distinct()
 
 
 def proposed(sets: DataFrame) -> DataFrame:
@@ -45,14 +37,11 @@ def proposed(sets: DataFrame) -> DataFrame:
     return both.filter("g <> h and (p < q or (p = q and a < b))").select("a", "b").distinct()
 
 
-def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10, rare: int | None = None) -> DataFrame:
-    """a, b, similarity of the pairs that tell of one event; with rare, only of those that rarer tokens propose."""
+def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10) -> DataFrame:
+    """a, b, similarity of the pairs that tell of one event; none is left out."""
     side = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("at"))
-    if rare:
-        pairs = candidate_pairs(items, item_id, title, rare)
-    else:
-        keyed = side.select("key", F.col("id").alias("a")).join(side.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-        pairs = proposed(side.select("id", "tokens", F.col("id").alias("group"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(keyed).distinct()
+    keyed = side.select("key", F.col("id").alias("a")).join(side.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
+    pairs = proposed(side.select("id", "tokens", F.col("id").alias("group"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(keyed).distinct()
     both = pairs.join(side.select(F.col("id").alias("a"), F.struct("tokens", "key", "at").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.struct("tokens", "key", "at").alias("y")), "b")
     measure = overlap(F.col("x.tokens"), F.col("y.tokens"))
     return both.filter(_near(F.col("x.at"), F.col("y.at"), days) & ((F.col("x.key") == F.col("y.key")) | (measure >= SIMILAR))).select("a", "b", F.round(measure, 6).alias("similarity"))

@@ -45,6 +45,18 @@ def term_in(text: Column, marked_text: Column, term: str) -> Column:
     return found if whole else text.rlike(term_pattern([term]))
 
 
+def lexicon_hit(text: Column, marked_text: Column, terms: Sequence[str]) -> Column:
+    """Whether any term of a set occurs; a loop over a constant array, however many terms there are."""
+    plain = [" ".join(t.lower().split()) for t in dict.fromkeys(terms)]
+    whole = [t for t in plain if re.fullmatch("[a-z0-9](.*[a-z0-9])?", t)]
+    hit = F.lit(False)
+    if whole:
+        keys = F.array(*[F.lit(re.sub("[a-z0-9]+", f"{MARK}\\g<0>{MARK}", t)) for t in whole])
+        hit = F.exists(keys, lambda k: F.contains(marked_text, k))
+    odd = [t for t in plain if t not in whole]
+    return hit | text.rlike(term_pattern(odd)) if odd else hit
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once a row, whatever is filtered, sorted and derived by them.
 
@@ -63,6 +75,13 @@ def count_terms(text: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a + b, [contains_any(text, [t]).cast("int") for t in dict.fromkeys(terms)], F.lit(0))
 
 
+def term_counts(df: DataFrame, text: Column, lexicons: Mapping[str, Sequence[str]]) -> DataFrame:
+    """df with a column per lexicon: how many of its distinct terms occur."""
+    looked = once(df.withColumn("_text", text), _marked=marked(F.col("_text")))
+    count = lambda terms: reduce(lambda a, b: a + b, [term_in(F.col("_text"), F.col("_marked"), t).cast("int") for t in dict.fromkeys(terms)], F.lit(0))
+    return looked.withColumns({name: count(terms) for name, terms in lexicons.items()}).drop("_text", "_marked")
+
+
 def contains_plain(text: Column, terms: Sequence[str]) -> Column:
     """Any of the terms as a substring."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))

@@ -32,7 +32,7 @@ def history_suppression(t: Tables):
 
 @query("""WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_custkey AS c, floor(o_totalprice / 50000) AS a, CAST(o_orderdate AS DATE) AS d FROM orders),
           n AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.c = y.c AND x.a = y.a AND x.id <> y.id AND abs(datediff('day', x.d, y.d)) <= 3),
-          r(node, g) AS (SELECT a, a FROM n UNION SELECT n.b, r.g FROM r JOIN n ON r.node = n.a) SELECT node, min(g) AS "group" FROM r GROUP BY node""")
+          r(node, g) AS (SELECT a, a FROM n UNION SELECT n.b, r.g FROM r JOIN n ON r.node = n.a) SELECT node, min(g) AS "group", 'funding' AS reason FROM r GROUP BY node""")
 def same_run_groups(t: Tables):
     s = _orders_as_stories(t).select("item_id", "at", "funding", F.lit(None).cast("array<string>").alias("partners"), F.lit(None).cast("struct<company:string,product:string>").alias("launch"))
     return history.same_run_groups(s)
@@ -42,7 +42,7 @@ def same_run_groups(t: Tables):
 def near_duplicate_stories(t: Tables):
     """Documents of one language whose titles propose them and that tell one story."""
     c = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("pack"), text.title_of("text").alias("title"), "text")
-    return history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title"))
+    return history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title", "pack"))
 
 
 PREFERRED, WEAK = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"), ("none",)

@@ -131,12 +131,12 @@ def first_seen_any_key(t: Tables):
 _TOK = f"SELECT doc_id AS id, list_distinct({TOKENS}) AS tok, {KEY} AS k FROM documents"
 
 
-@query(f"""WITH d AS ({_TOK}), w AS (SELECT id, unnest(tok) AS t FROM d), r AS (SELECT t FROM w GROUP BY t HAVING count(*) <= 50),
-           c AS (SELECT id, t FROM w WHERE t IN (SELECT t FROM r) UNION ALL SELECT id, '=' || k FROM d), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM c a JOIN c b ON a.t = b.t AND a.id < b.id)
-           SELECT a, b, round(CASE WHEN least(len(x.tok), len(y.tok)) > 0 THEN len(list_intersect(x.tok, y.tok)) / least(len(x.tok), len(y.tok)) ELSE 0.0 END, 6) AS similarity
-           FROM p JOIN d x ON x.id = p.a JOIN d y ON y.id = p.b WHERE x.k = y.k OR CASE WHEN least(len(x.tok), len(y.tok)) > 0 THEN len(list_intersect(x.tok, y.tok)) / least(len(x.tok), len(y.tok)) ELSE 0.0 END >= 0.75""")
+@query(f"""WITH d AS MATERIALIZED ({_TOK}), p AS (SELECT x.id AS a, y.id AS b, x.k = y.k AS one_key,
+             CASE WHEN least(len(x.tok), len(y.tok)) > 0 THEN len(list_intersect(x.tok, y.tok)) / least(len(x.tok), len(y.tok)) ELSE 0.0 END AS s FROM d x JOIN d y ON x.id < y.id)
+           SELECT a, b, round(s, 6) AS similarity FROM p WHERE one_key OR s >= 0.75""")
 def title_similarity_pairs(t: Tables):
-    return resolve.similar_pairs(t.documents.select("doc_id", text.title_of("text").alias("title")), "doc_id", "title", rare=50)
+    """Every pair of titles that are alike, however frequent their tokens."""
+    return resolve.similar_pairs(t.documents.select("doc_id", text.title_of("text").alias("title")), "doc_id", "title")
 
 
 _LINKS = f"SELECT doc_id, md5(text) AS x, source || ':' || {KEY} AS y FROM documents"

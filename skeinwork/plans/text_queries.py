@@ -136,8 +136,8 @@ def lexicon_flags(t: Tables):
 
 @query("SELECT doc_id, " + ", ".join("CAST(" + " + ".join(f"CAST(regexp_matches({_H}, '{rules.sql_term_pattern([w])}') AS INT)" for w in BOOK.lexicons[s]) + f" AS INT) AS {s}_terms" for s in ("insult", "german", "french")) + " FROM documents")
 def term_counts(t: Tables):
-    h = F.lower(F.coalesce("text", F.lit("")))
-    return t.documents.select("doc_id", *[rules.count_terms(h, BOOK.lexicons[s]).alias(f"{s}_terms") for s in ("insult", "german", "french")])
+    sets = {f"{s}_terms": BOOK.lexicons[s] for s in ("insult", "german", "french")}
+    return rules.term_counts(t.documents, F.lower(F.coalesce("text", F.lit(""))), sets).select("doc_id", *sets)
 
 
 @query(f"SELECT doc_id, contains({_H}, 'license') OR contains({_H}, '!!') AS hit FROM documents")

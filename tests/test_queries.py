@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from skeinwork.plans import history_queries, rank_queries, relational_queries, source_queries, text_queries  # noqa: F401
+from skeinwork.plans import history_queries, rank_queries, relational_queries, ruleset_queries, source_queries, text_queries  # noqa: F401
 from skeinwork.plans.registry import QUERIES, SQL
 
 
