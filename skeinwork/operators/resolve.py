@@ -166,3 +166,32 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
     steps = _earlier(base, "group", skips=SKIPS).unionByName(_earlier(base.filter("url is not null"), "url", skips=SKIPS)).unionByName(between(alike, "kind")).unionByName(between(same, "group"))
     reached = least_reached(steps).select("node", F.col("label.id").alias("cluster"))
     return base.select("id", "node").join(reached, "node", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:
+    """id, cluster, event_id, known of current rows: a cluster takes the id of the event that history tells.
+
+    current: id, title, url, at, order; history: the same and event_id. Current rows are clustered
+    among themselves. A cluster matches an event if any of their rows do; of several events it
+    takes the one whose first row comes first. A new event's id follows from its cluster's first row.
+    """
+    clusters = cluster(current, "id", "title", "url", "at", "order")
+
+    def side(df: DataFrame, which: str) -> DataFrame:
+        return df.select(F.struct(F.lit(which).alias("side"), F.col("id").cast("string").alias("id")).alias("id"), "url", "at", F.array_distinct(tokens("title")).alias("tokens"), event_key("title").alias("key"), F.lit(which).alias("group"))
+
+    now, then = _stored(side(current, "now")), _stored(side(history, "then"))
+    cross = proposed(now.unionByName(then).select("id", "tokens", "group"))
+    cross = cross.select(F.when(F.col("a.side") == "now", F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.side") == "now", F.col("b")).otherwise(F.col("a")).alias("b"))
+    left, right = (df.select(F.col("id").alias(i), F.struct("at", "tokens").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))
+    near = _near(F.col("x.at"), F.col("y.at"))
+    alike = cross.join(left, "a").join(right, "b").filter(near & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
+    l, r = (df.select("key", F.col("id").alias(i), F.col("at").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))  # noqa: E741
+    keyed = l.join(r, "key").filter(_near(F.col("x"), F.col("y"))).select("a", "b")
+    linked = now.select("url", F.col("id").alias("a")).join(then.select("url", F.col("id").alias("b")), "url").select("a", "b")
+    first = history.groupBy("event_id").agg(F.min(F.struct("order", F.col("id").cast("string").alias("id"))).alias("first"))
+    told = history.select(F.col("id").cast("string").alias("old"), "event_id").join(first, "event_id")
+    matches = alike.unionByName(keyed).unionByName(linked).select(F.col("a.id").alias("row"), F.col("b.id").alias("old")).distinct().join(told, "old")
+    named = clusters.withColumn("row", F.col("id").cast("string")).join(matches, "row").groupBy("cluster").agg(F.min(F.struct("first", "event_id")).alias("m")).select("cluster", F.col("m.event_id").alias("_known"))
+    new = F.sha2(F.concat(F.lit("event:"), F.col("cluster").cast("string")), 256)
+    return clusters.join(named, "cluster", "left").select("id", "cluster", F.coalesce("_known", new).alias("event_id"), F.col("_known").isNotNull().alias("known"))

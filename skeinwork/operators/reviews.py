@@ -52,6 +52,11 @@ def outcome(review_: Column, protected: Column, promotable: Column) -> Column:
     )
 
 
+def eligible(fresh: Column, kept: Column, skipped: Column, shortlisted: Column, borderline: Column, score: Column, send: float, margin: float = 6) -> Column:
+    """Whether a reviewer sees an item: fresh, kept and not skipped, and listed, borderline or nearly good enough to be sent."""
+    return F.coalesce(fresh & kept & ~skipped & (shortlisted | borderline | (score >= send - margin)), F.lit(False))
+
+
 def duplicate_accepted(same: Column, confidence: Column, age_days: Column) -> Column:
     """A reviewer's duplicate counts within a week at medium confidence, within two at high."""
     return F.coalesce(same & ((confidence.isin("medium", "high") & age_days.between(0, 7)) | ((confidence == "high") & age_days.between(8, 14))), F.lit(False))

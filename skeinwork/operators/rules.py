@@ -152,6 +152,11 @@ def first_match(cases: Sequence[tuple[Column, str]], otherwise: str | None = Non
     return out.otherwise(F.lit(otherwise))
 
 
+def notes(cases: Sequence[tuple[Column, str]]) -> Column:
+    """The notes whose condition holds, in order."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in cases]))
+
+
 def gate(cases: Sequence[tuple[Column, str]]) -> Column:
     """struct(status, reason): dropped by the first rule that holds, else kept."""
     reason = first_match(cases)
