@@ -136,16 +136,18 @@ def _measures(text: Column) -> dict[str, Column]:
 _WEAK = " + ".join(f"CAST(physical_weak_{i} AS INT)" for i in range(1, 5))
 
 
-def judged(items: DataFrame, title: str = "title", preview: str = "text_preview") -> DataFrame:
+def judged(items: DataFrame, title: str = "title", preview: str = "text_preview", terms: Mapping[str, Sequence[str]] = TERMS, patterns: Mapping[str, str] | None = None, keep_text: str | None = None) -> DataFrame:
     """items (with the columns of ITEM) and the flags, off_scope, reason (null: kept), score, shortlisted and what they rest on.
 
-    Text is marked and looked up once a row; all conditions are evaluated on the hits.
+    Text is marked and looked up once a row; all conditions are evaluated on the hits. More
+    terms and patterns may be looked up, and the text kept, for conditions that follow.
     """
     looked = once(items.withColumn("_text", haystack(title, preview)), _marked=marked(F.col("_text")))
     text, words = F.col("_text"), F.col("_marked")
-    hits = [lexicon_hit(text, words, terms).alias(name) for name, terms in TERMS.items()]
-    looked = once(looked, _hits=F.struct(*hits, *[c.alias(k) for k, c in _measures(text).items()]))
-    looked = looked.select(*items.columns, "_hits.*").selectExpr("*", f"{_WEAK} AS weak_terms")
+    hits = [lexicon_hit(text, words, listed).alias(name) for name, listed in terms.items()]
+    found = _measures(text) | {k: text.rlike(p) for k, p in (patterns or {}).items()}
+    looked = once(looked, _hits=F.struct(*hits, *[c.alias(k) for k, c in found.items()]))
+    looked = looked.select(*items.columns, *([text.alias(keep_text)] if keep_text else []), "_hits.*").selectExpr("*", f"{_WEAK} AS weak_terms")
     return looked.selectExpr("*", *[f"coalesce({c}, false) AS {n}" for n, c, _ in FLAGS]).selectExpr("*", *[f"({c}) AS {n}" for n, c in DERIVED])
 
 
@@ -154,10 +156,11 @@ def applied() -> Column:
     return F.map_filter(F.create_map(*[x for n, _, w in FLAGS for x in (F.lit(n), F.when(F.col(n), F.lit(w or 0)))]), lambda _, w: w.isNotNull())
 
 
-def judged_sql(items: str) -> str:
+def judged_sql(items: str, terms: Mapping[str, Sequence[str]] = TERMS, patterns: Mapping[str, str] | None = None) -> str:
     """The same for engines that lack look-around: items is a subquery with id, title, text_preview and the columns of ITEM."""
     quoted = lambda s: s.replace("'", "''")
-    hits = [f"regexp_matches(h, '{quoted(sql_term_pattern(terms))}') AS {name}" for name, terms in TERMS.items()]
+    hits = [f"regexp_matches(h, '{quoted(sql_term_pattern(listed))}') AS {name}" for name, listed in terms.items()]
+    hits += [f"regexp_matches(h, '{p}') AS {k}" for k, p in (patterns or {}).items()]
     hits += [f"regexp_matches(h, '{_SCALE}') AS quantified", f"regexp_matches(h, '{_BILLIONS}') AS billions", f"coalesce(TRY_CAST(replace(regexp_extract(h, '{_PRICE}', 1), ',', '') AS BIGINT) <= {LOW_PRICE}, false) AS low_price"]
     base = f"SELECT *, {', '.join(hits)} FROM (SELECT *, lower(title || ' ' || coalesce(text_preview, '')) AS h FROM ({items}))"
     flags = ", ".join(f"coalesce({c}, false) AS {n}" for n, c, _ in FLAGS)
