@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.plans.registry import Tables, query
-from skeinwork.rulesets import editorial, relevance
+from skeinwork.rulesets import editorial, relevance, weekly
 
 #: Phrases that stories are composed of; twelve of each.
 WHO = ("Acme Robotics", "A humanoid robot maker", "An AI startup", "A mass timber developer", "A robotaxi service", "A hospital", "The port terminal", "A billionaire banker", "The housing market", "An armed forces interview", "A modular prefab builder", "A warehouse logistics group")
@@ -84,3 +84,30 @@ def editorial_flags(t: Tables):
 def editorial_gate(t: Tables):
     """Whether a story may be sent, and what a reviewer's answer may change."""
     return editorial.gated(stories(t)).select("id", F.col("send_reason").isNull().alias("allowed"), F.col("send_reason").alias("reason"), "protected", "promotable", "sent_anyway")
+
+
+#: What a week's story goes on to say.
+THEN = (
+    "Full shifts without intervention.", "Its total funding grows.", "The marine terminal is a one-stop shop.", "Drugs in orbit.", "An office building project.", "On-site assembly is next.", "SoftBank plans a data center buildout.",
+    "It will deploy more.", "Its venture arm raised a fund.", "Want to hire? The talent pool is large.", "How to ride with Waymo.", "Trained in simulation, its viewers say; Hyundai agrees.",
+)
+_SKIPS = ("", "editorial_not_telegram_worthy", "freshness_failed")
+WEEK_SQL = weekly.classified_sql(f"SELECT *, text_preview || ' ' || {_list(THEN, 'id // 5')} AS summary, nullif({_list(_SKIPS, 'id // 3')}, '') AS skip_reason FROM ({JUDGED_SQL})")
+
+
+def week(t: Tables) -> DataFrame:
+    judged = relevance.judged(stories(t)).select("id", "title", "text_preview", *relevance.FLAG_NAMES)
+    judged = judged.withColumns({"summary": F.concat_ws(" ", "text_preview", _pick(THEN, F.floor(F.col("id") / 5))), "skip_reason": F.nullif(_pick(_SKIPS, F.floor(F.col("id") / 3)), F.lit(""))})
+    return weekly.classified(judged)
+
+
+@query(f"SELECT id, bucket, CAST(bucket_rank AS INT) AS bucket_rank, noise, eligible FROM ({WEEK_SQL})")
+def week_buckets(t: Tables):
+    """Bucket and rank of each story in a week, whether it is noise and whether it is a candidate at all."""
+    return week(t).select("id", "bucket", "bucket_rank", "noise", "eligible")
+
+
+@query(f"SELECT id, story_type, array_to_string(guards, ' | ') AS guards FROM ({WEEK_SQL})")
+def story_types(t: Tables):
+    """Type of each story and what to mind when it is written."""
+    return week(t).select("id", "story_type", F.array_join("guards", " | ").alias("guards"))
