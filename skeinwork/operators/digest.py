@@ -29,8 +29,10 @@ def _distinct(rows: list[dict]) -> list[dict]:
 def prepare(rows: list[dict], limit: int, preferred: Sequence[str], weak: Sequence[str]) -> list[dict]:
     """Manual picks; then one of each preferred bucket, sent before stored; sent ones; stored ones; the rest.
 
-    rows come in digest order. Stored ones are only taken while fewer than five are chosen.
+    rows come in digest order. Stored ones are only taken while fewer than five are chosen; rows
+    that aren't eligible are no candidates at all.
     """
+    rows = [r for r in rows if r.get("eligible", True)]
     chosen = _distinct([r for r in rows if r["manual"]])
     if len(chosen) >= limit:
         return chosen[:limit]
@@ -53,26 +55,38 @@ def prepare(rows: list[dict], limit: int, preferred: Sequence[str], weak: Sequen
     return _distinct(chosen)[:limit]
 
 
+def sent_first(rows: list[dict], limit: int, preferred: Sequence[str], weak: Sequence[str]) -> list[dict]:
+    """Manual and sent ones prepared first; stored ones prepared for the places that are left."""
+    rows = _distinct(rows)
+    first = prepare([r for r in rows if r["manual"] or r["sent"]], limit, preferred, weak)
+    have = {r["id"] for r in first}
+    stored = [r for r in rows if not (r["manual"] or r["sent"]) and r["id"] not in have]
+    return _distinct(first + (prepare(stored, limit - len(first), preferred, weak) if len(first) < limit else []))[:limit]
+
+
 def select_distinct(prepared: list[dict], wanted: Sequence[str], k: int = 5) -> list[dict]:
     """k stories: mandatory ones, then those asked for, then the rest in order."""
     by_id = {r["id"]: r for r in prepared}
     return _distinct([r for r in prepared if r["manual"]] + [by_id[i] for i in wanted if i in by_id] + prepared)[:k]
 
 
-def weekly(candidates: DataFrame, limit: int, preferred: Sequence[str], weak: Sequence[str], ranks: Column) -> DataFrame:
-    """week, place, id of each week's prepared rows.
+def weekly(candidates: DataFrame, limit: int, preferred: Sequence[str], weak: Sequence[str], ranks: Column, stored_last: bool = False) -> DataFrame:
+    """week, place, id of each week's prepared rows; stored_last: sent ones are prepared first, by themselves.
 
-    candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score. The
+    candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score, and
+    eligible if not all are. Rows that aren't eligible don't move. The
     choice sees the whole week: which rows of a bucket count as repeats depends on all rows
     before them, so no number of the best rows is sure to hold each bucket's pick.
     """
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("week").orderBy(F.col("manual").desc(), *digest_order(ranks)))
+    if "eligible" in candidates.columns:
+        candidates = candidates.filter("eligible")
     read = candidates.select("week", "id", "url", "title", "story", "bucket", "sent", "manual", "noise", place.alias("r"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = prepare(pdf.sort_values("r").to_dict("records"), limit, preferred, weak)
+        rows = (sent_first if stored_last else prepare)(pdf.sort_values("r").to_dict("records"), limit, preferred, weak)
         return pd.DataFrame([(r["week"], i, str(r["id"])) for i, r in enumerate(rows, 1)], columns=["week", "place", "id"])
 
     return read.groupBy("week").applyInPandas(choose, "week string, place int, id string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.plans.registry import Tables, query
-from skeinwork.rulesets import editorial, relevance, weekly
+from skeinwork.rulesets import editorial, relevance, review, weekly
 
 #: Phrases that stories are composed of; twelve of each.
 WHO = ("Acme Robotics", "A humanoid robot maker", "An AI startup", "A mass timber developer", "A robotaxi service", "A hospital", "The port terminal", "A billionaire banker", "The housing market", "An armed forces interview", "A modular prefab builder", "A warehouse logistics group")
@@ -111,3 +111,20 @@ def week_buckets(t: Tables):
 def story_types(t: Tables):
     """Type of each story and what to mind when it is written."""
     return week(t).select("id", "story_type", F.array_join("guards", " | ").alias("guards"))
+
+
+#: What a reviewed story goes on to say.
+GOES_ON = (
+    "Revenue rose.", "A funding round for robot hands.", "The data center buildout goes on.", "CAD and commissioning of a factory.", "Growers automate a greenhouse.", "Purchase orders and ERP.", "Access control for sensors.", "An auction of presses.",
+    "Here's how it works.", "Nothing more.", "A platform opportunity for construction.", "Prices were told.",
+)
+_ON = ", ".join("'" + w.replace("'", "''") + "'" for w in GOES_ON)
+REVIEW_SQL = review.reviewed_sql(f"SELECT * REPLACE (text_preview || ' ' || [{_ON}][(id // 11) % {len(GOES_ON)} + 1] AS text_preview) FROM ({GATED_SQL})")
+
+
+@query(f"SELECT id, review_bucket, promotable OR review_bucket IN {review.PROMOTABLE} AS medium_promotes FROM ({REVIEW_SQL})")
+def review_taxonomy(t: Tables):
+    """Bucket of each story under review and whether an answer of medium confidence may promote it."""
+    gated = editorial.gated(stories(t)).select("id", "title", "text_preview", "timber_policy_signal", "promotable")
+    out = review.reviewed(gated.withColumn("text_preview", F.concat_ws(" ", "text_preview", _pick(GOES_ON, F.floor(F.col("id") / 11)))))
+    return out.select("id", "review_bucket", (F.col("promotable") | F.col("review_bucket").isin(*review.PROMOTABLE)).alias("medium_promotes"))

@@ -28,6 +28,13 @@ def test_repeats_noise_and_weak_buckets():
     assert ids(digest.prepare(rows, 20, (), ("w",))) == [1, 5, 4]
 
 
+def test_ineligible_ones_are_no_candidates_and_sent_ones_come_first():
+    rows = [row(1, "a"), row(2, "a", sent=True) | {"eligible": False}, row(3, "b", sent=True), row(4, "a", manual=True) | {"eligible": False}, row(5, "b")]
+    assert ids(digest.prepare(rows, 20, ("a", "b"), ())) == [1, 3, 5]
+    assert ids(digest.sent_first(rows, 20, ("a", "b"), ())) == [3, 1, 5]
+    assert ids(digest.sent_first(rows, 2, ("a", "b"), ())) == [3, 1]
+
+
 def test_select_distinct():
     rows = [row(1), row(2), row(3, manual=True), row(4), row(5), row(6)]
     assert ids(digest.select_distinct(rows, [5, 99, 1], 4)) == [3, 5, 1, 2]
