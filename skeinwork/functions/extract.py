@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,6 +57,14 @@ _MONEY = re.compile(r"([$€£])\s?(\d+(?:\.\d+)?)(\s?)(\w*)")
 _COUNT = re.compile(r"\d{1,3}(?:,\d{3})+|\d+")
 
 
+@lru_cache(256)
+def _by_first_word(phrases: tuple[str, ...]) -> dict[str, list[list[str]]]:
+    out: dict[str, list[list[str]]] = {}
+    for p in phrases:
+        out.setdefault(p.split(" ")[0], []).append(p.split(" "))
+    return out
+
+
 @dataclass(slots=True)
 class Word:
     """A word with the signs before and after it."""
@@ -64,6 +73,7 @@ class Word:
     core: str
     after: str
     start: int
+    low: str
 
 
 class Story:
@@ -77,7 +87,7 @@ class Story:
             for owned in ("'s", "’s"):
                 if core.endswith(owned):
                     core, after = core[:-2], owned + after
-            self.words.append(Word(before, core, after, m.start() + len(before)))
+            self.words.append(Word(before, core, after, m.start() + len(before), core.lower()))
 
     def flows(self, i: int) -> bool:
         """Whether word i follows the one before it without a sign between."""
@@ -85,11 +95,12 @@ class Story:
 
     def phrase(self, i: int, phrases: Sequence[str], exact: bool = False) -> int | None:
         """Where a phrase of the set that begins at word i ends; the longest one."""
-        best = None
-        for p in phrases:
-            parts = p.split(" ")
+        if i >= len(self.words):
+            return None
+        word, best = self.words[i], None
+        for parts in _by_first_word(tuple(phrases)).get(word.core if exact else word.low, ()):
             seen = self.words[i : i + len(parts)]
-            same = len(seen) == len(parts) and all((w.core if exact else w.core.lower()) == x for w, x in zip(seen, parts))
+            same = len(seen) == len(parts) and all((w.core if exact else w.low) == x for w, x in zip(seen, parts))
             if same and all(self.flows(k) for k in range(i + 1, i + len(parts))):
                 best = max(best or 0, i + len(parts))
         return best
@@ -172,7 +183,7 @@ def money(s: Story, signs: str = "$€£") -> tuple[str, str, str] | None:
         scale = SCALES.get(m[4].lower())
         if m[1] in signs and (scale or m[3] or not m[4]):
             found.append((m.start(), (m[1], format(Decimal(m[2]).normalize(), "f"), scale or "")))
-    verb = next((w.start for w in s.words if w.core.lower() in RAISES), None)
+    verb = next((w.start for w in s.words if w.low in RAISES), None)
     later = [a for at, a in found if verb is not None and at > verb]
     return later[0] if later else found[-1][1] if found else None
 
@@ -196,8 +207,7 @@ def valuation_story(s: Story) -> bool:
 
 
 def component(s: Story) -> str | None:
-    ends = {c for c, phrases in COMPONENTS.items() for i in range(len(s.words)) if s.phrase(i, phrases)}
-    return next((c for c in COMPONENTS if c in ends), None)
+    return next((c for c, phrases in COMPONENTS.items() if any(s.phrase(i, phrases) for i in range(len(s.words)))), None)
 
 
 def _pair(left: str, right: str) -> list[list[str]]:

@@ -13,16 +13,16 @@ from pyspark.sql.types import DoubleType
 from skeinwork.functions import extract
 from skeinwork.functions.text import story_text
 from skeinwork.operators.rank import best_of
-from skeinwork.operators.relational import interval_match
-from skeinwork.operators.resolve import connected
+from skeinwork.operators.relational import interval_match, spread
+from skeinwork.operators.resolve import connected, stored
 
 #: Why an item isn't sent, first that holds. A group's deployment probe counts as well as its funding probe.
 REASONS = ("event_sent", "url_sent", "group_url", "deployment_sent", "group_deployment", "group_funding", "funding_sent")
 
 
 def keyed(items: DataFrame, title: str, preview: str, at: str) -> DataFrame:
-    """items with funding and deployment keys, each computed once."""
-    return items.withColumns({"funding": extract.funding_key(title, preview, at), "deployment": extract.deployment_key(title, preview, at)})
+    """items with funding and deployment keys, computed once and stored: several probes read them."""
+    return stored(spread(items).withColumns({"funding": extract.funding_key(title, preview, at), "deployment": extract.deployment_key(title, preview, at)}))
 
 
 def _matches(items: DataFrame, history: DataFrame, kind: str, days: int, same) -> DataFrame:
@@ -78,6 +78,7 @@ def same_run_pairs(items: DataFrame) -> DataFrame:
     for given, key, place in keys:
         one = items.filter(given).select("item_id", "at", "funding", key.alias("key"), F.lit(place).alias("place"))
         rows = one if rows is None else rows.unionByName(one)
+    rows = stored(rows)
     near = F.abs(F.datediff("l.at", "r.at")) <= 3
     told = (F.col("l.place") > 0) | extract.same_run_funding(F.col("l.funding"), F.col("r.funding"))
     pairs = interval_match(rows, rows, "key", "at", 4).filter(near & told & (F.col("l.item_id") < F.col("r.item_id")))
@@ -86,7 +87,7 @@ def same_run_pairs(items: DataFrame) -> DataFrame:
 
 def same_run_groups(items: DataFrame) -> DataFrame:
     """node, group, reason of a run's items that tell of one story, transitively; the reason is that of the group's first pair."""
-    pairs = same_run_pairs(items)
+    pairs = stored(same_run_pairs(items))
     nodes = connected(pairs)
     first = pairs.join(nodes, F.col("a") == F.col("node")).groupBy("group").agg(F.min(F.struct("a", "b", "place")).alias("first"))
     names = F.array(*map(F.lit, RUN_REASONS))

@@ -17,6 +17,12 @@ def small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that costs much a row: rows are dealt anew only if df has fewer parts than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def coalesced_left(left: DataFrame, paths: Sequence[tuple[DataFrame, str, str]], value: str) -> DataFrame:
     """left with `value` from the first path that has one.
 

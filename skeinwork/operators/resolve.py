@@ -51,7 +51,7 @@ def _near(x: Column, y: Column, days: int = 10) -> Column:
     return F.coalesce(F.abs(F.unix_timestamp(x) - F.unix_timestamp(y)) <= days * 86400, F.lit(True))
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written into the folder that the cluster shares, and read again: a plan without a past.
 
     A checkpointed table keeps its plan's constraints, which double from round to round.
@@ -63,7 +63,7 @@ def _stored(df: DataFrame) -> DataFrame:
 
         where = tempfile.mkdtemp(prefix="skeinwork-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}-resolve-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,14 +74,14 @@ def least_reached(steps: DataFrame) -> DataFrame:
     Each round a node takes the smallest label of where its steps lead, then the label of that
     label, so chains shorten by half and more. Labels only fall, so the rounds come to an end.
     """
-    steps = _stored(steps.select("a", "b").distinct())
+    steps = stored(steps.select("a", "b").distinct())
     nodes = steps.select(F.col("a").alias("node"), F.least("a", "b").alias("label")).unionByName(steps.select(F.col("b").alias("node"), F.col("b").alias("label")))
-    labels = _stored(nodes.groupBy("node").agg(F.min("label").alias("label")))
+    labels = stored(nodes.groupBy("node").agg(F.min("label").alias("label")))
     while True:
         near = steps.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        step = _stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was"))
+        step = stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was"))
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
             return labels
@@ -146,13 +146,13 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
     base = items.select(F.col(item_id).alias("id"), F.struct(F.col(order).alias("order"), F.col(item_id).alias("id")).alias("node"), F.col(url).alias("url"), F.col(at).alias("at"), F.array_sort(F.array_distinct(tokens(title))).alias("tokens"), event_key(title).alias("key"))
     group = F.sha2(F.concat_ws("|", "key", F.coalesce(F.col("at").cast("string"), F.lit(""))), 256)
     base = base.withColumn("group", group).withColumn("kind", F.sha2(F.concat_ws("|", "group", F.array_join("tokens", " ")), 256))
-    base = _stored(base)
+    base = stored(base)
     first = lambda c: F.first(c).alias(c)
     # Numbers in place of digests from here on: most of what is moved are pairs of them.
-    keyed = _stored(base.groupBy("group").agg(first("key"), first("at")).withColumn("number", F.monotonically_increasing_id()))
+    keyed = stored(base.groupBy("group").agg(first("key"), first("at")).withColumn("number", F.monotonically_increasing_id()))
     kinds = base.groupBy("kind").agg(first("tokens"), first("group"), first("at")).join(keyed.select("group", "number"), "group")
-    kinds = _stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at"))
-    base = _stored(base.select("id", "node", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "node", "url", "group", F.col("number").alias("kind")))
+    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at"))
+    base = stored(base.select("id", "node", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "node", "url", "group", F.col("number").alias("kind")))
     x, y = (kinds.select(F.col("id").alias(i), F.struct("tokens", "at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     alike = proposed(kinds).join(x, "a").join(y, "b").filter(_near(F.col("x.at"), F.col("y.at")) & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
     l, r = (keyed.select("key", F.col("number").alias(i), F.col("at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
@@ -180,7 +180,7 @@ def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:
     def side(df: DataFrame, which: str) -> DataFrame:
         return df.select(F.struct(F.lit(which).alias("side"), F.col("id").cast("string").alias("id")).alias("id"), "url", "at", F.array_distinct(tokens("title")).alias("tokens"), event_key("title").alias("key"), F.lit(which).alias("group"))
 
-    now, then = _stored(side(current, "now")), _stored(side(history, "then"))
+    now, then = stored(side(current, "now")), stored(side(history, "then"))
     cross = proposed(now.unionByName(then).select("id", "tokens", "group"))
     cross = cross.select(F.when(F.col("a.side") == "now", F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.side") == "now", F.col("b")).otherwise(F.col("a")).alias("b"))
     left, right = (df.select(F.col("id").alias(i), F.struct("at", "tokens").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))

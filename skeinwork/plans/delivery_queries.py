@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinwork.functions import extract
-from skeinwork.operators import delivery, history, models, reviews, rules, runs
+from skeinwork.operators import delivery, history, models, relational, reviews, rules, runs
 from skeinwork.plans.registry import Tables, query
 from skeinwork.sources import landed
 
@@ -131,7 +131,7 @@ def funding_facts(t: Tables):
     made = F.when(c % 5 == 0, "It makes end-effectors. ").when(c % 5 == 1, "It makes dexterous hands. ").otherwise("")
     preview = F.concat(made, F.when(c % 4 == 0, "It was valued at more. ").otherwise(""), F.lit("The money was led by North Fund"), F.when(c % 2 == 0, ".").otherwise(" and backed by South Capital."))
     f = extract.run_funding(title, preview, F.col("o_orderdate"))
-    told = t.orders.select("o_orderkey", f.alias("f"), extract.framing(title, "funding").alias("framing"))
+    told = relational.spread(t.orders).select("o_orderkey", f.alias("f"), extract.framing(title, "funding").alias("framing"))
     return told.select("o_orderkey", F.col("f.entity").alias("entity"), F.col("f.amount.value").alias("value"), F.col("f.round").alias("round"), F.col("f.valuation").alias("valuation"), F.col("f.component").alias("component"), F.array_join("f.investors", "+").alias("investors"), "framing")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators.relational import spread
 from skeinwork.plans.registry import Tables, query
 from skeinwork.rulesets import editorial, relevance, review, weekly
 
@@ -32,7 +33,7 @@ def _pick(words: tuple[str, ...], at: Column) -> Column:
 def stories(t: Tables) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     is_ = lambda n, r: c % n == r
-    return t.orders.select(
+    return spread(t.orders).select(
         k.alias("id"), F.concat_ws(" ", _pick(WHO, k), _pick(DOES, F.floor(k / 12)), _pick(WHAT, F.floor(k / 144))).alias("title"), F.concat_ws(" ", _pick(HOW, k * 7 + c), _pick(HOW, c), _pick(ALSO, F.floor(k / 7))).alias("text_preview"),
         is_(5, 0).alias("timber_api"), is_(5, 1).alias("statistics_source"), is_(5, 2).alias("market_listing"), is_(5, 3).alias("general_business"), is_(3, 0).alias("broad_feed"),
         F.when(is_(4, 0), relevance.GERMAN).when(is_(4, 1), relevance.BRITISH).when(is_(4, 2), editorial.BRITISH_BUILDING).otherwise("").alias("market_scope"), F.when(is_(7, 0), relevance.BUILDING).when(is_(7, 1), relevance.ENGINEERING).otherwise("").alias("strict_scope"),

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.operators.rules import haystack, lexicon_hit, marked, once, sql_term_pattern
+from skeinwork.operators.rules import haystack, lexicons_in, once, sql_term_pattern
 from skeinwork.rulesets.event_terms import EVENT_TERMS
 from skeinwork.rulesets.scope_terms import SCOPE_TERMS
 
@@ -139,15 +139,14 @@ _WEAK = " + ".join(f"CAST(physical_weak_{i} AS INT)" for i in range(1, 5))
 def judged(items: DataFrame, title: str = "title", preview: str = "text_preview", terms: Mapping[str, Sequence[str]] = TERMS, patterns: Mapping[str, str] | None = None, keep_text: str | None = None) -> DataFrame:
     """items (with the columns of ITEM) and the flags, off_scope, reason (null: kept), score, shortlisted and what they rest on.
 
-    Text is marked and looked up once a row; all conditions are evaluated on the hits. More
+    Text is looked up once a row; all conditions are evaluated on the hits. More
     terms and patterns may be looked up, and the text kept, for conditions that follow.
     """
-    looked = once(items.withColumn("_text", haystack(title, preview)), _marked=marked(F.col("_text")))
-    text, words = F.col("_text"), F.col("_marked")
-    hits = [lexicon_hit(text, words, listed).alias(name) for name, listed in terms.items()]
+    looked = once(items, _text=haystack(title, preview))
+    text = F.col("_text")
     found = _measures(text) | {k: text.rlike(p) for k, p in (patterns or {}).items()}
-    looked = once(looked, _hits=F.struct(*hits, *[c.alias(k) for k, c in found.items()]))
-    looked = looked.select(*items.columns, *([text.alias(keep_text)] if keep_text else []), "_hits.*").selectExpr("*", f"{_WEAK} AS weak_terms")
+    looked = once(looked, _measured=F.struct(*[c.alias(k) for k, c in found.items()])).withColumn("_hits", lexicons_in(text, terms))
+    looked = looked.select(*items.columns, *([text.alias(keep_text)] if keep_text else []), "_measured.*", "_hits.*").selectExpr("*", f"{_WEAK} AS weak_terms")
     return looked.selectExpr("*", *[f"coalesce({c}, false) AS {n}" for n, c, _ in FLAGS]).selectExpr("*", *[f"({c}) AS {n}" for n, c in DERIVED])
 
 

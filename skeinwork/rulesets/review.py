@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.operators.rules import haystack, once
+from skeinwork.operators.rules import haystack, lexicons_in, once
 
 #: Parts of a story's lower-cased text; parts of words count.
 PARTS: dict[str, tuple[str, ...]] = {
@@ -54,8 +54,7 @@ BUCKET = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in BUCKETS) + " ELSE
 def reviewed(items: DataFrame, title: str = "title", preview: str = "text_preview") -> DataFrame:
     """items (with timber_policy_signal) and review_bucket; the text is looked through once a row."""
     looked = once(items, _said=haystack(title, preview))
-    hits = [F.exists(F.array(*map(F.lit, listed)), lambda p: F.contains(F.col("_said"), p)).alias(k) for k, listed in PARTS.items()]
-    return once(looked, _hits=F.struct(*hits)).select(*items.columns, "_hits.*").selectExpr(*[f"`{c}`" for c in items.columns], f"{BUCKET} AS review_bucket")
+    return looked.withColumn("_hits", lexicons_in(F.col("_said"), PARTS, whole=False)).select(*items.columns, "_hits.*").selectExpr(*[f"`{c}`" for c in items.columns], f"{BUCKET} AS review_bucket")
 
 
 def reviewed_sql(items: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import story_text
-from skeinwork.operators.rules import notes, once
+from skeinwork.operators.rules import lexicons_in, notes, once
 
 #: Phrases, as they stand in a story's normalised text; parts of words count.
 PHRASES: dict[str, tuple[str, ...]] = {
@@ -104,10 +104,8 @@ def classified(items: DataFrame, title: str = "title", summary: str = "summary")
 
     A story's phrases are looked up once a row, as parts of its normalised text.
     """
-    looked = items.withColumn("_story", F.trim(F.concat_ws(" ", story_text(title), story_text(summary))))
-    looked = once(looked, _said=F.col("_story"))
-    hits = [F.exists(F.array(*map(F.lit, listed)), lambda p: F.contains(F.col("_said"), p)).alias(k) for k, listed in PHRASES.items()]
-    looked = once(looked, _hits=F.struct(*hits)).select(*items.columns, "_hits.*")
+    looked = once(items, _story=F.trim(F.concat_ws(" ", story_text(title), story_text(summary))))
+    looked = looked.withColumn("_hits", lexicons_in(F.col("_story"), PHRASES, whole=False)).select(*items.columns, "_hits.*")
     out = looked.selectExpr("*", f"{BUCKET} AS bucket", f"{TYPE} AS story_type", f"({NOISE}) AS noise", f"({ELIGIBLE}) AS eligible").selectExpr("*", f"{RANK} AS bucket_rank")
     return out.withColumn("guards", guards()).drop(*PHRASES)
 
