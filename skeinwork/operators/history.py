@@ -115,11 +115,15 @@ def signature(title: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: F.length(w) > 2), " ")
 
 
-#: Words that carry no story identity.
-STORY_STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "into", "its", "has", "have", "will", "are", "was", "were", "new", "after", "over", "about", "said", "says")
+#: Words that carry no story identity, and words of which one tells a story that shares four.
+STORY_STOP_WORDS = (
+    "about", "across", "after", "again", "also", "amid", "and", "are", "around", "build", "building", "builds", "can", "city", "construction", "could", "deliver", "delivery", "from", "has", "have", "housing", "into", "its", "more",
+    "new", "news", "old", "plan", "push", "says", "the", "their", "this", "through", "toward", "with",
+)
+STORY_MARKERS = ("mamdani", "zoning", "rezoning", "affordable", "nyc", "code", "codes")
 
 
-def near_duplicate_pairs(candidates: DataFrame, pairs: DataFrame, ratio: float = 0.78, related: Sequence[tuple[str, str]] = (), markers: Sequence[str] = (), stop_words: Sequence[str] = STORY_STOP_WORDS) -> DataFrame:
+def near_duplicate_pairs(candidates: DataFrame, pairs: DataFrame, ratio: float = 0.78, related: Sequence[tuple[str, str]] = (), markers: Sequence[str] = STORY_MARKERS, stop_words: Sequence[str] = STORY_STOP_WORDS) -> DataFrame:
     """(a, b) of the given pairs that tell one story; candidates: id, pack, title, text.
 
     Both must be of one pack or of related ones. Then any of these tells: titles that share 0.8

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import extract
 from skeinwork.operators import delivery, history, models, relational, reviews, rules, runs
 from skeinwork.plans.registry import Tables, query
+from skeinwork.rulesets import discovery
 from skeinwork.sources import landed
 
 _STORY = """'<b>Story</b> <a href="https://' || CASE WHEN k % 9 = 0 THEN 'example.com' ELSE 'news.org' END || '/">' || CASE WHEN k % 8 = 0 THEN 'More' ELSE 'Link' END || '</a>'"""
@@ -148,3 +149,38 @@ def model_summaries(t: Tables):
 @query("SELECT doc_id, lang = 'de' OR lang = 'fr' OR lang = 'es' AS to_translate FROM documents")
 def translation_gate(t: Tables):
     return t.documents.select("doc_id", models.to_translate("lang", F.lit(" EN ")).alias("to_translate"))
+
+
+_DATES = ("today", "yesterday", "3 days ago", "2 weeks ago", "2024-01-09", "January 8, 2024", "7 Jan 2024", "Tue, 9 Jan 2024 10:00:00 GMT", "soon")
+_TITLES = ("A guide to robots", "An automotive deal", "An automotive plant", "The mayor on zoning", "The mayor on zoning permits", "A plain story")
+_PACKS = ("industrial_robotics_physical_ai", "housing_delivery_bottlenecks", "other")
+
+
+def _of(words: tuple[str, ...], at: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][({at}) % {len(words)} + 1]"
+
+
+@query(f"""SELECT k AS o_orderkey, told_at, CASE WHEN k % 29 = 0 THEN 'already_seen_in_bot_history' WHEN confidence = 'low' THEN 'low_confidence' WHEN told_at IS NULL THEN 'missing_or_unparseable_published_date'
+    WHEN told_at < TIMESTAMP '2024-01-08 12:00:00' THEN 'outside_freshness_window' WHEN title = 'A guide to robots' OR k % 13 = 0 THEN 'evergreen_or_report_like_content' WHEN k % 7 = 0 THEN 'low_signal_source_or_partner_content'
+    WHEN pack = '{_PACKS[0]}' AND title = 'An automotive deal' THEN 'automotive_or_vehicle_ai_without_factory_deployment' WHEN pack = '{_PACKS[1]}' AND title = 'The mayor on zoning' THEN 'housing_policy_without_delivery_system_signal' END AS reason,
+    CASE WHEN k % 11 = 0 THEN 'press_release_rehost' WHEN k % 17 = 0 THEN 'tabloid_verify_better_source' END AS source_quality, CASE WHEN k % 11 = 0 THEN 'verify_primary_source' WHEN confidence = 'high' AND k % 17 <> 0 THEN 'likely_post' ELSE 'watch_only' END AS priority
+    FROM (SELECT k, confidence, pack, title, CASE day WHEN 'today' THEN TIMESTAMP '2024-01-10 12:00:00' WHEN 'yesterday' THEN TIMESTAMP '2024-01-09 12:00:00' WHEN '3 days ago' THEN TIMESTAMP '2024-01-07 12:00:00' WHEN '2024-01-09' THEN TIMESTAMP '2024-01-09'
+      WHEN 'January 8, 2024' THEN TIMESTAMP '2024-01-08' WHEN '7 Jan 2024' THEN TIMESTAMP '2024-01-07' WHEN '{_DATES[7]}' THEN TIMESTAMP '2024-01-09 10:00:00' END AS told_at
+      FROM (SELECT o_orderkey AS k, {_of(('high', 'medium', 'low'), 'o_custkey')} AS confidence, {_of(_PACKS, 'o_orderkey // 3')} AS pack, {_of(_TITLES, 'o_orderkey // 5')} AS title, {_of(_DATES, 'o_orderkey')} AS day FROM orders))""")
+def discovery_rejects(t: Tables):
+    """Why a found candidate isn't taken, what its source is worth and how soon it is looked at."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (F.pmod(at, F.lit(len(words))) + 1).cast("int"))
+    found = relational.spread(t.orders).select(
+        "o_orderkey", pick(_TITLES, F.floor(k / 5)).alias("title"), F.concat(F.lit("https://n.org/"), F.when(k % 13 == 0, "market-overview-").otherwise(""), k.cast("string")).alias("url"),
+        F.concat_ws(", ", F.when(k % 7 == 0, "Sponsored News"), F.when(k % 11 == 0, "Business Wire"), F.when(k % 17 == 0, "Daily Mail")).alias("source_name"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("why_relevant"), F.lit(None).cast("string").alias("matched_signal"),
+        pick(_PACKS, F.floor(k / 3)).alias("pack"), pick(("high", "medium", "low"), c).alias("confidence"), pick(_DATES, k).alias("published_date"), (k % 29 == 0).alias("seen"),
+    )
+    out = discovery.evaluated(found, F.lit("2024-01-10 12:00:00").cast("timestamp"), 2)
+    return out.select("o_orderkey", "told_at", "reason", "source_quality", "priority")
+
+
+@query("""SELECT turn, pack, query FROM (SELECT CAST(i - 1 AS INT) AS turn, n_name AS pack, n_nationkey AS position, n_name || ' ' || (i - 1) AS query FROM nation, range(1, 4) r(i)) ORDER BY turn, position LIMIT 30""")
+def discovery_query_plan(t: Tables):
+    packs = t.nation.select(F.col("n_name").alias("pack"), F.col("n_nationkey").alias("position"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat("n_name", F.lit(" "), i.cast("string"))).alias("queries"))
+    return discovery.query_plan(packs, 30)

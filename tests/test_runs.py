@@ -184,7 +184,7 @@ def test_near_duplicates_equal_brute_force(spark):
     from difflib import SequenceMatcher
 
     rng = random.Random(12)
-    words = [f"story{i}" for i in range(25)] + ["zoning", "robot", "the", "12"]
+    words = [f"story{i}" for i in range(25)] + ["zoning", "robot", "the", "12", "about"]
     rows = [(i, rng.choice(["a", "b", "c"]), " ".join(rng.choices(words, k=rng.randrange(1, 6))), " ".join(rng.choices(words, k=rng.randrange(0, 12)))) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, pack string, title string, text string")
     ids = df.select(F.col("id").alias("a")).join(df.select(F.col("id").alias("b"))).filter("a < b")
