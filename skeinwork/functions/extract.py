@@ -52,7 +52,7 @@ NAMES_PARTNERSHIP = ("partnership", "partners with", "partnered with", "collabor
 NAMES_LAUNCH = ("launches", "launched", "updates", "updated", "introduces", "released")
 
 _SIGNS = re.compile(r"([^A-Za-z0-9]*)(.*?)([^A-Za-z0-9]*)", re.S)
-_CAPITAL, _CAPITAL_OR_DIGIT = re.compile(r"[A-Z][A-Za-z0-9&./\-]*"), re.compile(r"[A-Z0-9][A-Za-z0-9&/\-]*")
+_CAPITAL, _PLAIN, _CAPITAL_OR_DIGIT = re.compile(r"[A-Z][A-Za-z0-9&./\-]*"), re.compile(r"[A-Z][A-Za-z0-9&\-]*"), re.compile(r"[A-Z0-9][A-Za-z0-9&/\-]*")
 _MONEY = re.compile(r"([$€£])\s?(\d+(?:\.\d+)?)(\s?)(\w*)")
 _COUNT = re.compile(r"\d{1,3}(?:,\d{3})+|\d+")
 
@@ -89,9 +89,9 @@ class Story:
                     core, after = core[:-2], owned + after
             self.words.append(Word(before, core, after, m.start() + len(before), core.lower()))
 
-    def flows(self, i: int) -> bool:
-        """Whether word i follows the one before it without a sign between."""
-        return 0 < i < len(self.words) and not self.words[i - 1].after.strip(".-") and not self.words[i].before
+    def flows(self, i: int, like: re.Pattern | None = None) -> bool:
+        """Whether word i follows the one before it without a sign between; a full stop is one only in plain names."""
+        return 0 < i < len(self.words) and not self.words[i - 1].after.strip("-" if like is _PLAIN else ".-") and not self.words[i].before
 
     def phrase(self, i: int, phrases: Sequence[str], exact: bool = False) -> int | None:
         """Where a phrase of the set that begins at word i ends; the longest one."""
@@ -116,7 +116,7 @@ class Story:
     def name(self, i: int, most: int = 4, like: re.Pattern = _CAPITAL) -> int:
         """Where the name that begins at word i ends; i if none does."""
         end = i
-        while end < len(self.words) and end - i < most and like.fullmatch(self.words[end].core) and (end == i or self.flows(end)):
+        while end < len(self.words) and end - i < most and like.fullmatch(self.words[end].core) and (end == i or self.flows(end, like)):
             end += 1
         return end
 
@@ -125,11 +125,11 @@ class Story:
         if self.words and not self.words[0].before:
             yield from range(self.name(0, most), 0, -1)
 
-    def names(self) -> Iterator[tuple[int, int]]:
+    def names(self, like: re.Pattern = _CAPITAL) -> Iterator[tuple[int, int]]:
         """Runs of capitalised words, whole."""
         i = 0
         while i < len(self.words):
-            end = self.name(i, len(self.words))
+            end = self.name(i, len(self.words), like)
             if end > i:
                 yield i, end
             i = max(end, i + 1)
@@ -215,29 +215,29 @@ def _pair(left: str, right: str) -> list[list[str]]:
     return [sorted((a, b))] if a and b and a != b else []
 
 
-def _joined(s: Story) -> Iterator[tuple[str, str, int]]:
+def _joined(s: Story, like: re.Pattern = _CAPITAL) -> Iterator[tuple[str, str, int]]:
     """Names that `and` joins, and where what they do begins."""
     for k in range(1, len(s.words) - 1):
-        if s.words[k].core == "and" and s.flows(k) and s.flows(k + 1):
-            first = next((max(i, end - 4) for i, end in s.names() if end == k), k)
-            for end in range(s.name(k + 1), k + 1, -1) if first < k else ():
+        if s.words[k].core == "and" and s.flows(k, like) and s.flows(k + 1, like):
+            first = next((max(i, end - 4) for i, end in s.names(like) if end == k), k)
+            for end in range(s.name(k + 1, 4, like), k + 1, -1) if first < k else ():
                 yield s.said(first, k), s.said(k + 1, end), end
 
 
 def partners(s: Story) -> list[str] | None:
-    """The one unordered pair that the text says partner up."""
+    """The one unordered pair that the text says partner up; names without full stops."""
     found = []
-    for left, right, i in _joined(s):
+    for left, right, i in _joined(s, _PLAIN):
         i = s.passed(i, ("is", "are"))
         entered = s.passed(i, ENTERS)
         i = s.passed(entered, ("their", "a")) if entered > i else i
         if s.does(s.passed(i, ("strategic", "global", "broader")), PARTNERSHIP):
             found += _pair(left, right)
-    for i, last in s.names():
+    for i, last in s.names(_PLAIN):
         for end in range(last, i, -1):
             other = s.does(end, PARTNERS_WITH)
-            if other and s.flows(other):
-                found += _pair(s.said(max(i, end - 4), end), s.said(other, s.name(other)))
+            if other and s.flows(other, _PLAIN):
+                found += _pair(s.said(max(i, end - 4), end), s.said(other, s.name(other, 4, _PLAIN)))
     return _only(found)
 
 

@@ -69,17 +69,17 @@ _UPDATES = [
 ]
 
 
-@query()
+@query("""SELECT CAST(5 AS BIGINT) AS update_id, '-10' AS chat_id, '1' AS message_id, false AS sent_by_bot, TIMESTAMP '2024-01-01 10:00:00' AS message_ts, 'see https://a.org/x, and https://a.org/x' AS text, 'https://a.org/x https://b.org' AS urls, CAST(NULL AS VARCHAR) AS only_url""")
 def chat_messages(t: Tables):
     return chat.messages(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string"))).withColumn("urls", F.array_join("urls", " "))
 
 
-@query()
+@query("""SELECT CAST(7 AS BIGINT) AS update_id, '-10' AS chat_id, '1' AS message_id, '7' AS reactor_user_id, '' AS actor_chat_id, reaction_key, TIMESTAMP '2024-01-01 10:01:40' AS picked_at, is_active FROM (VALUES ('emoji:B', true), ('like', false), ('paid', true)) v(reaction_key, is_active)""")
 def chat_reactions(t: Tables):
     return chat.reactions(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string")), ("like", "emoji:B", "paid"), {"A": "like"})
 
 
-@query()
+@query("SELECT CAST(8 AS BIGINT) AS update_id, '9' AS user_id, 'shortlist' AS action, '42' AS item_id")
 def chat_presses(t: Tables):
     return chat.presses(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string")))
 

@@ -58,7 +58,8 @@ _FEED = """<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>%s</channel
 _ITEM = "<item><title>%s</title><link>https://news.example.org/%d?utm_source=x</link><description>&lt;p&gt;About %s &amp;amp; more&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 0%d:00:00 GMT</pubDate><guid>g%d</guid><dc:creator>Ann</dc:creator></item>"
 
 
-@query()
+@query("""SELECT source_id, 'https://news.example.org/' || i AS url, CASE WHEN source_id = 'bare' AND i = 1 THEN 'Salt & Pepper' ELSE 'Title ' || i END AS title, 'About topic ' || i || ' & more' AS snippet, 'Ann' AS author,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(i AS INT)) AS published_ts, 'g' || i AS external_id FROM (VALUES ('good', 3), ('bare', 3), ('broken', 2)) v(source_id, n), range(3) r(i) WHERE i < n""")
 def feed_items(t: Tables):
     """A sound feed, one with bare ampersands and one with an item beyond repair."""
     good = _FEED % "".join(_ITEM % (f"Title {i}", i, f"topic {i}", i, i) for i in range(3))
@@ -67,13 +68,13 @@ def feed_items(t: Tables):
     return out.select("source_id", urls.normalize_url("url").alias("url"), "title", "snippet", "author", "published_ts", "external_id")
 
 
-@query()
+@query("SELECT 'wp' AS source_id, 'https://x.example.org/a-b/' AS url, 'A & B' AS title, 'Short' AS snippet, '7' AS external_id, TIMESTAMP '2024-01-01 09:00:00' AS published_ts")
 def wordpress_items(t: Tables):
     body = '[{"id": 7, "slug": "a-b", "link": "", "date": "2024-01-01T10:00:00", "date_gmt": "2024-01-01T09:00:00", "title": {"rendered": "A &amp; B"}, "excerpt": {"rendered": "<p>Short</p>"}}, {"id": 8, "slug": "c", "link": "https://x.example.org/c", "title": {"rendered": ""}}]'
     return feeds.wordpress_items(t.spark.createDataFrame([("wp", body), ("bad", "{")], "source_id string, body string"), "https://x.example.org")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 'rss', NULL), ('b', 'listing', 'x')) v(id, kind, market_scope)")
 def source_registry(t: Tables):
     base = {"layer": "direct", "is_direct_source": True, "is_wrapper": False, "enabled": True, "parser": "", "url": "https://example.org", "priority": 5}
     rows = [{"id": "a", "name": "A", "kind": "rss", **base}, {"id": "b", "name": "B", "kind": "listing", **base, "parser": "headings", "market_scope": "x"}, {"id": "c", "name": "C", "kind": "google_competitor", **base, "is_direct_source": False}]
@@ -97,7 +98,8 @@ def card_checks(t: Tables):
     return df.select("page_id", summary.card_problem(F.col("title"), F.col("summary"), F.col("url")).alias("problem"), F.md5(summary.card("title", "summary", "url")).alias("card"))
 
 
-@query()
+@query("""SELECT CAST(line AS INT) AS line, text FROM (SELECT 3 + row_number() OVER (ORDER BY count(*) DESC, source) AS line, '| ' || source || ' | ' || count(*) || ' |' AS text FROM documents GROUP BY source
+    UNION ALL SELECT * FROM (VALUES (0, '# Documents by source'), (1, ''), (2, '| source | n |'), (3, '| --- | --- |')) v(line, text))""")
 def audit_report(t: Tables):
     counts = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     return audit.markdown(counts, "Documents by source", [F.desc("n"), F.col("source")], ["source", "n"])

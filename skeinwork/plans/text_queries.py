@@ -231,7 +231,10 @@ _STORIES = [
 ]
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('Acme Robotics raises $30 million in Series B', 'acme robotics', '$30m', 'series b', NULL, NULL, NULL, NULL), ('Report: Acme Robotics has just raised $30m Series B', 'acme robotics', '$30m', 'series b', NULL, NULL, NULL, NULL),
+    ('Beta Works secures €12.50 mn seed round', 'beta works', '€12.5m', 'seed round', NULL, NULL, NULL, NULL), ('Gamma and Delta Works deploy 1,200 humanoids', NULL, NULL, NULL, 'delta works+gamma', '1200', 'atlas robots', NULL),
+    ('Gamma to install Atlas robots', NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('Startup Epsilon news', 'epsilon', '$2b', NULL, NULL, NULL, NULL, NULL), ('Zeta partners with Eta Group', NULL, NULL, NULL, NULL, NULL, NULL, 'eta group+zeta'),
+    ('Nothing to see', NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(title, funder, amount, round, deployers, quantity, product, partners)""")
 def semantic_keys(t: Tables):
     """Funding, deployment and partnership keys of a few made-up stories."""
     df = t.spark.createDataFrame(_STORIES, "title string, preview string, published string").withColumn("published", F.to_timestamp("published"))
@@ -240,7 +243,7 @@ def semantic_keys(t: Tables):
     return df.select("title", f["entity"].alias("funder"), F.concat(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).alias("amount"), f["round"].alias("round"), F.array_join(d["pair"], "+").alias("deployers"), d["quantity"].alias("quantity"), d["product"].alias("product"), F.array_join(pair, "+").alias("partners"))
 
 
-@query()
+@query("SELECT 'Acme Robotics raises $30 million in Series B' AS left_title, 'Report: Acme Robotics has just raised $30m Series B' AS right_title")
 def same_story_pairs(t: Tables):
     """Pairs of the made-up stories that tell of one funding or deployment."""
     df = t.spark.createDataFrame(_STORIES, "title string, preview string, published string").withColumn("published", F.to_timestamp("published"))

@@ -168,6 +168,15 @@ def test_headlines_and_their_keys(spark):
     assert spark.range(1).select(extract.framing(F.lit("Bolter and Rollo expand partnership"), "partnership")).first()[0] == 2
 
 
+def test_partners_end_at_a_full_stop(spark):
+    pair = lambda t: spark.range(1).select(extract.partnership_pair(F.lit(t))).first()[0]
+    assert pair("Zeta partners with Eta Group. Zeta partners with Eta Group on housing.") == ["eta group", "zeta"]
+    assert pair("Flexo and Terra Robotics expand partnership. Flexo and Terra Robotics are expanding their collaboration") == ["flexo", "terra robotics"]
+    assert pair("Terra Robotics and Flexo are expanding a strategic partnership") == ["flexo", "terra robotics"]
+    assert pair("Nova Robotics partners with Das. Nova Robotics partners with Aws") is None
+    assert pair("Strategic partnership expands") is None
+
+
 def test_one_run_by_round_and_investor(spark):
     day = dt.datetime(2024, 1, 3)
     rows = [(1, "Bolter raises $5M in a seed round", "Led by Nord Fund."), (2, "Bolter lands seed round", "The money was led by Nord Fund."), (3, "Bolter lands seed round", "The money was led by West Fund."), (4, "Bolter raises $9M in a seed round", "The money was led by Nord Fund.")]
