@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import core, stored, tidy
+from skeinwork.llm.common import core, kept_until_released, stored, tidy
 
 LENGTH = 4096
 END_ID = 1
@@ -80,6 +80,16 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
+def _forget_runs() -> None:
+    for tok in _loaded.values():
+        if tok:
+            tok.runs.clear()
+            tok.held = 0
+
+
+kept_until_released(_forget_runs)
+
+
 def _pieces(path: str, length: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _loaded.setdefault(path, None) or _loaded.__setitem__(path, WordTokenizer(path)) or _loaded[path]

@@ -14,7 +14,7 @@ PAIR = np.dtype([("key", "<u8"), ("c", "<u8")])
 #: A key that so many pairs of one task have is passed on at once, so no task gathers a hot one.
 HOT_IN_TASK = 64
 #: Pairs a map task holds, and a joining one is meant to.
-HELD, PER_TASK = 1 << 20, 1 << 21
+HELD, PER_TASK = 1 << 19, 1 << 21
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:

@@ -70,8 +70,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def kept_until_released(forget: Callable[[], None]) -> None:
+    """forget: drops what a module keeps between the batches of a task, and needn't between tasks."""
+    _kept.append(forget)
+
+
 def release() -> None:
-    """Give memory that this process has freed back to the machine."""
+    """Drop what is kept between batches and give freed memory back to the machine."""
+    for forget in _kept:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -278,7 +278,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> LineF
 def _score(field: LineField):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [field.score(data, offsets) for _, _, data, offsets in th.chunks(batch.column(1), 1 << 21)]
+            out = [field.score(data, offsets) for _, _, data, offsets in th.chunks(batch.column(1), 1 << 20)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
     return score

@@ -23,6 +23,8 @@ NEED, PARTS = 80, 100
 EXTRA = 0.1
 #: Counts of the most frequent tokens that the orders know; all others count as rare.
 FREQUENT, LEAST_IN_BATCH = 1 << 21, 2
+#: Rows whose tokens are counted together before they are passed on.
+COUNTED_ROWS = 4096
 #: Tokens of a block that are verified together; larger blocks are verified in pairs of parts.
 BLOCK_TOKENS = 1 << 22
 ORDERS = (0x1234567, 0x7654321, 0x3C6EF35F)
@@ -102,7 +104,7 @@ class Orders:
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (doc_id, n, sig) and a row per token that is frequent in its batch (token, times)."""
     names = ["doc_id", "n", "sig", "c", "token", "times"]
-    for batch in batches:
+    for batch in (b.slice(i, COUNTED_ROWS) for b in batches for i in range(0, b.num_rows, COUNTED_ROWS)):
         n, sig, seen = [], [], []
         for x in shingle_sets(batch.column(1)):
             n.append(len(x))

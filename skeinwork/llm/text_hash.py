@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from skeinwork.llm.common import kept_until_released
+
 #: Bytes hashed at once; texts in one chunk; the temporaries take some ten times as much.
-PIECE, CHUNK = 1 << 20, 1 << 22
+PIECE, CHUNK = 1 << 20, 1 << 21
 
 _U = np.uint64
 _R, _B = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -25,7 +27,12 @@ class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown when asked for."""
 
     def __init__(self, base: int) -> None:
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.clear()
+        kept_until_released(self.clear)
+
+    def clear(self) -> None:
+        self.up, self.down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
