@@ -110,11 +110,16 @@ def aliases_in(items: DataFrame, item_id: str, fields: Sequence[str], aliases: D
     return found.filter("alias <> ''").join(spelt.drop("_n"), "alias").select(item_id, "name", "alias", "field").distinct()
 
 
-def round_robin(df: DataFrame, source: str, source_order: str, position: str, key: str, limit: int | None = None) -> DataFrame:
-    """Rows taken in turn from each source, first sight of a key only, with their place."""
+def round_robin(df: DataFrame, source: str, source_order: str, position: str, key: str, limit: int = 20) -> DataFrame:
+    """Rows taken in turn from each source, first sight of a key only, with their place.
+
+    A round that meets repeats only is the last one, so each earlier round adds a row and no
+    more than `limit` rounds count: of a source only that many rows are ever ranked or moved.
+    """
     turn = F.row_number().over(Window.partitionBy(source).orderBy(position))
     first = F.row_number().over(Window.partitionBy(key).orderBy("_turn", source_order))
-    out = df.withColumn("_turn", turn).withColumn("_sight", first).filter("_sight = 1")
-    ordered = out.orderBy("_turn", source_order)
-    ordered = ordered.limit(limit) if limit else ordered
-    return ordered.withColumn("place", F.row_number().over(Window.orderBy("_turn", source_order))).drop("_turn", "_sight")
+    rounds = df.withColumn("_turn", turn).filter(F.col("_turn") <= limit)
+    taken = rounds.withColumn("_sight", first).filter("_sight = 1").orderBy("_turn", source_order).limit(limit)
+    # Rounds are numbered without gaps up to the one that adds nothing.
+    taken = taken.withColumn("place", F.row_number().over(Window.orderBy("_turn", source_order))).withColumn("_round", F.dense_rank().over(Window.orderBy("_turn")))
+    return taken.filter("_round = _turn").drop("_turn", "_sight", "_round")

@@ -62,6 +62,17 @@ def duplicate_accepted(same: Column, confidence: Column, age_days: Column) -> Co
     return F.coalesce(same & ((confidence.isin("medium", "high") & age_days.between(0, 7)) | ((confidence == "high") & age_days.between(8, 14))), F.lit(False))
 
 
+def follow_up(signalled: Column, url: Column, matched_url: Column, title: Column, matched_title: Column, age_days: Column) -> Column:
+    """Whether a story that a reviewer calls a duplicate is news of its own after all.
+
+    signalled: it comes from a source of that role and bears the signal that allows this. Its match
+    has to be another page under another title, at least a week older; what isn't known is no.
+    """
+    known = F.trim(F.coalesce(matched_url, F.lit("")))
+    other = F.lower(F.trim(title)) != F.lower(F.trim(F.coalesce(matched_title, F.lit(""))))
+    return F.coalesce(signalled & (known != "") & (known != url) & other & (age_days >= 7), F.lit(False))
+
+
 def memory_context(rules: Column, examples: Column, rule_scope: str, most: int = 8) -> Column:
     """Active rules of a scope and the first examples, as prompt lines."""
     active = F.transform(F.filter(rules, lambda r: r["active"] & F.array_contains(r["scopes"], rule_scope)), lambda r: F.concat(F.lit("- "), r["text"]))

@@ -47,8 +47,8 @@ def block_dedupe(t: Tables):
     return t.documents.select("doc_id", F.size(F.array_distinct(lines)).cast("long").alias("blocks"), F.size(lines).cast("long").alias("lines"))
 
 
-@query(f"""SELECT place, doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY turn, source) AS place FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY turn, source) AS sight
-           FROM (SELECT doc_id, source, {TITLE} AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)) WHERE sight = 1) WHERE place <= 40""")
+@query(f"""SELECT place, doc_id FROM (SELECT doc_id, turn, row_number() OVER (ORDER BY turn, source) AS place, dense_rank() OVER (ORDER BY turn) AS round FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY turn, source) AS sight
+           FROM (SELECT doc_id, source, {TITLE} AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)) WHERE sight = 1) WHERE place <= 40 AND round = turn""")
 def interleave_round_robin(t: Tables):
     df = t.documents.select("doc_id", "source", text.title_of("text").alias("title"))
     return rel.round_robin(df, "source", "source", "doc_id", "title", 40).select(F.col("place").cast("long").alias("place"), "doc_id")

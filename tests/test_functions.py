@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.functions import dates, extract, text, urls
-from skeinwork.operators import rank, relational, resolve, rules, state, summary
+from skeinwork.operators import rank, relational, resolve, reviews, rules, state, summary
 from skeinwork.sources import feeds, pages, registry
 
 
@@ -238,3 +238,31 @@ def test_items(spark):
 def test_launch_key(spark, title, preview, wanted):
     got = one(spark, extract.launch_key("t", "p"), t=title, p=preview)
     assert (tuple(got) if got else None) == wanted
+
+
+@pytest.mark.parametrize("limit", [1, 3, 5, 20])
+def test_turns_end_with_a_round_of_repeats(spark, limit):
+    listings = {"a": ["u1", "u2", "u1", "u9", "u7"], "b": ["u3", "u2", "u3", "u8"], "c": ["u4"], "d": ["u1", "u5", "u2"]}
+    taken, turn = [], 0
+    while len(taken) < limit:
+        new = []
+        for links in listings.values():
+            if len(links) > turn and links[turn] not in taken + new:
+                new.append(links[turn])
+        if not new:
+            break
+        taken, turn = taken + new, turn + 1
+    rows = [(name, i, u) for name, links in listings.items() for i, u in enumerate(links)]
+    df = spark.createDataFrame(rows, "source string, at int, url string")
+    got = relational.round_robin(df, "source", "source", "at", "url", limit).orderBy("place")
+    assert [r["url"] for r in got.collect()] == taken[:limit]
+    assert "u8" not in taken and relational.round_robin(df.limit(0), "source", "source", "at", "url", limit).isEmpty()
+
+
+def test_follow_ups_are_no_duplicates(spark):
+    story = (True, "https://a.org/2", "https://a.org/1", "Second tower", "First tower", 7)
+    changed = lambda i, v: story[:i] + (v,) + story[i + 1 :]
+    rows = [story, changed(0, False), changed(2, " "), changed(2, None), changed(2, story[1]), changed(4, " second TOWER "), changed(5, 6), changed(5, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s boolean, u string, m string, t string, n string, d int")
+    got = df.orderBy("i").select(reviews.follow_up(*(F.col(c) for c in "sumtnd")).alias("x")).collect()
+    assert [r["x"] for r in got] == [True] + [False] * 7
