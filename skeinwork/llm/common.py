@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import wraps
+from functools import cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="skeinwork-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
@@ -32,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = tempfile.mkdtemp(prefix="skeinwork-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return _local_dir()
 
 
 _records: list[list[str]] = []

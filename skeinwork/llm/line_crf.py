@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import text_hash as th
-from skeinwork.llm.common import core, release, tidy
+from skeinwork.llm.common import core, pick, release, tidy
 from skeinwork.llm.toxicity import sample
 
 #: Labelled rows the field is fitted on, at most half of either class.
@@ -267,7 +267,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> LineF
     """A field fitted on a bounded sample of the labelled rows that aren't held out."""
     free = labels.filter(~held_out())
     texts, quality = sample(docs, free, "quality", size)
-    counts = {r["quality"]: r["count"] for r in free.groupBy("quality").count().collect()}
+    counts = {r["y"]: r["count"] for r in free.groupBy(pick(free, "quality", "int").alias("y")).count().filter("y in (0, 1)").collect()}
     drawn = np.bincount(quality, minlength=2)
     field = train(texts, quality, np.array([counts[y] / drawn[y] for y in quality], float))
     del texts

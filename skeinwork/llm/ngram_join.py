@@ -348,14 +348,16 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     with a null doc_id, and those without words, all stay; an empty table stays empty.
     """
     rows = stored(_labelled(docs).filter("doc_id is not null").select("doc_id", "sig", (F.col("component_id") != F.col("doc_id")).alias("gone")), "join-gone")
-    ids = rows.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_or("gone").alias("some"), F.bool_and("gone").alias("every"))
-    own = pick(docs, "doc_id", "long")
-    partly = ids.filter("some and not every").select("_gone_id")
-    kept = docs.join(ids.filter("every").select("_gone_id"), own == F.col("_gone_id"), "left_anti")
+    ids = rows.groupBy("doc_id").agg(F.bool_or("gone").alias("some"), F.bool_and("gone").alias("every"))
+    partly = ids.filter("some and not every").select("doc_id")
+    # docs' own columns stay in a struct, so that none of them clashes with what is joined.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pick(docs, "doc_id", "long").alias("doc_id"))
+    kept = own.join(ids.filter("every").select("doc_id"), "doc_id", "left_anti")
     if partly.isEmpty():
-        return kept
+        return kept.select("doc.*")
     partly = stored(partly, "join-partly")
-    told = kept.join(partly, own == F.col("_gone_id"), "left_semi").withColumn("_own_sig", _signature_of(pick(docs, "text", "string")))
-    gone = rows.filter("gone").select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig")).distinct()
-    told = told.join(gone, (own == F.col("_gone_id")) & (F.col("_own_sig") == F.col("_gone_sig")), "left_anti").drop("_own_sig")
-    return kept.join(partly, own == F.col("_gone_id"), "left_anti").unionByName(told)
+    inside = F.col("doc.text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
+    told = kept.join(partly, "doc_id", "left_semi").withColumn("sig", _signature_of(inside))
+    gone = rows.filter("gone").select("doc_id", "sig").distinct()
+    told = told.join(gone, ["doc_id", "sig"], "left_anti")
+    return kept.join(partly, "doc_id", "left_anti").select("doc.*").unionByName(told.select("doc.*"))
