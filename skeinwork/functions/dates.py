@@ -9,6 +9,7 @@ from skeinwork.functions.text import col
 
 #: Months by their German names.
 GERMAN_MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 #: Zone names that feeds still use, as offsets.
 ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
@@ -24,13 +25,18 @@ def feed_time(c: Column | str) -> Column:
 
 
 def german_date(c: Column | str) -> Column:
-    """`3. März 2024` or `03.03.2024`, anywhere in a text."""
+    """`3. März 2024`, else `03.03.2024`: the first anywhere in a text, if there is such a day."""
     x = col(c)
-    month = F.regexp_extract(x, r"\d{1,2}\.\s*(" + "|".join(GERMAN_MONTHS) + r")\s+\d{4}", 1)
-    number = F.array_position(F.array(*map(F.lit, GERMAN_MONTHS)), month)
-    long = F.concat_ws("-", F.regexp_extract(x, r"(\d{4})", 1), number, F.regexp_extract(x, r"(\d{1,2})\.", 1))
-    short = F.regexp_extract(x, r"(\d{1,2}\.\d{1,2}\.\d{4})", 1)
-    return F.coalesce(F.when(month != "", F.try_to_date(long, "y-M-d")), F.try_to_date(short, "d.M.y"))
+    long = rf"(?i)(\d{{1,2}})\.\s*({'|'.join(GERMAN_MONTHS)}|Maerz)\s+(\d{{4}})"
+    name = F.replace(F.lower(F.regexp_extract(x, long, 2)), F.lit("maerz"), F.lit("märz"))
+    month = F.array_position(F.array(*[F.lit(m.lower()) for m in GERMAN_MONTHS]), name).cast("string")
+    written = F.try_to_date(F.concat_ws("-", F.regexp_extract(x, long, 3), month, F.regexp_extract(x, long, 1)), "y-M-d")
+    return F.when(name != "", written).otherwise(F.try_to_date(F.regexp_extract(x, r"(\d{1,2}\.\d{1,2}\.\d{4})", 1), "d.M.y"))
+
+
+def english_date(c: Column | str) -> Column:
+    """`3 March 2024`, the first anywhere in a text, if there is such a day."""
+    return F.try_to_date(F.regexp_replace(F.regexp_extract(col(c), rf"\b(\d{{1,2}}\s+(?:{'|'.join(MONTHS)})\s+\d{{4}})\b", 1), r"\s+", " "), "d MMMM y")
 
 
 def week_end(day: Column | str) -> Column:

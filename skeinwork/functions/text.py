@@ -43,15 +43,16 @@ def match_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf(StringType())
-def html_text(s: pd.Series) -> pd.Series:
+def clean_html(x: str | None) -> str | None:
     """Entities first, tags second, then blanks; nothing left is null."""
+    plain = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(x or ""))).strip()
+    return plain or None
 
-    def one(x: str | None) -> str | None:
-        plain = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(x or ""))).strip()
-        return plain or None
 
-    return s.map(one)
+@F.pandas_udf(StringType())
+def html_text(s: pd.Series) -> pd.Series:
+    """clean_html of each."""
+    return s.map(clean_html)
 
 
 def title_of(c: Column | str, size: int = 80) -> Column:

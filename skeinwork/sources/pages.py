@@ -34,12 +34,12 @@ def hrefs(c: Column | str) -> Column:
 
 
 def meta_map(c: Column | str) -> Column:
-    """Names or properties of meta tags with their content; the first of a name counts."""
+    """Names or properties of meta tags with their content; the last of a name counts."""
     tags = F.regexp_extract_all(col(c), F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
-    pairs = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)(?:name|property)=\"([^\"]*)\"", 1)).alias("k"), F.regexp_extract(t, r"(?i)content=\"([^\"]*)\"", 1).alias("v")))
+    pairs = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)(?:name|property)=[\"']([^\"']*)[\"']", 1)).alias("k"), F.regexp_extract(t, r"(?i)content=[\"']([^\"']*)[\"']", 1).alias("v")))
     named = F.filter(pairs, lambda p: p["k"] != "")
     keys = F.array_distinct(F.transform(named, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(named, lambda p: p["k"] == k)[0]["v"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1)["v"]))
 
 
 def published(c: Column | str) -> Column:
