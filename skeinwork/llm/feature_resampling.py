@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import text_hash as th
-from skeinwork.llm.common import pick, stored, tidy
+from skeinwork.llm.common import pick, release, stored, tidy
 
 BUCKETS, LONGEST, SEED = 10_000, 3, 42
-#: Bytes of texts whose features are counted together before they move, and words of them at most: their numbers fit 21 bits.
-CHUNK, SEGMENT = 12 << 20, (1 << 21) - LONGEST
+#: Bytes of texts whose features are counted together before they move, and of those weighed together; words of them at most: their numbers fit 21 bits.
+CHUNK, WEIGHED, SEGMENT = 12 << 20, 3 << 20, (1 << 21) - LONGEST
 #: Bytes of text whose features one part of the dictionary takes, about.
 PER_PART = 4 << 20
 
@@ -46,28 +46,28 @@ class Segment:
         words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
         order = sorted(range(len(words)), key=words.__getitem__)
         self.words = [words[i] for i in order]
+        self.spelt = pa.array([None, *self.words], pa.binary())
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(1, len(words) + 1)
         w = rank[number]
-        keys, docs = [], []
-        for n in range(1, LONGEST + 1):
-            at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
-            at = at[at < starts]
-            key = np.zeros(len(at), np.int64)
-            for i in range(LONGEST):
-                key = (key << 21) | (w[at + i] if i < n else 0)
-            keys.append(key)
-            docs.append(doc[at])
-        self.keys, self.docs = np.concatenate(keys), np.concatenate(docs)
+        del raw, first, number, rank
+        places = [np.flatnonzero(doc[: max(len(doc) - n + 1, 0)] == doc[n - 1 :])[:starts].astype(np.int32) for n in range(1, LONGEST + 1)]
+        places = [at[at < starts] for at in places]
+        self.keys, self.docs, k = np.zeros(sum(map(len, places)), np.int64), np.empty(sum(map(len, places)), np.int32), 0
+        for n, at in enumerate(places, 1):
+            for i in range(n):
+                self.keys[k : k + len(at)] |= w[at + i] << (21 * (LONGEST - 1 - i))
+            self.docs[k : k + len(at)] = doc[at]
+            k += len(at)
 
     @staticmethod
     def numbers(keys: np.ndarray) -> list[np.ndarray]:
         return [(keys >> (21 * (LONGEST - 1 - i))) & ((1 << 21) - 1) for i in range(LONGEST)]
 
-    def strings(self, keys: np.ndarray) -> pa.Array:
-        """Features' words, joined by one space."""
-        words = pa.array([None, *self.words], pa.binary())
-        return pc.binary_join_element_wise(*[words.take(pa.array(n)) for n in self.numbers(keys)], b" ", null_handling="skip")
+    def strings(self, keys: np.ndarray, end: bytes = b"") -> pa.Array:
+        """Features' words, joined by one space, with what ends each."""
+        joined = pc.binary_join_element_wise(*[self.spelt.take(pa.array(n)) for n in self.numbers(keys)], b" ", null_handling="skip")
+        return pc.binary_join_element_wise(joined, end, b"") if end else joined
 
     def crc32(self, keys: np.ndarray) -> np.ndarray:
         """crc32 of each feature's string, from those of its words: a text's crc goes on through further bytes by
@@ -94,10 +94,10 @@ class Segment:
         return out
 
 
-def segments(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, Segment | None]]:
+def segments(column: pa.Array, chunk: int) -> Iterator[tuple[int, int, np.ndarray, Segment | None]]:
     """First row, end row, words of each of these rows and features of them, piece by piece; the rows of a long text come several times."""
     tables = (PARTING, th.blanks_table()[1])
-    for i, j, data, offsets in th.chunks(column, CHUNK):
+    for i, j, data, offsets in th.chunks(column, chunk):
         data = LOWER[data]
         s, e, hashes, _ = th.words(data, offsets[:-1], tables)
         doc = np.searchsorted(offsets, s, side="right") - 1
@@ -112,42 +112,40 @@ def _counted(parts: int):
     """A chunk's distinct features with their counts, dealt over the dictionary's parts by their words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            for _, _, _, found in segments(batch.column(0)):
+            for _, _, _, found in segments(batch.column(0), CHUNK):
                 if found is None:
                     continue
                 keys, counts = np.unique(found.keys, return_counts=True)
+                del found.keys, found.docs
+                counts = counts.astype(np.uint32)
                 word = np.array([0, *(zlib.crc32(w) for w in found.words)], np.uint64)
                 where = np.zeros(len(keys), np.uint64)
                 for n in found.numbers(keys):
                     where = th.mix(where * np.uint64(3) + word[n])
-                where = (where % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(where.astype(np.uint16) if parts <= 1 << 16 else where, kind="stable")  # a part's features stay in order: their beginnings repeat
+                where = (where % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+                by = np.argsort(where, kind="stable").astype(np.uint32)  # a part's features stay in order: their beginnings repeat
                 cuts = np.searchsorted(where[by], np.arange(parts + 1))
+                del where
                 rows = []
                 for p in np.flatnonzero(np.diff(cuts)):
                     at = by[cuts[p] : cuts[p + 1]]
-                    strings = found.strings(keys[at])
-                    data, offsets = _bytes(strings)
-                    rows.append((int(p), pack(np.diff(offsets).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()), pack(data.tobytes()), pack(counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())))
-                    if len(rows) == 256 or p == parts - 1:
+                    rows.append((int(p), pack(found.strings(keys[at], b"\n").buffers()[2]), pack(counts[at].view(np.uint8).reshape(-1, 4).T.tobytes())))
+                    if len(rows) == 64:
                         yield _rows(rows)
                         rows = []
+                del found, keys, counts, by
                 if rows:
                     yield _rows(rows)
+                release()
 
     return run
 
 
-def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
-    return np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    part, lengths, strings, counts = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lengths, pa.binary()), pa.array(strings, pa.binary()), pa.array(counts, pa.binary())], ["part", "lengths", "strings", "counts"])
+    part, strings, counts = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(strings, pa.binary()), pa.array(counts, pa.binary())], ["part", "strings", "counts"])
 
 
 def _planes(raw: bytes) -> np.ndarray:
@@ -163,24 +161,23 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> None:
         if not held:
             return
-        strings = []
-        for lengths, data, _ in held:
-            offsets = np.concatenate([[0], np.cumsum(_planes(unpack(lengths)))]).astype(np.int32)
-            strings.append(pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(unpack(data))]))
-        counts = np.concatenate([_planes(unpack(c)) for _, _, c in held])
+        data = b"".join(unpack(x) for x, _ in held)
+        offsets = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1])
+        counts = np.concatenate([_planes(unpack(c)) for _, c in held])
         held.clear()
-        known = pa.concat_arrays(strings).dictionary_encode()
+        strings = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])  # each with its line feed
+        known = strings.dictionary_encode()
         times = np.bincount(known.indices.to_numpy(), weights=counts, minlength=len(known.dictionary)).astype(np.int64)
-        crc = np.fromiter(map(zlib.crc32, known.dictionary.to_pylist()), np.uint32, len(known.dictionary))
+        crc = np.fromiter((zlib.crc32(x[:-1]) for x in known.dictionary.to_pylist()), np.uint32, len(known.dictionary))
         sums[:] += np.bincount(crc % BUCKETS, weights=times, minlength=BUCKETS).astype(np.int64)
 
     part = None
     for batch in batches:
-        for p, lengths, strings, counts in zip(*(c.to_pylist() for c in batch.columns)):
+        for p, strings, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if p != part:
                 flush()
                 part = p
-            held.append((lengths, strings, counts))
+            held.append((strings, counts))
     flush()
     some = np.flatnonzero(sums)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["bucket", "n"])
@@ -196,7 +193,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PER_PART))
-    dealt = texts.mapInArrow(tidy(_counted(parts)), "part int, lengths binary, strings binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(tidy(_counted(parts)), "part int, strings binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     sums = dealt.mapInArrow(tidy(_hashed), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for r in sums.collect():  # at most a row for each bucket
@@ -216,17 +213,14 @@ def _weighed(gain: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, features, weight = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for i, j, n, found in segments(batch.column(1)):
+            for i, j, n, found in segments(batch.column(1), WEIGHED):
                 words[i:j] += n
                 if found is None:
                     continue
                 place, distinct = pd.factorize(found.keys)
-                own = gain[found.crc32(distinct) % BUCKETS][place]
+                own = gain[found.crc32(distinct) % BUCKETS].astype(float)[place]  # sums of whole numbers below 2^53 are exact
                 features[i:j] += np.bincount(found.docs, minlength=j - i)
-                by = np.argsort(found.docs, kind="stable")
-                total = np.concatenate([[0], np.cumsum(own[by])])
-                ends = np.cumsum(np.bincount(found.docs, minlength=j - i))
-                weight[i:j] += np.diff(total[np.concatenate([[0], ends])])
+                weight[i:j] += np.bincount(found.docs, weights=own, minlength=j - i).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(features), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
     return run

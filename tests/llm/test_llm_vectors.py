@@ -126,7 +126,7 @@ def test_draw_is_that_of_the_definition(spark, monkeypatch, segment):
 
 def test_crc_of_features_is_that_of_their_strings():
     text = "a bb ccc a bb " + "x" * 5000 + " ccc ünï 7"
-    for _, _, _, found in feature_resampling.segments(pa.array([text, None, "zz"])):
+    for _, _, _, found in feature_resampling.segments(pa.array([text, None, "zz"]), 1 << 20):
         strings = [x.as_py() for x in found.strings(found.keys)]
         assert [zlib.crc32(x) for x in strings] == found.crc32(found.keys).tolist() and b"a bb ccc" in strings
 
