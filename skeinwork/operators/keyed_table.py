@@ -131,6 +131,10 @@ class KeyedTable:
         dealt = rows.withColumn("_bucket", bucket)
         dealt.write.partitionBy("_bucket").parquet(f"{self.path}/parts/{name}")
 
+    def has(self, writer: str, batch: int) -> bool:
+        """Whether the writer's batch has been committed."""
+        return self.state()["batches"].get(writer, -1) >= batch
+
     def _put(self, rows: DataFrame, writer: str | None, batch: int | None) -> int:
         state = self.state()
         if writer is not None and batch is not None and state["batches"].get(writer, -1) >= batch:

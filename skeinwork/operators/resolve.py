@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import event_key, overlap, tokens
 from skeinwork.operators.rank import best_of
+from skeinwork.operators.shared import dropped, stored
 
 SIMILAR = 0.75
 #: Within a group of rows that all match, steps lead back by up to 2 ** (SKIPS - 1) places; longer ways take more rounds.
@@ -51,23 +50,6 @@ def _near(x: Column, y: Column, days: int = 10) -> Column:
     return F.coalesce(F.abs(F.unix_timestamp(x) - F.unix_timestamp(y)) <= days * 86400, F.lit(True))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written into the folder that the cluster shares, and read again: a plan without a past.
-
-    A checkpointed table keeps its plan's constraints, which double from round to round.
-    """
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="skeinwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}-table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def least_reached(steps: DataFrame) -> DataFrame:
     """node, label (the smallest node that steps a -> b reach from it, or itself), until none changes.
 
@@ -82,6 +64,7 @@ def least_reached(steps: DataFrame) -> DataFrame:
         step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
         step = stored(step.join(jump, "next").select("node", F.least("next", "beyond").alias("label"), "was"))
+        dropped(labels)
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
             return labels

@@ -60,30 +60,6 @@ def weekly_digest(t: Tables):
     return digest.weekly(c, 20, PREFERRED, WEAK, rank)
 
 
-_UPDATES = [
-    '{"update_id": 5, "message": {"message_id": 1, "date": 1704103200, "chat": {"id": -10}, "from": {"id": 7, "is_bot": false}, "text": "see https://a.org/x, and https://a.org/x", "entities": [{"type": "text_link", "offset": 0, "length": 3, "url": "https://b.org"}]}}',
-    '{"update_id": 6, "message": {"message_id": 2, "date": 1704103260, "chat": {"id": -10}, "from": {"id": 7, "is_bot": false}, "text": "no link"}}',
-    '{"update_id": 7, "message_reaction": {"message_id": 1, "date": 1704103300, "chat": {"id": -10}, "user": {"id": 7}, "old_reaction": [{"type": "emoji", "emoji": "A"}], "new_reaction": [{"type": "emoji", "emoji": "B"}, {"type": "paid"}]}}',
-    '{"update_id": 8, "callback_query": {"id": "q", "data": "shortlist:42", "from": {"id": 9, "username": "ann"}}}',
-    "not json",
-]
-
-
-@query("""SELECT CAST(5 AS BIGINT) AS update_id, '-10' AS chat_id, '1' AS message_id, false AS sent_by_bot, TIMESTAMP '2024-01-01 10:00:00' AS message_ts, 'see https://a.org/x, and https://a.org/x' AS text, 'https://a.org/x https://b.org' AS urls, CAST(NULL AS VARCHAR) AS only_url""")
-def chat_messages(t: Tables):
-    return chat.messages(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string"))).withColumn("urls", F.array_join("urls", " "))
-
-
-@query("""SELECT CAST(7 AS BIGINT) AS update_id, '-10' AS chat_id, '1' AS message_id, '7' AS reactor_user_id, '' AS actor_chat_id, reaction_key, TIMESTAMP '2024-01-01 10:01:40' AS picked_at, is_active FROM (VALUES ('emoji:B', true), ('like', false), ('paid', true)) v(reaction_key, is_active)""")
-def chat_reactions(t: Tables):
-    return chat.reactions(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string")), ("like", "emoji:B", "paid"), {"A": "like"})
-
-
-@query("SELECT CAST(8 AS BIGINT) AS update_id, '9' AS user_id, 'shortlist' AS action, '42' AS item_id")
-def chat_presses(t: Tables):
-    return chat.presses(chat.updates(t.spark.createDataFrame([(u,) for u in _UPDATES], "value string")))
-
-
 @query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'not_reviewed' WHEN quality = 1 AND toxic = 0 THEN 'promoted' WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'protected' WHEN toxic = 1 THEN 'rejected' ELSE 'unchanged' END AS outcome FROM documents LEFT JOIN labels USING (doc_id)")
 def review_outcome(t: Tables):
     """Labels told as a reviewer's answers, in fences and with words around."""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text, urls
@@ -12,7 +9,6 @@ from skeinwork.operators import audit, relational as rel, summary
 from skeinwork.plans.registry import Tables, query
 from skeinwork.plans.text_queries import TITLE
 from skeinwork.sources import feeds, pages, registry
-from skeinwork.streaming import streams
 
 
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang=\"([^\"]*)\"', 1), '') AS lang FROM pages")
@@ -103,36 +99,3 @@ def card_checks(t: Tables):
 def audit_report(t: Tables):
     counts = t.documents.groupBy("source").agg(F.count("*").alias("n"))
     return audit.markdown(counts, "Documents by source", [F.desc("n"), F.col("source")], ["source", "n"])
-
-
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def stream_window(t: Tables) -> DataFrame:
-    """Daily windows of the event stream, as complete as its last state."""
-    return _streamed(t, lambda df: streams.windowed(df, late="400 days"), ["start", "event_type"])
-
-
-@query("SELECT user_id, ts, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-def stream_latest(t: Tables) -> DataFrame:
-    return _streamed(t, streams.latest_state, ["user_id"])
-
-
-@query("SELECT user_id, event_type, count(*) % 2 = 1 AS active FROM events GROUP BY 1, 2")
-def stream_toggle(t: Tables) -> DataFrame:
-    return _streamed(t, streams.toggle_states, ["user_id", "event_type"])
-
-
-def _streamed(t: Tables, build, key: list[str]) -> DataFrame:
-    """The last row of each key that the stream gave: batches are merged into a table of versions."""
-    import uuid
-
-    from skeinwork.operators.state import Versions
-
-    where = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinwork-")
-    base = f"{where}/stream-{uuid.uuid4().hex}"
-    table = Versions(t.spark, f"{base}/state")
-
-    def each(df: DataFrame, batch: int) -> None:
-        table.merge(df.withColumn("batch", F.lit(batch)), key, "batch")
-
-    streams.drained(build(streams.event_stream(t.spark, t.sf_dir, t.events)), f"{base}/checkpoint", each)
-    return table.read().drop("batch")
