@@ -168,7 +168,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])  # each with its line feed
         known = strings.dictionary_encode()
         times = np.bincount(known.indices.to_numpy(), weights=counts, minlength=len(known.dictionary)).astype(np.int64)
-        crc = np.fromiter((zlib.crc32(x[:-1]) for x in known.dictionary.to_pylist()), np.uint32, len(known.dictionary))
+        crc = np.fromiter(map(zlib.crc32, pc.binary_slice(known.dictionary, 0, -1).to_numpy(zero_copy_only=False)), np.uint32, len(known.dictionary))
         sums[:] += np.bincount(crc % BUCKETS, weights=times, minlength=BUCKETS).astype(np.int64)
 
     part = None
