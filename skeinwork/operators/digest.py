@@ -1,13 +1,16 @@
-"""The week's selection, from candidates that are already few: one per event, capped by rank."""
+"""The week's selection: one per event, capped by rank."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators import rank
+from skeinwork.operators.shared import stored
+
 
 def digest_order(bucket_rank: Column) -> list[Column]:
     return [bucket_rank.asc(), F.col("sent").desc(), F.col("signal").desc(), F.col("score").desc(), F.col("id").asc()]
@@ -47,12 +50,12 @@ def prepare(rows: list[dict], limit: int, preferred: Sequence[str], weak: Sequen
             picks.append(pick)
             taken.add(pick["id"])
     chosen += picks + [r for r in sent if r["id"] not in taken]
-    for more in ([r for r in stored if r["id"] not in taken], rest):
-        if len(chosen) >= min(limit, 5):
-            break
-        have = {r["id"] for r in chosen}
-        chosen = _distinct(chosen + [r for r in more if r["id"] not in have])
-    return _distinct(chosen)[:limit]
+    if len(chosen) < min(limit, 5):
+        chosen += [r for r in stored if r["id"] not in taken]
+    if len(chosen) >= min(limit, 5):
+        return chosen[:limit]  # what is enough isn't searched for repeats again
+    have = {r["id"] for r in chosen}
+    return _distinct(chosen + _distinct([r for r in rest if r["id"] not in have]))[:limit]
 
 
 def sent_first(rows: list[dict], limit: int, preferred: Sequence[str], weak: Sequence[str]) -> list[dict]:
@@ -74,19 +77,45 @@ def weekly(candidates: DataFrame, limit: int, preferred: Sequence[str], weak: Se
     """week, place, id of each week's prepared rows; stored_last: sent ones are prepared first, by themselves.
 
     candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score, and
-    eligible if not all are. Rows that aren't eligible don't move. The
-    choice sees the whole week: which rows of a bucket count as repeats depends on all rows
-    before them, so no number of the best rows is sure to hold each bucket's pick.
+    eligible if not all are. Rows that aren't eligible don't move. Which rows repeat one before
+    them is found for all rows of all weeks at once (first_seen_any), for each of the pools that
+    a choice draws on. Of a pool's rows that are left, no choice needs more than the first few
+    (each row before them can make no more than four of them a repeat) and the first of each
+    preferred bucket; so the task that prepares a week reads a number of rows that doesn't
+    grow with the week.
     """
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("week").orderBy(F.col("manual").desc(), *digest_order(ranks)))
     if "eligible" in candidates.columns:
         candidates = candidates.filter("eligible")
-    read = candidates.select("week", "id", "url", "title", "story", "bucket", "sent", "manual", "noise", place.alias("r"))
+    read = candidates.select("week", "id", "url", "title", "story", "bucket", "sent", "manual", "noise", F.struct(F.col("manual").cast("int").alias("m"), *[c.alias(f"c{i}") for i, c in enumerate([-ranks, F.col("sent").cast("int"), F.col("signal"), F.col("score")])]).alias("best"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(read)
+    order = [F.desc("best"), F.col("id"), F.col("row")]
+    keys = [F.col("id"), F.lower(F.trim("url")), F.trim(F.regexp_replace(F.lower("title"), r"\s+", " ")), F.col("story")]
+    # first_seen_any() takes the smallest first: places are told once, by a sort over all rows.
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    distinct = lambda df: rank.first_seen_any(df, "place", [], keys, [F.col("week")])
+
+    def first(df: DataFrame, n: int, *by: str) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy("week", *by).orderBy("place"))).filter(F.col("_r") <= n).drop("_r")
+
+    many = 5 * (limit + len(preferred)) + limit
+    if stored_last:
+        placed = stored(distinct(placed))
+        distinct = lambda df: df
+    manual = stored(first(distinct(placed.filter("manual")), limit))
+    rest = placed.join(manual.select("week", "id"), ["week", "id"], "left_anti").filter("not noise")
+    strong = rest.filter(~F.coalesce(F.col("bucket").isin(*weak), F.lit(False)))
+    pools = [manual]
+    for pool in (distinct(strong.filter("sent")), distinct(strong.filter("not sent"))):
+        pool = stored(pool)
+        pools += [first(pool, many), first(pool.filter(F.col("bucket").isin(*preferred)), 1, "bucket")]
+    pools += [first(distinct(rest), many)] if not stored_last else [first(rest, many, "sent")]
+    few = pools[0]
+    for pool in pools[1:]:
+        few = few.unionByName(pool)
+    few = few.dropDuplicates(["place"]).drop("best", "row")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = (sent_first if stored_last else prepare)(pdf.sort_values("r").to_dict("records"), limit, preferred, weak)
-        return pd.DataFrame([(r["week"], i, str(r["id"])) for i, r in enumerate(rows, 1)], columns=["week", "place", "id"])
+        chosen = (sent_first if stored_last else prepare)(pdf.sort_values("place").to_dict("records"), limit, preferred, weak)
+        return pd.DataFrame([(r["week"], i, str(r["id"])) for i, r in enumerate(chosen, 1)], columns=["week", "place", "id"])
 
-    return read.groupBy("week").applyInPandas(choose, "week string, place int, id string")
+    return few.groupBy("week").applyInPandas(choose, "week string, place int, id string")

@@ -12,9 +12,10 @@ from pyspark.sql.types import DoubleType
 
 from skeinwork.functions import extract
 from skeinwork.functions.text import story_text
-from skeinwork.operators.rank import best_of
+from skeinwork.operators.rank import best_of, first_unlinked
 from skeinwork.operators.relational import interval_match, spread
-from skeinwork.operators.resolve import connected, stored
+from skeinwork.operators.resolve import connected
+from skeinwork.operators.shared import stored
 
 #: Why an item isn't sent, first that holds. A group's deployment probe counts as well as its funding probe.
 REASONS = ("event_sent", "url_sent", "group_url", "deployment_sent", "group_deployment", "group_funding", "funding_sent")
@@ -157,20 +158,6 @@ def near_duplicate_pairs(candidates: DataFrame, pairs: DataFrame, ratio: float =
 def first_told(candidates: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     """The candidates that no accepted earlier one tells: each is probed in order against those accepted so far.
 
-    pairs: (a, b) that tell one story. Rows that no pair links are accepted as they are; a group
-    of linked ones, as large as its stories are told often, is folded in order.
+    pairs: (a, b) that tell one story. No group of linked ones is read whole.
     """
-    links = pairs.select("a", "b")
-    groups = connected(links)
-    near = links.union(links.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))
-    linked = candidates.select("id", F.col(order).alias("place")).join(near, "id").join(groups.withColumnRenamed("node", "id"), "id")
-
-    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
-        accepted: set = set()
-        for row in pdf.sort_values(["place", "id"]).itertuples():
-            if not accepted.intersection(row.near):
-                accepted.add(row.id)
-        return pd.DataFrame({"id": sorted(set(pdf["id"]) - accepted)})
-
-    told = linked.groupBy("group").applyInPandas(probe, candidates.select("id").schema)
-    return candidates.join(told, "id", "left_anti")
+    return candidates.join(first_unlinked(candidates.select("id", F.col(order).alias("place")), pairs), "id", "left_semi")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators.shared import dropped, own_folder, stored
+
 
 def best_of(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key in an order that ends in a unique column.
@@ -36,7 +38,7 @@ def first_seen(df: DataFrame, key: Column, order: Sequence[Column]) -> DataFrame
 def fold(df: DataFrame, group: Sequence[str], schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """An ordered fold of each group; for choices that no total order expresses.
 
-    A group is a fold's own bound: a customer's orders, a component's rows, a week's candidates.
+    A group is a fold's own bound: a customer's orders, a component's rows.
     """
     return df.groupBy(*group).applyInPandas(step, schema)
 
@@ -64,15 +66,67 @@ def tie_window_choice(rows: list[dict], window: float = 5) -> dict:
     return chosen
 
 
-def first_seen_any(rows: pd.DataFrame, keys: Sequence[str], order: Sequence[str]) -> pd.DataFrame:
-    """Rows in order of which no key has been seen on a row that stayed; null keys don't count."""
-    seen: dict[str, set] = {k: set() for k in keys}
-    keep = []
-    for i, row in rows.sort_values(list(order)).iterrows():
-        own = {k: row[k] for k in keys if pd.notna(row[k]) and row[k] != ""}
-        if any(v in seen[k] for k, v in own.items()):
-            continue
-        keep.append(i)
-        for k, v in own.items():
-            seen[k].add(v)
-    return rows.loc[keep]
+#: What more than one of so many rows share is hot; so there are never more hot keys than this.
+HOT = 4096
+
+
+def _met(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """rows joined with keys (k, once each, and n, how many rows have it): hot keys by a broadcast of at most HOT of them, all others by a shuffle."""
+    hot, cold = keys.filter(F.col("n") * HOT > total), keys.filter(F.col("n") * HOT <= total)
+    return rows.join(F.broadcast(hot), "k").unionByName(rows.join(F.broadcast(hot.select("k")), "k", "left_anti").join(cold.hint("merge"), "k"))
+
+
+def first_seen_any(df: DataFrame, row: str, order: Sequence[Column], keys: Sequence[Column], within: Sequence[Column] = ()) -> DataFrame:
+    """Rows, in an order, of which no key has been seen on a row that stayed; null and empty keys don't count.
+
+    row: a column that tells rows apart; it ends the order. Keys of different columns never meet, nor
+    do those of rows that differ in `within`. What a fold over all rows in order gives is found in
+    rounds: of the rows that aren't decided, those that come first for each of their keys stay,
+    and all others with one of these keys go. The first undecided row always stays, so the rounds
+    come to an end; in orders that aren't made for it, a few settle all. A key that many rows
+    share costs each task one row where it is counted, and is broadcast where its rows meet it.
+    """
+    spark = df.sparkSession
+    told = [F.struct(F.lit(i).alias("i"), F.struct(*[w.alias(f"w{j}") for j, w in enumerate(within)], F.lit(0).alias("_")).alias("w"), k.cast("string").alias("v")) for i, k in enumerate(keys)]
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row).alias("row"))
+    keyed = df.select(F.col(row).alias("row"), place.alias("place"), F.explode_outer(F.filter(F.array(*told), lambda k: k["v"] != "")).alias("k"))
+    keyed = stored(keyed)
+    without = keyed.filter("k is null").select("row")
+    open_, kept = stored(keyed.filter("k is not null")), own_folder(spark, "kept")
+    without.write.parquet(kept)
+    total = open_.count()
+    while total:
+        least = open_.groupBy("k").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+        stays = _met(open_, least, total).groupBy("row").agg(F.bool_and(F.col("place") == F.col("first")).alias("stays")).filter("stays").select("row")
+        stays = stored(stays)
+        stays.write.mode("append").parquet(kept)
+        taken = open_.join(stays, "row", "left_semi").select("k").distinct().join(open_.groupBy("k").agg(F.count("*").alias("n")), "k")
+        gone = _met(open_.select("row", "k"), taken, total).select("row").distinct()
+        rest = stored(open_.join(gone, "row", "left_anti"))
+        dropped(open_, stays)
+        open_, total = rest, rest.count()
+    return df.join(spark.read.schema(without.schema).parquet(kept).withColumnRenamed("row", row), row, "left_semi")
+
+
+def first_unlinked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id of the nodes that have no edge to an earlier one that stayed, each probed in order against those accepted so far.
+
+    nodes: id, place (their order; ties by id). edges: a, b, in either direction. Rounds as in
+    first_seen_any(): nodes without an undecided earlier neighbour stay, their neighbours go.
+    """
+    spark = nodes.sparkSession
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").filter("a <> b").distinct()
+    at = nodes.select("id", F.struct("place", "id").alias("at"))
+    open_ = stored(both.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b"))
+    lonely = nodes.select("id").join(open_.select(F.col("a").alias("id")), "id", "left_anti")
+    left, kept = stored(open_.select(F.col("a").alias("id")).distinct()), own_folder(spark, "kept")
+    lonely.write.parquet(kept)
+    while not left.isEmpty():
+        stays = stored(left.join(open_.filter("y < x").select(F.col("a").alias("id")), "id", "left_anti"))
+        stays.write.mode("append").parquet(kept)
+        gone = stored(open_.join(stays.toDF("b"), "b", "left_semi").select(F.col("a").alias("id")).unionByName(stays).distinct())
+        more = stored(left.join(gone, "id", "left_anti"))
+        rest = stored(open_.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti"))
+        dropped(left, open_, stays, gone)
+        left, open_ = more, rest
+    return spark.read.schema(lonely.schema).parquet(kept)

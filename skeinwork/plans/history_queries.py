@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from skeinwork.functions import dates, extract, text
 from skeinwork.operators import digest, history, resolve, reviews
 from skeinwork.plans.registry import Tables, query
-from skeinwork.sources import chat
 
 
 def _orders_as_stories(t: Tables):
@@ -45,6 +44,14 @@ def near_duplicate_stories(t: Tables):
     return history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title", "pack"))
 
 
+@query()
+def first_told_stories(t: Tables):
+    """Documents, in order of their ids, that no document accepted before tells."""
+    c = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("pack"), text.title_of("text").alias("title"), "text")
+    pairs = history.near_duplicate_pairs(c, resolve.candidate_pairs(c, "id", "title", "pack"))
+    return history.first_told(c.select("id", "pack"), pairs, "id")
+
+
 PREFERRED, WEAK = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"), ("none",)
 
 

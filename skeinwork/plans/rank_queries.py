@@ -117,15 +117,14 @@ def tie_window_representative(t: Tables):
     return rank.fold(t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate"), ["o_custkey"], "o_custkey long, o_orderkey long", step)
 
 
-@query()
+@query(f"""WITH d AS (SELECT source, doc_id, ['t' || {TITLE}, 'k' || {KEY}] AS k FROM documents),
+           f AS (SELECT source, list_reduce(list_concat([struct_pack(i := CAST(-1 AS BIGINT), k := CAST([] AS VARCHAR[]), ids := CAST([] AS BIGINT[]))], list(struct_pack(i := doc_id, k := k, ids := CAST([] AS BIGINT[])) ORDER BY doc_id)),
+             lambda s, x: CASE WHEN list_has_any(s.k, list_filter(x.k, lambda v: v <> 't')) THEN s ELSE struct_pack(i := s.i, k := list_concat(s.k, list_filter(x.k, lambda v: v <> 't')), ids := list_append(s.ids, x.i)) END) AS s FROM d GROUP BY source)
+           SELECT source, unnest(s.ids) AS doc_id FROM f""")
 def first_seen_any_key(t: Tables):
     """Within each source: first sight by id, title or event key."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        return rank.first_seen_any(pdf, ["doc_id", "title", "key"], ["doc_id"])[["source", "doc_id"]]
-
-    title = text.title_of("text")
-    return rank.fold(t.documents.select("source", "doc_id", title.alias("title"), text.event_key(title).alias("key")), ["source"], "source string, doc_id long", step)
+    df = t.documents.select("source", "doc_id", text.title_of("text").alias("title"))
+    return rank.first_seen_any(df, "doc_id", [], [F.col("doc_id"), F.col("title"), text.event_key("title")], [F.col("source")]).select("source", "doc_id")
 
 
 _TOK = f"SELECT doc_id AS id, list_distinct({TOKENS}) AS tok, {KEY} AS k FROM documents"

@@ -79,7 +79,8 @@ def source_registry(t: Tables):
 
 @query()
 def fallback_summary(t: Tables):
-    body = F.regexp_replace(F.coalesce(F.substring_index("text", "\n", -2), F.lit("")), "\n", " ")
+    """The whole text after its first line is what a summary draws on."""
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "^[^\n]*\n?", ""), "\n", " ")
     return t.documents.select("doc_id", summary.fallback_summary(text.title_of("text"), body).alias("summary"))
 
 

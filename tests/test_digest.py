@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from skeinwork.operators import digest, reviews
+from skeinwork.operators import digest, rank, reviews
 
 
 def row(i, bucket="a", sent=False, manual=False, noise=False, title=None, story=None):
@@ -41,17 +44,57 @@ def test_select_distinct():
 
 
 def test_large_bucket_leaves_the_others_their_picks(spark):
-    from pyspark.sql import functions as F
-
     rows = [row(i, "a", sent=True, story="s" if i % 7 else None) for i in range(900)] + [row(1000 + i, b, sent=i % 2 == 0) for i, b in enumerate("bcbcb")]
     rows = [r | {"week": "w", "signal": 0, "score": r["id"]} for r in rows]
     df = spark.createDataFrame(rows, "week string, id long, url string, title string, story string, bucket string, sent boolean, manual boolean, noise boolean, signal int, score long")
-    rank = F.when(F.col("bucket") == "a", 0).when(F.col("bucket") == "b", 1).otherwise(2)
-    got = [int(r["id"]) for r in digest.weekly(df, 20, ("a", "b", "c"), (), rank).orderBy("place").collect()]
+    ranks = F.when(F.col("bucket") == "a", 0).when(F.col("bucket") == "b", 1).otherwise(2)
+    got = [int(r["id"]) for r in digest.weekly(df, 20, ("a", "b", "c"), (), ranks).orderBy("place").collect()]
     ordered = sorted(rows, key=lambda r: ("abc".index(r["bucket"]), not r["sent"], -r["score"], r["id"]))
     assert got == ids(digest.prepare(ordered, 20, ("a", "b", "c"), ())) and got[1:3] == [1004, 1003]
 
 
+@pytest.mark.parametrize("stored_last", [False, True])
+def test_weeks_equal_the_choice_over_all_their_rows(spark, stored_last):
+    """Skewed weeks, with repeats by every key, against a fold over each whole week."""
+    rng = random.Random(stored_last)
+    rows = []
+    for i in range(500):
+        few = rng.random() < 0.6
+        r = row(i, rng.choice("aaabcdw"), rng.random() < 0.3, rng.random() < 0.02, rng.random() < 0.2, f"Title {rng.randrange(30 if few else 900)}", rng.choice([None, "", f"s{rng.randrange(40)}"]))
+        r["url"] = f" https://X.org/{rng.randrange(60 if few else 900)}"
+        rows.append(r | {"week": rng.choice(["v", "w", "w", "w", f"u{i % 20}"]), "signal": rng.randrange(2), "score": rng.randrange(50), "eligible": rng.random() < 0.95})
+    df = spark.createDataFrame(rows, "week string, id long, url string, title string, story string, bucket string, sent boolean, manual boolean, noise boolean, signal int, score long, eligible boolean").repartition(3)
+    bucket = F.ascii("bucket")
+    limit, preferred, weak = 8, ("d", "c", "b", "a"), ("w",)
+    got = {}
+    for r in digest.weekly(df, limit, preferred, weak, bucket, stored_last).orderBy("place").collect():
+        got.setdefault(r["week"], []).append(int(r["id"]))
+    wanted = {}
+    for week in {r["week"] for r in rows}:
+        own = [r for r in rows if r["week"] == week and r["eligible"]]
+        own.sort(key=lambda r: (not r["manual"], ord(r["bucket"]), not r["sent"], -r["signal"], -r["score"], r["id"]))
+        chosen = ids((digest.sent_first if stored_last else digest.prepare)(own, limit, preferred, weak))
+        if chosen:
+            wanted[week] = chosen
+    assert got == wanted and len(got["w"]) == limit
+
+
+def test_rounds_equal_a_fold(spark):
+    """First sight by any of several keys, with a key that a third of all rows share and long chains."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", None, "", f"a{rng.randrange(60)}"]), f"b{rng.randrange(90)}", rng.choice("xy")) for i in range(300)]
+    rows += [(1000 + i, f"c{i}", f"d{i + 1}" if i % 2 else f"d{i}", "z") for i in range(12)] + [(2000 + i, f"e{(i + 1) // 2}", f"f{i // 2}", "z") for i in range(12)] + [(3000, None, None, "z"), (3001, "", None, "z")]
+    df = spark.createDataFrame(rows, "id long, a string, b string, g string").repartition(4)
+    seen, wanted = set(), []
+    for i, a, b, g in rows:
+        keys = {(g, k, v) for k, v in (("a", a), ("b", b)) if v}
+        if not keys & seen:
+            seen |= keys
+            wanted.append(i)
+    assert sorted(r["id"] for r in rank.first_seen_any(df, "id", [], [F.col("a"), F.col("b")], [F.col("g")]).collect()) == wanted
+    assert rank.first_seen_any(df.limit(0), "id", [], [F.col("a")]).count() == 0
+
+
 @pytest.mark.parametrize("answer, wanted", [
     ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('Sure: {"a": {"b": 1}} done', '{"a": {"b": 1}}'), ('{"a": 1} {"b": 2}', None), ("none", None), (None, None), ("[1]", None),
 ])
