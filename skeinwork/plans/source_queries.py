@@ -50,31 +50,49 @@ def interleave_round_robin(t: Tables):
     return rel.round_robin(df, "source", "source", "doc_id", "title", 40).select(F.col("place").cast("long").alias("place"), "doc_id")
 
 
-_FEED = """<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>%s</channel></rss>"""
-_ITEM = "<item><title>%s</title><link>https://news.example.org/%d?utm_source=x</link><description>&lt;p&gt;About %s &amp;amp; more&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 0%d:00:00 GMT</pubDate><guid>g%d</guid><dc:creator>Ann</dc:creator></item>"
 
 
-@query("""SELECT source_id, 'https://news.example.org/' || i AS url, CASE WHEN source_id = 'bare' AND i = 1 THEN 'Salt & Pepper' ELSE 'Title ' || i END AS title, 'About topic ' || i || ' & more' AS snippet, 'Ann' AS author,
-    TIMESTAMP '2024-01-01' + to_hours(CAST(i AS INT)) AS published_ts, 'g' || i AS external_id FROM (VALUES ('good', 3), ('bare', 3), ('broken', 2)) v(source_id, n), range(3) r(i) WHERE i < n""")
+_BLOCK = "source || '/' || doc_id // 50"
+
+
+@query(f"""SELECT {_BLOCK} AS source_id, 'https://news.example.org/' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'Salt & Pepper ' ELSE 'Title ' END || doc_id AS title, 'About ' || lang || ' ' || n_chars || ' & more' AS snippet, 'Ann' AS author,
+    TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 9 AS INT)) AS published_ts, 'g' || doc_id AS external_id FROM documents WHERE source IS NOT NULL AND ({_BLOCK} NOT IN (SELECT {_BLOCK} FROM documents WHERE source IS NOT NULL AND doc_id % 50 = 49) OR doc_id % 50 <> 49)""")
 def feed_items(t: Tables):
-    """A sound feed, one with bare ampersands and one with an item beyond repair."""
-    good = _FEED % "".join(_ITEM % (f"Title {i}", i, f"topic {i}", i, i) for i in range(3))
-    bodies = [("good", good), ("bare", good.replace("Title 1", "Salt & Pepper")), ("broken", good.replace("<title>Title 2</title>", "<title>Title 2<title>") + "<"), ("empty", "")]
-    out = feeds.rss_items(t.spark.createDataFrame(bodies, "source_id string, body string"))
+    """Feeds of up to 50 documents of a source: some with bare ampersands, some cut off within their last item."""
+    n = F.col("doc_id")
+    raw = F.when(n % 5 == 0, F.concat(F.lit("Salt & Pepper "), n)).otherwise(F.concat(F.lit("Title "), n))
+    item = F.concat(F.lit("<item><title>"), raw, F.when(n % 50 == 49, "<title>").otherwise("</title>"), F.format_string("<link>https://news.example.org/%d?utm_source=x</link><description>&lt;p&gt;About %s %d &amp;amp; more&lt;/p&gt;</description><pubDate>Mon, 01 Jan 2024 0%d:00:00 GMT</pubDate><guid>g%d</guid><dc:creator>Ann</dc:creator></item>", n, F.col("lang"), F.col("n_chars").cast("long"), n % 9, n))
+    block = F.concat(F.col("source"), F.lit("/"), F.expr("doc_id div 50"))
+    feeds_of = t.documents.filter("source is not null").groupBy(block.alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("xs"))
+    whole = F.concat(F.lit('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), F.array_join(F.transform("xs", lambda x: x["x"]), ""), F.lit("</channel></rss>"))
+    body = F.when(F.exists("xs", lambda x: x["doc_id"] % 50 == 49), F.concat(whole, F.lit("<"))).otherwise(whole)
+    out = feeds.rss_items(feeds_of.select("source_id", body.alias("body")))
     return out.select("source_id", urls.normalize_url("url").alias("url"), "title", "snippet", "author", "published_ts", "external_id")
 
 
-@query("SELECT 'wp' AS source_id, 'https://x.example.org/a-b/' AS url, 'A & B' AS title, 'Short' AS snippet, '7' AS external_id, TIMESTAMP '2024-01-01 09:00:00' AS published_ts")
+@query(f"""SELECT {_BLOCK} AS source_id, CASE WHEN doc_id % 3 = 0 THEN 'https://x.example.org/s-' || doc_id || '/' ELSE 'https://y.example.org/' || doc_id END AS url, 'A & B ' || doc_id AS title, 'Short ' || lang AS snippet, CAST(doc_id AS VARCHAR) AS external_id,
+    TIMESTAMP '2024-01-01 09:00:00' + to_days(CAST(doc_id % 20 AS INT)) AS published_ts FROM documents WHERE source IS NOT NULL AND doc_id % 4 <> 3 AND doc_id // 50 % 7 <> 6""")
 def wordpress_items(t: Tables):
-    body = '[{"id": 7, "slug": "a-b", "link": "", "date": "2024-01-01T10:00:00", "date_gmt": "2024-01-01T09:00:00", "title": {"rendered": "A &amp; B"}, "excerpt": {"rendered": "<p>Short</p>"}}, {"id": 8, "slug": "c", "link": "https://x.example.org/c", "title": {"rendered": ""}}]'
-    return feeds.wordpress_items(t.spark.createDataFrame([("wp", body), ("bad", "{")], "source_id string, body string"), "https://x.example.org")
-
-
-@query("SELECT * FROM (VALUES ('a', 'rss', NULL), ('b', 'listing', 'x')) v(id, kind, market_scope)")
+    """Lists of posts, up to 50 documents each: a slug for a missing link, no title, lists that aren't JSON."""
+    n, day = F.col("doc_id"), F.expr("date_add(DATE '2024-01-01', cast(doc_id % 20 as int))")
+    link = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("https://y.example.org/"), n))
+    post = F.struct(
+        n.alias("id"), F.concat(F.lit("s-"), n).alias("slug"), link.alias("link"), F.concat(day, F.lit("T10:00:00")).alias("date"), F.concat(day, F.lit("T09:00:00")).alias("date_gmt"),
+        F.struct(F.when(n % 4 == 3, "").otherwise(F.concat(F.lit("A &amp; B "), n)).alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>Short "), "lang", F.lit("</p>")).alias("rendered")).alias("excerpt"),
+    )
+    lists = t.documents.filter("source is not null").groupBy("source", F.expr("doc_id div 50").alias("block")).agg(F.to_json(F.collect_list(post)).alias("body"))
+    body = F.when(F.col("block") % 7 == 6, F.concat(F.lit("{"), "body")).otherwise(F.col("body"))
+    return feeds.wordpress_items(lists.select(F.concat_ws("/", "source", "block").alias("source_id"), body.alias("body")), "https://x.example.org")
+
+
+@query("""SELECT id, CASE n % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'listing' ELSE 'google_competitor' END AS kind, CASE WHEN n % 3 = 1 THEN 'x' || n END AS market_scope FROM (SELECT s_suppkey AS n, 's' || s_suppkey AS id FROM supplier) WHERE n % 5 <> 0 AND (n % 3 = 0 OR (n % 3 = 1 AND n % 2 = 0))""")
 def source_registry(t: Tables):
-    base = {"layer": "direct", "is_direct_source": True, "is_wrapper": False, "enabled": True, "parser": "", "url": "https://example.org", "priority": 5}
-    rows = [{"id": "a", "name": "A", "kind": "rss", **base}, {"id": "b", "name": "B", "kind": "listing", **base, "parser": "headings", "market_scope": "x"}, {"id": "c", "name": "C", "kind": "google_competitor", **base, "is_direct_source": False}]
-    return registry.supported(registry.selected(registry.sources(t.spark, rows))).select("id", "kind", F.col("extra_config")["market_scope"].alias("market_scope"))
+    """Suppliers as a catalogue of sources: kinds, parsers that there are and that there aren't, some switched off."""
+    n = F.col("s_suppkey")
+    kind = F.when(n % 3 == 0, "rss").when(n % 3 == 1, "listing").otherwise("google_competitor")
+    rows = t.supplier.select(F.concat(F.lit("s"), n).alias("id"), F.col("s_name").alias("name"), kind.alias("kind"), F.lit("direct").alias("layer"), F.lit(True).alias("is_direct_source"), F.lit(False).alias("is_wrapper"), (n % 5 != 0).alias("enabled"),
+        F.when(n % 2 == 0, "headings").otherwise("other").alias("parser"), F.lit("https://example.org").alias("url"), F.lit(5).alias("priority"), F.when(n % 3 == 1, F.create_map(F.lit("market_scope"), F.concat(F.lit("x"), n))).alias("extra_config"))
+    return registry.supported(registry.selected(rows)).select("id", "kind", F.col("extra_config")["market_scope"].alias("market_scope"))
 
 
 @query()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from skeinwork.functions import dates, extract, text, urls
 from skeinwork.operators import audit, rules
 from skeinwork.operators.rules import Flag, RuleBook
+from skeinwork.operators.relational import interval_match
+from skeinwork.operators.shared import stored
 from skeinwork.plans.registry import Tables, query
 
 TITLE = "substr(regexp_extract(coalesce(text, ''), '^[^\n]*'), 1, 80)"
@@ -219,39 +221,42 @@ def iso_week(t: Tables):
     return t.orders.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), "o_orderdate").cast("long").alias("iso_year"), F.weekofyear("o_orderdate").cast("long").alias("iso_week"))
 
 
-_STORIES = [
-    ("Acme Robotics raises $30 million in Series B", "Acme Robotics said the round was led by North Fund.", "2024-01-05"),
-    ("Report: Acme Robotics has just raised $30m Series B", None, "2024-01-07"),
-    ("Beta Works secures €12.50 mn seed round", "Backed by South Capital.", "2024-01-06"),
-    ("Gamma and Delta Works deploy 1,200 humanoids", "Gamma and Delta Works deploy 1,200 Atlas robots in plants.", "2024-01-03"),
-    ("Gamma to install Atlas robots", "Gamma confirms deployment.", "2024-01-04"),
-    ("Startup Epsilon news", "startup Epsilon raised $2.0b", "2024-01-02"),
-    ("Zeta partners with Eta Group", "Zeta partners with Eta Group on housing.", "2024-01-02"),
-    ("Nothing to see", None, None),
-]
+def _stories(t: Tables):
+    """Orders told as fundings, deployments and partnerships of their customers, in several wordings; every fifth says nothing."""
+    k, who = F.col("o_orderkey"), F.lpad("o_custkey", 6, "0")
+    millions, robots = (F.col("o_totalprice") / 10000).cast("int"), F.col("o_custkey") + 1000
+    name, other = F.concat(F.lit("Acme"), who), F.concat(F.lit("Delta"), who)
+    grouped = F.format_number(robots, 0)
+    title = (
+        F.when(k % 5 == 0, F.concat(name, F.lit(" Robotics raises $"), millions, F.lit(" million in Series B"))).when(k % 5 == 1, F.concat(F.lit("Report: "), name, F.lit(" Robotics has just raised $"), millions, F.lit("m Series B")))
+        .when(k % 5 == 2, F.concat(name, F.lit(" and "), other, F.lit(" Works deploy "), grouped, F.lit(" humanoids"))).when(k % 5 == 3, F.concat(name, F.lit(" partners with "), other, F.lit(" Group"))).otherwise("Nothing to see")
+    )
+    preview = F.when(k % 5 == 2, F.concat(name, F.lit(" and "), other, F.lit(" Works deploy "), grouped, F.lit(" Atlas robots in plants."))).when(k % 5 == 3, F.concat(name, F.lit(" partners with "), other, F.lit(" Group on housing.")))
+    return t.orders.select("o_orderkey", title.alias("title"), preview.alias("preview"), F.col("o_orderdate").cast("timestamp").alias("published"))
 
 
-@query("""SELECT * FROM (VALUES ('Acme Robotics raises $30 million in Series B', 'acme robotics', '$30m', 'series b', NULL, NULL, NULL, NULL), ('Report: Acme Robotics has just raised $30m Series B', 'acme robotics', '$30m', 'series b', NULL, NULL, NULL, NULL),
-    ('Beta Works secures €12.50 mn seed round', 'beta works', '€12.5m', 'seed round', NULL, NULL, NULL, NULL), ('Gamma and Delta Works deploy 1,200 humanoids', NULL, NULL, NULL, 'delta works+gamma', '1200', 'atlas robots', NULL),
-    ('Gamma to install Atlas robots', NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('Startup Epsilon news', 'epsilon', '$2b', NULL, NULL, NULL, NULL, NULL), ('Zeta partners with Eta Group', NULL, NULL, NULL, NULL, NULL, NULL, 'eta group+zeta'),
-    ('Nothing to see', NULL, NULL, NULL, NULL, NULL, NULL, NULL)) v(title, funder, amount, round, deployers, quantity, product, partners)""")
+_NAME = "lpad(CAST(o_custkey AS VARCHAR), 6, '0')"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN 'acme' || {_NAME} || ' robotics' END AS funder, CASE WHEN o_orderkey % 5 < 2 THEN '$' || CAST(floor(o_totalprice / 10000) AS INT) || 'm' END AS amount, CASE WHEN o_orderkey % 5 < 2 THEN 'series b' END AS round,
+           CASE WHEN o_orderkey % 5 = 2 THEN 'acme' || {_NAME} || '+delta' || {_NAME} || ' works' END AS deployers, CASE WHEN o_orderkey % 5 = 2 THEN CAST(o_custkey + 1000 AS VARCHAR) END AS quantity, CASE WHEN o_orderkey % 5 = 2 THEN 'atlas robots' END AS product,
+           CASE WHEN o_orderkey % 5 = 3 THEN 'acme' || {_NAME} || '+delta' || {_NAME} || ' group' END AS partners FROM orders""")
 def semantic_keys(t: Tables):
-    """Funding, deployment and partnership keys of a few made-up stories."""
-    df = t.spark.createDataFrame(_STORIES, "title string, preview string, published string").withColumn("published", F.to_timestamp("published"))
+    """Funding, deployment and partnership keys of stories composed from orders."""
     f, d = extract.funding_key("title", "preview", "published"), extract.deployment_key("title", "preview", "published")
     pair = extract.partnership_pair(F.concat_ws(". ", "title", "preview"))
-    return df.select("title", f["entity"].alias("funder"), F.concat(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).alias("amount"), f["round"].alias("round"), F.array_join(d["pair"], "+").alias("deployers"), d["quantity"].alias("quantity"), d["product"].alias("product"), F.array_join(pair, "+").alias("partners"))
+    return _stories(t).select("o_orderkey", f["entity"].alias("funder"), F.concat(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).alias("amount"), f["round"].alias("round"), F.array_join(d["pair"], "+").alias("deployers"), d["quantity"].alias("quantity"), d["product"].alias("product"), F.array_join(pair, "+").alias("partners"))
 
 
-@query("SELECT 'Acme Robotics raises $30 million in Series B' AS left_title, 'Report: Acme Robotics has just raised $30m Series B' AS right_title")
+@query("""WITH s AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice / 10000) AS INT) AS m, CAST(o_orderdate AS DATE) AS d FROM orders)
+          SELECT x.k AS a, y.k AS b FROM s x JOIN s y ON x.c = y.c AND x.k < y.k WHERE (x.k % 5 < 2 AND y.k % 5 < 2 AND x.m = y.m AND abs(datediff('day', x.d, y.d)) <= 3) OR (x.k % 5 = 2 AND y.k % 5 = 2 AND abs(datediff('day', x.d, y.d)) <= 7)""")
 def same_story_pairs(t: Tables):
-    """Pairs of the made-up stories that tell of one funding or deployment."""
-    df = t.spark.createDataFrame(_STORIES, "title string, preview string, published string").withColumn("published", F.to_timestamp("published"))
-    k = df.select("title", extract.funding_key("title", "preview", "published").alias("f"), extract.deployment_key("title", "preview", "published").alias("d"))
-    a, b = k.alias("a"), k.alias("b")
-    both = a.join(b, F.expr("a.title < b.title and (a.f.entity = b.f.entity or a.d.quantity <=> b.d.quantity)"))
-    same = F.coalesce(extract.same_funding(F.col("a.f"), F.col("b.f")), F.lit(False)) | F.coalesce(extract.same_deployment(F.col("a.d"), F.col("b.d")), F.lit(False))
-    return both.filter(same).select(F.col("a.title").alias("left_title"), F.col("b.title").alias("right_title"))
+    """Pairs of orders' stories that tell of one funding or deployment; they meet by a name and a span of days."""
+    k = stored(_stories(t).select("o_orderkey", "published", extract.funding_key("title", "preview", "published").alias("f"), extract.deployment_key("title", "preview", "published").alias("d")))
+    keyed = k.withColumn("name", F.explode(F.array_compact(F.array_distinct(F.concat(F.array("f.entity"), F.coalesce("d.pair", F.array().cast("array<string>")))))))
+    both = interval_match(keyed.withColumnRenamed("o_orderkey", "id"), keyed.withColumnRenamed("o_orderkey", "id"), "name", "published", 8).filter(F.col("l.id") < F.col("r.id"))
+    same = F.coalesce(extract.same_funding(F.col("l.f"), F.col("r.f")), F.lit(False)) | F.coalesce(extract.same_deployment(F.col("l.d"), F.col("r.d")), F.lit(False))
+    return both.filter(same).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 _MONEY = "(?i)[$€£]\\s?(\\d+(?:\\.\\d+)?)\\s?(million|billion|mn|mm|bn|m|b)?\\b"
