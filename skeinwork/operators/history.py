@@ -28,8 +28,10 @@ def keyed(items: DataFrame, title: str, preview: str, at: str) -> DataFrame:
 
 def _matches(items: DataFrame, history: DataFrame, kind: str, days: int, same) -> DataFrame:
     """Ids of items that tell of one event with a row of history; both have key, id and at."""
-    join_on = F.col(f"{kind}.entity") if kind == "funding" else F.coalesce(F.col(f"{kind}.quantity"), F.lit("none"))
-    side = lambda df: df.filter(F.col(kind).isNotNull()).select("item_id", "at", kind, join_on.alias("on"))
+    names = F.array(F.col(f"{kind}.entity"))
+    if kind == "deployment":  # any of its names: those of two that match have one in common
+        names = F.concat(names, F.coalesce(F.col(f"{kind}.pair"), F.array().cast("array<string>")))
+    side = lambda df: df.filter(F.col(kind).isNotNull()).select("item_id", "at", kind, F.explode(F.array_distinct(F.array_compact(names))).alias("on"))
     both = interval_match(side(items), side(history), "on", "at", days + 1)
     return both.filter(same(F.col(f"l.{kind}"), F.col(f"r.{kind}"), days)).select(F.col("l.item_id").alias("item_id")).distinct()
 

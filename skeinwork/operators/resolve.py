@@ -154,9 +154,11 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
 def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:
     """id, cluster, event_id, known of current rows: a cluster takes the id of the event that history tells.
 
-    current: id, title, url, at, order; history: the same and event_id. Current rows are clustered
-    among themselves. A cluster matches an event if any of their rows do; of several events it
-    takes the one whose first row comes first. A new event's id follows from its cluster's first row.
+    current: id, title, url, at, order; history: the same and event_id, which may be null: such a row
+    is an event of its own that has no id yet. Current rows are clustered among themselves. A cluster
+    matches an event if any of their rows do; of several events it takes the one whose first row
+    comes first, and clusters that take one event become one. A new id follows from the history's
+    row that was matched, else from the cluster's first row; known: the id is history's.
     """
     clusters = cluster(current, "id", "title", "url", "at", "order")
 
@@ -172,9 +174,11 @@ def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:
     l, r = (df.select("key", F.col("id").alias(i), F.col("at").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))  # noqa: E741
     keyed = l.join(r, "key").filter(_near(F.col("x"), F.col("y"))).select("a", "b")
     linked = now.select("url", F.col("id").alias("a")).join(then.select("url", F.col("id").alias("b")), "url").select("a", "b")
-    first = history.groupBy("event_id").agg(F.min(F.struct("order", F.col("id").cast("string").alias("id"))).alias("first"))
-    told = history.select(F.col("id").cast("string").alias("old"), "event_id").join(first, "event_id")
+    row = F.col("id").cast("string")
+    home = F.struct(F.col("event_id").cast("string").alias("event"), F.when(F.col("event_id").isNull(), row).alias("row"))
+    told = history.select(row.alias("old"), home.alias("home"), F.struct("order", row.alias("id")).alias("at"))
+    told = told.join(told.groupBy("home").agg(F.min("at").alias("first")), "home").select("old", "home", "first")
     matches = alike.unionByName(keyed).unionByName(linked).select(F.col("a.id").alias("row"), F.col("b.id").alias("old")).distinct().join(told, "old")
-    named = clusters.withColumn("row", F.col("id").cast("string")).join(matches, "row").groupBy("cluster").agg(F.min(F.struct("first", "event_id")).alias("m")).select("cluster", F.col("m.event_id").alias("_known"))
-    new = F.sha2(F.concat(F.lit("event:"), F.col("cluster").cast("string")), 256)
-    return clusters.join(named, "cluster", "left").select("id", "cluster", F.coalesce("_known", new).alias("event_id"), F.col("_known").isNotNull().alias("known"))
+    named = clusters.withColumn("row", row).join(matches, "row").groupBy("cluster").agg(F.min(F.struct("first", "home")).alias("m")).select("cluster", F.col("m.home").alias("_home"))
+    new = F.sha2(F.when(F.col("_home.row").isNotNull(), F.concat(F.lit("history:"), "_home.row")).otherwise(F.concat(F.lit("event:"), F.col("cluster").cast("string"))), 256)
+    return clusters.join(named, "cluster", "left").select("id", "cluster", F.coalesce("_home.event", new).alias("event_id"), F.col("_home.event").isNotNull().alias("known"))

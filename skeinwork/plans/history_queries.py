@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import dates, extract, text
 from skeinwork.operators import digest, history, resolve, reviews
 from skeinwork.plans.registry import Tables, query
+from skeinwork.plans.text_queries import order_stories as composed_stories
 
 
 def _orders_as_stories(t: Tables):
@@ -18,17 +19,38 @@ def _orders_as_stories(t: Tables):
     return history.keyed(o, "title", "preview", "at")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey AS c, floor(o_totalprice / 50000) AS a, o_orderpriority[1] AS r, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS st FROM orders)
-          SELECT x.id AS item_id, CASE WHEN EXISTS (SELECT 1 FROM s y WHERE y.st = 'P' AND y.c = x.c AND y.a = x.a AND y.r = x.r AND abs(datediff('day', y.d, x.d)) <= 3) THEN 'group_funding'
-            WHEN EXISTS (SELECT 1 FROM s y WHERE y.st = 'F' AND y.c = x.c AND y.a = x.a AND y.r = x.r AND abs(datediff('day', y.d, x.d)) <= 3) THEN 'funding_sent' END AS reason
-          FROM s x WHERE x.st = 'O'""")
+def _stories_of_orders(t: Tables):
+    """Orders' stories of several kinds with what is known of them: a third are new, the others sent alerts or posts of the group."""
+    k = F.col("o_orderkey")
+    s = history.keyed(composed_stories(t).withColumnRenamed("published", "at"), "title", "preview", "at").join(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    event = F.when(k % 11 == 0, F.concat(F.lit("e"), F.col("o_custkey") % 50))
+    url = F.when(k % 13 == 0, F.concat(F.lit("https://o.example.org/c/"), F.col("o_custkey") % 40)).otherwise(F.concat(F.lit("https://o.example.org/"), k))
+    return s.select(k.alias("item_id"), "o_orderstatus", event.alias("event_id"), url.alias("url"), "at", "funding", "deployment")
+
+
+@query("""WITH s AS MATERIALIZED (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, o_custkey AS c, CAST(floor(o_totalprice / 10000) AS INT) AS m, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS st,
+            CASE WHEN o_orderkey % 11 = 0 THEN 'e' || o_custkey % 50 END AS event, CASE WHEN o_orderkey % 13 = 0 THEN 'c/' || o_custkey % 40 ELSE CAST(o_orderkey AS VARCHAR) END AS url FROM orders),
+          p AS (SELECT x.id, min(CASE WHEN y.kind = 2 AND x.kind = 2 AND abs(datediff('day', y.d, x.d)) <= 7 THEN CASE y.st WHEN 'F' THEN 3 ELSE 4 END
+              WHEN y.kind < 2 AND x.kind < 2 AND y.m = x.m AND abs(datediff('day', y.d, x.d)) <= 3 THEN CASE y.st WHEN 'P' THEN 5 ELSE 6 END END) AS place FROM s x JOIN s y ON y.c = x.c AND y.st IN ('F', 'P') WHERE x.st = 'O' GROUP BY x.id)
+          SELECT x.id AS item_id, ['event_sent', 'url_sent', 'group_url', 'deployment_sent', 'group_deployment', 'group_funding', 'funding_sent'][least(
+              CASE WHEN x.event IN (SELECT event FROM s WHERE st = 'F' AND event IS NOT NULL) THEN 0 ELSE 99 END, CASE WHEN x.url IN (SELECT url FROM s WHERE st = 'F') THEN 1 ELSE 99 END,
+              CASE WHEN x.url IN (SELECT url FROM s WHERE st = 'P') THEN 2 ELSE 99 END, coalesce(p.place, 99)) + 1] AS reason
+          FROM s x LEFT JOIN p ON p.id = x.id WHERE x.st = 'O'""")
 def history_suppression(t: Tables):
-    """Open orders as new stories against finished ones as sent and pending ones as shared."""
-    s = _orders_as_stories(t).select("item_id", "o_orderstatus", F.lit(None).cast("string").alias("event_id"), F.concat(F.lit("https://o.example.org/"), "item_id").alias("url"), "at", "funding", "deployment")
+    """Why open orders' stories aren't sent: finished ones are the alerts, pending ones the group's posts. All seven reasons occur on large tables."""
+    s = _stories_of_orders(t)
     side = {k: s.filter(F.col("o_orderstatus") == k).drop("o_orderstatus") for k in "OFP"}
     return history.suppressed(side["O"], side["F"], side["P"])
 
 
+@query()
+def event_ids(t: Tables):
+    """Every current document gets one event; a third of history has ids, a third has none yet."""
+    d = t.documents.filter("lang = 'en'").select(F.col("doc_id").alias("id"), text.title_of("text").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"), F.lit(None).cast("timestamp").alias("at"), F.col("doc_id").alias("order"))
+    past = d.filter("id % 3 <> 0").withColumn("event_id", F.when(F.col("id") % 3 == 1, F.concat(F.lit("h"), F.expr("id div 9"))))
+    return resolve.event_ids(d.filter("id % 3 = 0"), past)
+
+
 @query("""WITH RECURSIVE s AS (SELECT o_orderkey AS id, o_custkey AS c, floor(o_totalprice / 50000) AS a, CAST(o_orderdate AS DATE) AS d FROM orders),
           n AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.c = y.c AND x.a = y.a AND x.id <> y.id AND abs(datediff('day', x.d, y.d)) <= 3),
           r(node, g) AS (SELECT a, a FROM n UNION SELECT n.b, r.g FROM r JOIN n ON r.node = n.a) SELECT node, min(g) AS "group", 'funding' AS reason FROM r GROUP BY node""")

@@ -221,7 +221,7 @@ def iso_week(t: Tables):
     return t.orders.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), "o_orderdate").cast("long").alias("iso_year"), F.weekofyear("o_orderdate").cast("long").alias("iso_week"))
 
 
-def _stories(t: Tables):
+def order_stories(t: Tables):
     """Orders told as fundings, deployments and partnerships of their customers, in several wordings; every fifth says nothing."""
     k, who = F.col("o_orderkey"), F.lpad("o_custkey", 6, "0")
     millions, robots = (F.col("o_totalprice") / 10000).cast("int"), F.col("o_custkey") + 1000
@@ -245,14 +245,14 @@ def semantic_keys(t: Tables):
     """Funding, deployment and partnership keys of stories composed from orders."""
     f, d = extract.funding_key("title", "preview", "published"), extract.deployment_key("title", "preview", "published")
     pair = extract.partnership_pair(F.concat_ws(". ", "title", "preview"))
-    return _stories(t).select("o_orderkey", f["entity"].alias("funder"), F.concat(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).alias("amount"), f["round"].alias("round"), F.array_join(d["pair"], "+").alias("deployers"), d["quantity"].alias("quantity"), d["product"].alias("product"), F.array_join(pair, "+").alias("partners"))
+    return order_stories(t).select("o_orderkey", f["entity"].alias("funder"), F.concat(f["amount"]["currency"], f["amount"]["value"], f["amount"]["scale"]).alias("amount"), f["round"].alias("round"), F.array_join(d["pair"], "+").alias("deployers"), d["quantity"].alias("quantity"), d["product"].alias("product"), F.array_join(pair, "+").alias("partners"))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice / 10000) AS INT) AS m, CAST(o_orderdate AS DATE) AS d FROM orders)
           SELECT x.k AS a, y.k AS b FROM s x JOIN s y ON x.c = y.c AND x.k < y.k WHERE (x.k % 5 < 2 AND y.k % 5 < 2 AND x.m = y.m AND abs(datediff('day', x.d, y.d)) <= 3) OR (x.k % 5 = 2 AND y.k % 5 = 2 AND abs(datediff('day', x.d, y.d)) <= 7)""")
 def same_story_pairs(t: Tables):
     """Pairs of orders' stories that tell of one funding or deployment; they meet by a name and a span of days."""
-    k = stored(_stories(t).select("o_orderkey", "published", extract.funding_key("title", "preview", "published").alias("f"), extract.deployment_key("title", "preview", "published").alias("d")))
+    k = stored(order_stories(t).select("o_orderkey", "published", extract.funding_key("title", "preview", "published").alias("f"), extract.deployment_key("title", "preview", "published").alias("d")))
     keyed = k.withColumn("name", F.explode(F.array_compact(F.array_distinct(F.concat(F.array("f.entity"), F.coalesce("d.pair", F.array().cast("array<string>")))))))
     both = interval_match(keyed.withColumnRenamed("o_orderkey", "id"), keyed.withColumnRenamed("o_orderkey", "id"), "name", "published", 8).filter(F.col("l.id") < F.col("r.id"))
     same = F.coalesce(extract.same_funding(F.col("l.f"), F.col("r.f")), F.lit(False)) | F.coalesce(extract.same_deployment(F.col("l.d"), F.col("r.d")), F.lit(False))

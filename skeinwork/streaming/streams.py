@@ -99,7 +99,8 @@ def latest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """user_id, ts, event_type: the last event of each user that a batch has events of.
 
     A user's state is one value; ttl_ms: it is dropped so long after its last change (processing
-    time), which bounds the state by the users of that time. To be started in on_disk_state().
+    time), which bounds the state by the users of that time, and drained() wants `once` then. To be
+    started in on_disk_state().
     """
     rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     return rows.groupBy("user_id").transformWithStateInPandas(_Last(ttl_ms), "user_id long, ts timestamp, event_type string", "Update", "ProcessingTime" if ttl_ms else "None")
@@ -110,9 +111,13 @@ def toggle_states(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     return events.select("user_id", "event_type").groupBy("user_id", "event_type").transformWithStateInPandas(_Toggle(ttl_ms), "user_id long, event_type string, active boolean", "Update", "ProcessingTime" if ttl_ms else "None")
 
 
-def drained(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update") -> list[dict]:
-    """Runs the stream over what is there now. A batch that is run again after a failure has the same id. What each trigger reports."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
+def drained(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update", once: bool = False) -> list[dict]:
+    """Runs the stream over what is there now. A batch that is run again after a failure has the same id. What each trigger reports.
+
+    once: all of it in one batch, which state with a time to live needs: its clock alone starts batches without end.
+    """
+    trigger = {"once": True} if once else {"availableNow": True}
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(each).start()
     query.awaitTermination()
     return [dict(p) for p in query.recentProgress]
 

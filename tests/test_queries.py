@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from skeinwork.plans import delivery_queries, history_queries, rank_queries, relational_queries, ruleset_queries, source_queries, text_queries  # noqa: F401
+from skeinwork.plans import delivery_queries, history_queries, listing_queries, rank_queries, relational_queries, ruleset_queries, source_queries, stream_queries, text_queries  # noqa: F401
 from skeinwork.plans.registry import QUERIES, SQL
 
 

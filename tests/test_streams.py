@@ -57,7 +57,7 @@ def test_state_expires(spark, tmp_path):
     table = KeyedTable(spark, f"{tmp_path}/t", ["user_id", "event_type"])
     df = spark.createDataFrame([(i, ts, 1, "a", v) for i, ts, _, _, v in rows], EVENT)
     with streams.on_disk_state(spark):
-        run = lambda: streams.drained(streams.toggle_states(streams.event_stream(spark, f"{tmp_path}/in", df), ttl_ms=1), f"{tmp_path}/c", streams.merged_into(table, "s"))
+        run = lambda: streams.drained(streams.toggle_states(streams.event_stream(spark, f"{tmp_path}/in", df), ttl_ms=1), f"{tmp_path}/c", streams.merged_into(table, "s"), once=True)
         streams.landed(df.filter("event_id < 3"), f"{tmp_path}/in", "event_id", 3, run)
     assert [r["active"] for r in table.read().collect()] == [True]  # each turn's one event found a key that is off
 
