@@ -9,6 +9,8 @@ from skeinwork.llm.common import pick, stored, word_count
 
 #: Cells of a source: size bands (sixteen to a doubling) times hash slices.
 SLICES = 64
+#: Orders of a source's cells that are tried, and offsets with each.
+ORDERS, OFFSETS = 8, 8
 #: No document is taken more often than this.
 MOST = 3
 
@@ -54,8 +56,10 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (1
     Every document of a source is expected target / source_size times. The documents of a
     source are put in order of size band, hash slice, size and hash; expected copies are
     prefix-summed in that order, one random offset per source is added, and a document is
-    taken once for each integer that its interval crosses. As the order follows sizes, what a
-    source gives stays within about one document of its target.
+    taken once for each integer that its interval crosses. With cells in order of size, what a
+    source gives stays within about one document of its target. As a document may be a tenth of
+    it, ORDERS orders of cells are tried with OFFSETS offsets each, a random one and its shifts,
+    and those are taken with which the source's words come nearest to its target.
 
     No source is ordered in one task: cells (source, band, slice) are counted, the counts are
     prefix-summed over a source's bounded number of cells, and rows are ranked in their cell.
@@ -72,16 +76,29 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = (1
     cells = stored(rows.groupBy("key", "band", "slice").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     targets = source_targets(cells.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights)
     offset = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    in_source = Window.partitionBy("key").orderBy("band", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("first", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
-    cells = cells.join(targets.drop("source"), "key").select("key", "band", "slice", "first", "source_size", "target", offset.alias("u"))
-    in_cell = Window.partitionBy("key", "band", "slice").orderBy("size", "h", F.col("doc_id").isNull(), "doc_id")
-    both = rows.withColumn("i", F.row_number().over(in_cell)).join(cells, ["key", "band", "slice"])
-    i = F.col("first") + F.col("i")
+    # The first order of a source's cells is that of sizes, the others are random ones.
+    orders = [[F.lit(0), F.col("band"), F.col("slice")]] + [[F.xxhash64("key", "band", "slice", F.lit(seed + 2 + k)), F.col("band"), F.col("slice")] for k in range(1, ORDERS)]
+    before = [F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for o in orders]
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(i * each + F.col("u")) - F.floor((i - 1) * each + F.col("u"))
-    copies = F.when(F.col("size") > 0, F.least(copies, F.lit(MOST))).otherwise(0).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"`own_{c}`") for c in carry])
+    cells = cells.withColumns({f"first{k}": c for k, c in enumerate(before)}).join(targets.drop("source"), "key").withColumn("each", each)
+    cells = stored(cells.select("key", "band", "slice", *[f"first{k}" for k in range(ORDERS)], "source_size", "target", "each", offset.alias("u")), "mix-places")
+    in_cell = Window.partitionBy("key", "band", "slice").orderBy("size", "h", F.col("doc_id").isNull(), "doc_id")
+
+    def copies(i: Column, u: Column) -> Column:
+        """Integer boundaries that the interval of a source's i-th row crosses."""
+        n = F.floor(i * F.col("each") + u) - F.floor((i - 1) * F.col("each") + u)
+        return F.when(F.col("size") > 0, F.least(n, F.lit(MOST))).otherwise(0).cast("long")
+
+    # What each of some orders and offsets (a random one and its shifts by equal steps) would take is told exactly.
+    tries = [(k, F.pmod(F.col("u") + F.lit(g / OFFSETS), F.lit(1.0))) for k in range(ORDERS) for g in range(OFFSETS)]
+    ranked = rows.select("key", "band", "slice", "size", "h", "doc_id").withColumn("i", F.row_number().over(in_cell)).join(cells, ["key", "band", "slice"])
+    told = ranked.groupBy("key").agg(F.first("target").alias("target"), F.first("u").alias("u"), *[F.sum(F.col("size") * copies(F.col(f"first{k}") + F.col("i"), u)).alias(f"t{j}") for j, (k, u) in enumerate(tries)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("gap"), F.lit(j).alias("j"), F.lit(k).alias("k"), u.alias("u")) for j, (k, u) in enumerate(tries)]))
+    chosen = stored(told.select("key", nearest.alias("best")).select("key", "best.k", "best.u"), "mix-offsets")
+    cells = cells.drop("u").join(chosen, "key").withColumn("first", F.array(*[F.col(f"first{k}") for k in range(ORDERS)])[F.col("k")])
+    both = rows.withColumn("i", F.row_number().over(in_cell)).join(cells.select("key", "band", "slice", "first", "source_size", "target", "each", "u"), ["key", "band", "slice"])
+    taken = copies(F.col("first") + F.col("i"), F.col("u"))
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), *[F.col(f"`own_{c}`") for c in carry])
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:

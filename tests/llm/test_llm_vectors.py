@@ -232,3 +232,19 @@ def test_quality_labels_of_any_type(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     a, b = (line_crf.fit_quality(docs, x) for x in (labels, labels.withColumn("quality", F.col("quality").cast("string"))))
     assert np.array_equal(a.weights, b.weights)
+
+
+def test_taken_words_come_near_their_targets(spark):
+    """Fifty documents a source, of very uneven sizes."""
+    from skeinwork.llm.source_mix import mix_sources
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "w " * int(rng.lognormvariate(5, 1)), f"s{i % 8}") for i in range(400)], "doc_id long, text string, source string").repartition(3)
+    rows = mix_sources(docs).collect()
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    assert all(abs(taken[s] - t) < 0.03 * t for s, t in target.items())
+    assert sorted(map(tuple, mix_sources(docs.repartition(5)).collect())) == sorted(map(tuple, rows))
