@@ -123,3 +123,27 @@ def round_robin(df: DataFrame, source: str, source_order: str, position: str, ke
     # Rounds are numbered without gaps up to the one that adds nothing.
     taken = taken.withColumn("place", F.row_number().over(Window.orderBy("_turn", source_order))).withColumn("_round", F.dense_rank().over(Window.orderBy("_turn")))
     return taken.filter("_round = _turn").drop("_turn", "_sight", "_round")
+
+
+def newest_before(items: DataFrame, history: DataFrame, key: str, at: str, tie: str, days: int = 30) -> DataFrame:
+    """items with `newest`: a struct of the columns of history's newest row of the same key that isn't later; null without any.
+
+    Of rows of one time the largest `tie` counts. Rows meet within a key's span of days; what came
+    before a span is told by the newest row of each earlier one, so no key is ordered whole in one
+    task and no row moves more than once. Rows with a null key or time meet nothing.
+    """
+    from pyspark.sql import Window
+
+    span = lambda df: F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (days * 86400))
+    told = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in history.columns]).alias("row"))
+    past = history.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), span(history).alias("_span"), F.col(at).alias("_at"), told.alias("_told"))
+    mine = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("_item"), F.col(key).alias("_key"), span(items).alias("_span"), F.col(at).alias("_at"))
+    met = mine.filter("_key is not null and _at is not null")
+    both = met.withColumn("_told", F.lit(None).cast(past.schema["_told"].dataType)).unionByName(past.withColumn("_item", F.lit(None).cast(mine.schema["_item"].dataType)))
+    upto = Window.partitionBy("_key", "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_in", F.max("_told").over(upto)).filter("_item is not null")
+    spans = past.groupBy("_key", "_span").agg(F.max("_told").alias("_last")).unionByName(met.select("_key", "_span", F.lit(None).cast(past.schema["_told"].dataType).alias("_last")).distinct()).groupBy("_key", "_span").agg(F.max("_last").alias("_last"))
+    earlier = spans.withColumn("_before", F.max("_last").over(Window.partitionBy("_key").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    out = inside.join(earlier, ["_key", "_span"], "left").select("_item.*", F.coalesce("_in", "_before")["row"].alias("newest"))
+    alone = mine.filter("_key is null or _at is null").select("_item.*", F.lit(None).cast(out.schema["newest"].dataType).alias("newest"))
+    return out.unionByName(alone)

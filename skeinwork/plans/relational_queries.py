@@ -254,3 +254,12 @@ def weighted_sums(t: Tables):
 
 
 assert NAMES
+
+
+@query("""WITH x AS (SELECT * FROM events WHERE event_type <> 'purchase'), y AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase')
+          SELECT x.event_id, max(struct_pack(ts := y.ts, id := y.event_id)).id AS newest_id, max(struct_pack(ts := y.ts, id := y.event_id, v := y.value)).v AS newest_value
+          FROM x LEFT JOIN y ON x.user_id = y.user_id AND y.ts <= x.ts GROUP BY x.event_id""")
+def newest_before(t: Tables):
+    """Each event with its user's newest purchase before it."""
+    x, y = t.events.filter("event_type <> 'purchase'"), t.events.filter("event_type = 'purchase'")
+    return rel.newest_before(x, y, "user_id", "ts", "event_id", days=3).select("event_id", F.col("newest.event_id").alias("newest_id"), F.col("newest.value").alias("newest_value"))

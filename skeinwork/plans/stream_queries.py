@@ -146,3 +146,16 @@ def stream_late(t: Tables) -> DataFrame:
 def stream_window(t: Tables) -> DataFrame:
     """Daily windows of what wasn't dropped."""
     return _split(t).windows()
+
+
+@query("""SELECT s - to_days(CAST(b AS INT)) AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS s, event_type FROM events), range(2) r(b) GROUP BY 1, 2""")
+def sliding_windows(t: Tables) -> DataFrame:
+    """Windows of two days that start every day."""
+    return streams.overlapping(t.events)
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
+          FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS fresh FROM events)) GROUP BY user_id, run""")
+def session_windows(t: Tables) -> DataFrame:
+    """Runs of a user's events with less than six hours between neighbours."""
+    return streams.sessions(t.events)

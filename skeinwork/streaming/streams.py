@@ -54,6 +54,19 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> D
     return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def overlapping(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
+    """Counts of each type in windows that start every `step`; an event counts in each that holds it. For tables and streams."""
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return marked.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> DataFrame:
+    """user_id, start, end (of the last event), n: runs of a user's events with less than `gap` between neighbours. For tables and streams."""
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    out = marked.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("ts").alias("end"))
+    return out.select("user_id", F.col("session_window.start").alias("start"), "end", "n")
+
+
 class _Last(StatefulProcessor):
     """Keeps the last event of a key: the latest ts, then the largest event_id."""
 

@@ -137,3 +137,15 @@ def test_ingest_switches(spark, tmp_path, switches):
     found = [t.read().count() if t.read() is not None else 0 for t in (sink.messages, sink.picks)]
     assert found == [2 * (switches.messages and switches.enabled), 2 * (switches.reactions and switches.enabled)]
     assert (sink.cursors.read() is None) == (not switches.enabled)
+
+
+def test_sessions_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    got = []
+    df = spark.createDataFrame(events(150, 6), EVENT).coalesce(1)
+    whole = {tuple(r) for r in streams.sessions(df, "5 hours").collect()}
+    run = lambda: streams.drained(streams.sessions(streams.event_stream(spark, f"{tmp_path}/in", df), "5 hours", "30 days"), f"{tmp_path}/c", lambda d, b: got.extend(map(tuple, d.collect())), "append")
+    streams.landed(df, f"{tmp_path}/in", "event_id", 2, run)
+    assert not got  # none is closed before the watermark
+    late = spark.createDataFrame([(999, START + timedelta(days=60), 1, "a", 0.0)], EVENT)
+    streams.landed(late, f"{tmp_path}/in", "0", 1, run)
+    assert set(got) == whole and len(got) == len(whole)
