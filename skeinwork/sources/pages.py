@@ -17,8 +17,17 @@ from pyspark.sql.types import StringType
 from skeinwork.functions.text import col
 
 BLOCKS, HIDDEN = frozenset({"p", "h1", "h2", "h3", "h4", "li", "div", "article", "section", "td", "blockquote"}), frozenset({"script", "style", "nav", "header", "footer", "aside", "form", "noscript"})
-#: Signs of an author's biography or of boilerplate.
-BOILERPLATE = ("subscribe", "sign up", "newsletter", "cookie", "all rights reserved", "read more", "is a reporter", "is an editor", "follow us")
+#: What blocks say that aren't part of an article, and what authors' biographies and the like say.
+BOILERPLATE = (
+    "cookie", "subscribe", "sign up", "privacy policy", "terms of use", "advertisement", "all rights reserved", "share this article", "enable javascript",
+    "newsletter", "read more", "is a reporter", "is an editor", "follow us",
+)
+BIOGRAPHY = ("award-winning journalist", "years of experience", "coverage has reached audiences", "available for corporate", "in-house emcee", "recipient, he is passionate", "subscribe to our newsletter", "share copy link")
+#: JSON-LD types of articles, and of what isn't one.
+ARTICLES = frozenset({"article", "newsarticle", "reportagenewsarticle", "analysisnewsarticle", "blogposting", "techarticle"})
+OTHERS = frozenset({"person", "organization", "webpage", "website", "breadcrumblist", "imageobject", "videoobject", "listitem"})
+#: Characters that a block, and a JSON-LD text, must have at least and must exceed.
+BLOCK, LD_TEXT = 45, 120
 
 
 def page_title(c: Column | str) -> Column:
@@ -90,34 +99,46 @@ def article_blocks(text: str) -> list[str]:
     parser = _Readable()
     parser.feed(text)
     parser.close()
-    blocks = [b for b in parser.blocks if len(b) >= 40 and not any(s in b.lower() for s in BOILERPLATE)]
-    return list(dict.fromkeys(blocks))
+    blocks = [b for b in parser.blocks if len(b) >= BLOCK and not any(s in b.lower() for s in BOILERPLATE)]
+    return list({b.lower(): b for b in reversed(blocks)}.values())[::-1]
 
 
-def _json_ld_body(text: str) -> str | None:
-    best = ""
+def _ld_nodes(text: str) -> Iterator[dict]:
+    """Objects of a page's JSON-LD scripts: single ones, those of lists and of graphs."""
     for found in re.finditer(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", text):
         try:
-            stack = [json.loads(found[1])]
+            told = json.loads(html.unescape(found[1]).strip())
         except ValueError:
             continue
-        while stack:
-            now = stack.pop()
-            if isinstance(now, list):
-                stack += now
-            elif isinstance(now, dict):
-                stack += [v for v in now.values() if isinstance(v, (list, dict))]
-                body = now.get("articleBody")
-                if isinstance(body, str) and len(body) > len(best):
-                    best = body
-    return re.sub(r"\s+", " ", html.unescape(best)).strip() or None
+        left = told if isinstance(told, list) else [told]
+        while left:
+            nodes = [n for n in left if isinstance(n, dict)]
+            yield from nodes
+            left = [m for n in nodes if isinstance(n.get("@graph"), list) for m in n["@graph"]]
+
+
+def _json_ld_text(text: str) -> str | None:
+    """The JSON-LD text that is likeliest the article, if any is: length counts, with 1,000 for a
+    body and 500 for an article's type, less 1,000 for another's and 3,000 for a biography."""
+    best, most = None, 0
+    for node in _ld_nodes(text):
+        named = node.get("@type")
+        kinds = {k.strip().lower() for k in (named if isinstance(named, list) else [named]) if isinstance(k, str)}
+        if kinds & OTHERS and not kinds & ARTICLES and "articleBody" not in node:
+            continue
+        for field, extra in (("articleBody", 1000), ("description", 0)):
+            told = re.sub(r"\s+", " ", html.unescape(str(node.get(field) or ""))).strip()
+            score = len(told) + extra + 500 * bool(kinds & ARTICLES) - 1000 * bool(kinds & OTHERS) - 3000 * any(s in told.lower() for s in BIOGRAPHY)
+            if len(told) > LD_TEXT and score > most:
+                best, most = told, score
+    return best
 
 
 def _read(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for page in pdf["html"]:
-            body = _json_ld_body(page or "")
+            body = _json_ld_text(page or "")
             status = "json_ld" if body else "html"
             body = body or " ".join(article_blocks(page or ""))
             out.append((body[:limit] if limit else body, status if body else "empty"))
@@ -125,7 +146,7 @@ def _read(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]
 
 
 def article_text(pages: DataFrame, limit: int = 0) -> DataFrame:
-    """page_id, article, status: JSON-LD bodies before readable blocks; `empty` without either."""
+    """page_id, article, status: the best JSON-LD text before readable blocks; `empty` without either."""
     return pages.select("page_id", "html").mapInPandas(lambda b: _read(b, limit), "page_id long, article string, status string")
 
 

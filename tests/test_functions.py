@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,11 +201,23 @@ def test_feed_repair(spark):
 
 
 def test_article_prefers_json_ld(spark):
-    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "The body."}</script><p>Other text that is long enough to be a block of its own.</p>'
+    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "articleBody": "The body. %s"}</script>' % ("More of it. " * 12) + '<p>Other text that is long enough to be a block of its own.</p>'
     html = "<nav><p>Navigation that would be long enough to be a block.</p></nav><p>Other text that is long enough to be a block of its own.</p>"
     rows = spark.createDataFrame([(1, ld), (2, html), (3, None)], "page_id long, html string")
     got = {r["page_id"]: (r["status"], r["article"]) for r in pages.article_text(rows).collect()}
-    assert got == {1: ("json_ld", "The body."), 2: ("html", "Other text that is long enough to be a block of its own."), 3: ("empty", "")}
+    assert got == {1: ("json_ld", ("The body. " + "More of it. " * 12).strip()), 2: ("html", "Other text that is long enough to be a block of its own."), 3: ("empty", "")}
+
+
+def test_json_ld_texts_are_scored():
+    say = lambda **node: '<script type="application/ld+json">%s</script>' % json.dumps(node)
+    long, longer = "a story " * 20, "another text " * 40
+    best = pages._json_ld_text
+    assert best(say(**{"@type": "NewsArticle", "articleBody": long}) + say(**{"@type": "Thing", "description": longer})) == long.strip()  # 160 + 1500 against 520
+    assert best(say(**{"@type": "Thing", "description": longer}) + say(**{"@type": "Thing", "description": long})) == longer.strip()
+    assert best(say(**{"@type": ["WebPage"], "description": longer})) is None and best(say(**{"@type": "WebPage", "articleBody": longer})) == longer.strip()
+    assert best(say(**{"@type": "NewsArticle", "articleBody": long + "an award-winning journalist"})) is None and best(say(articleBody="short")) is None
+    assert best(say(**{"@graph": [{"@type": "Person", "description": longer}, {"@type": "BlogPosting", "description": long}]})) == long.strip()
+    assert best('<script type="application/ld+json">{bad</script>' + say(articleBody=long + "&amp;")) == long + "&" and best("") is None
 
 
 def test_registry_rejects(spark):
