@@ -33,7 +33,7 @@ def answer_json(s: pd.Series) -> pd.Series:
     return s.map(json_object)
 
 
-REVIEW = "struct<decision:string,confidence:string,bucket:string,reason:string>"
+REVIEW = "struct<decision:string,confidence:string,bucket:string,reason:string,edited_title:string,edited_summary:string>"
 
 
 def review(answer: Column) -> Column:
@@ -44,8 +44,9 @@ def review(answer: Column) -> Column:
 
 
 def outcome(review_: Column, protected: Column, promotable: Column) -> Column:
-    """What a review changes: high confidence decides unless the item is protected, medium promotes what may be promoted; without a review nothing."""
-    sure, middling = review_["confidence"] == "high", review_["confidence"] == "medium"
+    """What a review changes: high confidence decides unless the item is protected, medium promotes what may be promoted and has been given a title and a summary; without a review nothing."""
+    edited = F.coalesce((F.trim(review_["edited_title"]) != "") & (F.trim(review_["edited_summary"]) != ""), F.lit(False))
+    sure, middling = review_["confidence"] == "high", (review_["confidence"] == "medium") & edited
     return (
         F.when(review_.isNull(), "not_reviewed").when(sure & (review_["decision"] == "promote"), "promoted").when(sure & (review_["decision"] == "reject") & protected, "protected")
         .when(sure & (review_["decision"] == "reject"), "rejected").when(middling & (review_["decision"] == "promote") & promotable, "promoted").otherwise("unchanged")

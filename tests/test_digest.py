@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -100,3 +101,21 @@ def test_rounds_equal_a_fold(spark):
 ])
 def test_json_object(answer, wanted):
     assert reviews.json_object(answer) == wanted
+
+
+def test_medium_promotions_need_an_edited_card(spark):
+    told = lambda decision, confidence, **more: json.dumps({"decision": decision, "confidence": confidence, **more})
+    card = {"edited_title": "T", "edited_summary": "S."}
+    cases = [
+        (told("promote", "medium", **card), True, "promoted"), (told("promote", "medium", **card), False, "unchanged"), (told("promote", "medium"), True, "unchanged"),
+        (told("promote", "medium", edited_title="T", edited_summary=" "), True, "unchanged"), (told("promote", "high"), False, "promoted"), (told("reject", "medium", **card), True, "unchanged"), ("no answer", True, "not_reviewed"),
+    ]
+    df = spark.createDataFrame([(i, a, p) for i, (a, p, _) in enumerate(cases)], "i int, answer string, promotable boolean")
+    got = df.select("i", reviews.outcome(reviews.review(F.col("answer")), F.lit(False), F.col("promotable")).alias("o")).orderBy("i").collect()
+    assert [r["o"] for r in got] == [c[2] for c in cases]
+
+
+def test_memory_context_has_active_rules_of_a_scope(spark):
+    rules = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(a).alias("active"), F.array(*map(F.lit, s)).alias("scopes")) for t, a, s in (("one", True, ["x", "y"]), ("off", False, ["x"]), ("other", True, ["y"]))])
+    got = spark.range(1).select(reviews.memory_context(rules, F.array(*[F.lit(f"e{i}") for i in range(4)]), "x", 2).alias("c")).first()["c"]
+    assert got == "- one\n* e0\n* e1"
