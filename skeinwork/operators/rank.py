@@ -66,6 +66,16 @@ def tie_window_choice(rows: list[dict], window: float = 5) -> dict:
     return chosen
 
 
+def tie_window_best(rows: Column, window: float = 5) -> Column:
+    """tie_window_choice() of an array of structs in arrival order (score, evidence, at, url and what else they have), in the JVM."""
+
+    def better(a: Column, b: Column) -> Column:
+        gap = a["score"] - b["score"]
+        return F.when(F.abs(gap) > window, gap > 0).when(a["evidence"] != b["evidence"], a["evidence"]).when(gap != 0, gap > 0).when(a["at"] != b["at"], a["at"] > b["at"]).otherwise(a["url"] < b["url"])
+
+    return F.aggregate(rows, rows[0], lambda chosen, row: F.when(better(row, chosen), row).otherwise(chosen))
+
+
 #: What more than one of so many rows share is hot; so there are never more hot keys than this.
 HOT = 4096
 

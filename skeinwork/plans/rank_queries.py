@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,12 +108,9 @@ def case_order_limit(t: Tables):
 @query()
 def tie_window_representative(t: Tables):
     """Of each customer's orders in order of arrival; scores within 5,000 tie."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{"score": r.o_totalprice, "evidence": r.o_orderpriority < "3", "at": r.o_orderdate, "url": str(r.o_orderkey), "id": r.o_orderkey} for r in pdf.sort_values("o_orderkey").itertuples()]
-        return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "o_orderkey": [rank.tie_window_choice(rows, 5000)["id"]]})
-
-    return rank.fold(t.orders.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate"), ["o_custkey"], "o_custkey long, o_orderkey long", step)
+    row = F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"), (F.col("o_orderpriority") < "3").alias("evidence"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").cast("string").alias("url"))
+    told = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return told.select("o_custkey", rank.tie_window_best(F.col("rows"), 5000)["id"].alias("o_orderkey"))
 
 
 @query(f"""WITH d AS (SELECT source, doc_id, ['t' || {TITLE}, 'k' || {KEY}] AS k FROM documents),
