@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension counts as small enough to be sent to every task.
 SMALL_ROWS = 100_000
+#: Tasks for each core where rows are dealt anew, so that none is a whole core's work.
+SPREAD = 8
 
 
 def small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -18,9 +20,9 @@ def small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for work that costs much a row: rows are dealt anew only if df has fewer parts than there are cores."""
+    """df over all cores, for work that costs much a row: rows are dealt anew only if df has fewer parts than there are cores, then into several for each."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(SPREAD * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def coalesced_left(left: DataFrame, paths: Sequence[tuple[DataFrame, str, str]], value: str) -> DataFrame:
