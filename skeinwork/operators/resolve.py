@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.functions.extract import let
 from skeinwork.functions.text import event_key, overlap, tokens
 from skeinwork.operators.rank import best_of
 from skeinwork.operators.shared import dropped, stored
@@ -13,6 +14,8 @@ from skeinwork.operators.shared import dropped, stored
 SIMILAR = 0.75
 #: Within a group of rows that all match, steps lead back by up to 2 ** (SKIPS - 1) places; longer ways take more rounds.
 SKIPS = 16
+#: Sets of one token that meet in one part, and rows of one title that are listed at once.
+PART, CHUNK = 1024, 512
 
 
 def candidate_pairs(items: DataFrame, item_id: str, title: str, by: str | None = None) -> DataFrame:
@@ -22,28 +25,60 @@ def candidate_pairs(items: DataFrame, item_id: str, title: str, by: str | None =
     return keyed.select("t", "by", F.col("id").alias("a")).join(keyed.select("t", "by", F.col("id").alias("b")), ["t", "by"]).filter("a < b").select("a", "b").distinct()
 
 
-def proposed(sets: DataFrame) -> DataFrame:
-    """(a, b) of sets of different groups whose overlap may be SIMILAR or more; none such is left out.
+def _titled(items: DataFrame, title: str) -> DataFrame:
+    """items with `tokens` (distinct, sorted) and `key` of a title, read once and stored."""
+    read = stored(items.withColumn("_words", tokens(title)).drop(title))
+    key = F.array_join(F.slice("_words", 1, 6), "-")
+    return read.select("*", F.array_sort(F.array_distinct("_words")).alias("tokens"), F.when(key == "", "untitled").otherwise(key).alias("key")).drop("_words")
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """a, b (in either order), measure of sets of different groups whose overlap is SIMILAR or more; none is left out.
 
     sets: id, tokens (distinct), group. Of n tokens, such a set shares ceil(SIMILAR * n) with
     a set as large or larger, so one at least of its n - ceil(SIMILAR * n) + 1 rarest tokens:
-    only these propose, to all sets that hold them and aren't smaller.
+    only these propose, to all sets that hold them and aren't smaller. A pair is measured where it
+    meets, and counts at the rarest token that both have, so no proposal is ever moved; a
+    token's sets meet in parts of at most some PART of them.
     """
-    words = sets.select("id", "group", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("count", "t"))
-    rarest = words.join(words.groupBy("t").count(), "t").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n")) + 1)
-    both = rarest.select("t", F.col("id").alias("a"), F.col("n").alias("p"), F.col("group").alias("g")).join(words.select("t", F.col("id").alias("b"), F.col("n").alias("q"), F.col("group").alias("h")), "t")
-    return both.filter("g <> h and (p < q or (p = q and a < b))").select("a", "b").distinct()
+    each = stored(sets.select("id", "group", F.explode("tokens").alias("t")))
+    counts = each.groupBy("t").agg(F.count("*").alias("count")).filter("count > 1").select("t", F.struct("count", F.monotonically_increasing_id().alias("number")).alias("word"))
+    alone = F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1).cast("long").alias("number"))
+    # A token that no other set has counts in the set's size, and in its rarest ones.
+    words = each.join(stored(counts).hint("merge"), "t", "left").groupBy("id", "group").agg(F.array_sort(F.collect_list(F.coalesce("word", alone))).alias("words"))
+    words = stored(words).select("id", "group", F.size("words").alias("n"), F.transform(F.filter("words", lambda w: w["count"] > 0), lambda w: w["number"]).alias("held"), F.posexplode("words").alias("place", "word")).filter("word.count > 0")
+    parts = F.ceil(F.col("word.count") / PART).cast("int")
+    few = words.filter(F.col("place") < F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n")) + 1)
+    left = few.select(F.col("word.number").alias("t"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("p"), F.col("group").alias("g"), F.col("held").alias("x"))
+    right = words.select(F.col("word.number").alias("t"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("q"), F.col("group").alias("h"), F.col("held").alias("y"))
+    # A number of parts that is asked for stays: rows are few here, but their pairs are the work.
+    dealt = lambda df: df.repartition(8 * sets.sparkSession.sparkContext.defaultParallelism, "t", "part")
+    both = dealt(left).join(dealt(right).hint("merge"), ["t", "part"]).filter("g <> h and (p < q or (p = q and a < b))")
+    shared = lambda s: F.when((s[0] == F.col("t")) & (F.size(s) / F.col("p") >= SIMILAR), F.size(s) / F.col("p"))
+    return both.select("a", "b", let(F.array_intersect("x", "y"), shared).alias("measure")).filter("measure is not null")
 
 
 def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10) -> DataFrame:
-    """a, b, similarity of the pairs that tell of one event; none is left out."""
-    side = items.select(F.col(item_id).alias("id"), F.array_distinct(tokens(title)).alias("tokens"), event_key(title).alias("key"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("at"))
-    keyed = side.select("key", F.col("id").alias("a")).join(side.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b")
-    pairs = proposed(side.select("id", "tokens", F.col("id").alias("group"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(keyed).distinct()
-    both = pairs.join(side.select(F.col("id").alias("a"), F.struct("tokens", "key", "at").alias("x")), "a").join(side.select(F.col("id").alias("b"), F.struct("tokens", "key", "at").alias("y")), "b")
-    measure = overlap(F.col("x.tokens"), F.col("y.tokens"))
-    return both.filter(_near(F.col("x.at"), F.col("y.at"), days) & ((F.col("x.key") == F.col("y.key")) | (measure >= SIMILAR))).select("a", "b", F.round(measure, 6).alias("similarity"))
+    """a, b, similarity of the pairs that tell of one event; none is left out.
+
+    Titles of one key and one set of tokens are measured once. Their rows are listed as pairs only
+    at the end, chunk by chunk, so that no task lists more than CHUNK times CHUNK pairs of two chunks.
+    """
+    side = _titled(items.select(F.col(item_id).alias("id"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("at"), F.col(title).alias("title")), "title")
+    kinds = stored(side.groupBy("key", "tokens").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()))
+    l, r = (kinds.select("key", F.col("number").alias(i), F.col("tokens").alias(v)) for i, v in (("a", "x"), ("b", "y")))  # noqa: E741
+    keyed = l.join(r, "key").filter("a < b").select("a", "b", overlap(F.col("x"), F.col("y")).alias("measure")).filter(F.col("measure") < SIMILAR)
+    own = kinds.filter("n > 1").select(F.col("number").alias("a"), F.col("number").alias("b"), F.when(F.size("tokens") > 0, 1.0).otherwise(0.0).alias("measure"))
+    pairs = stored(alike(kinds.select(F.col("number").alias("id"), "tokens", F.col("number").alias("group"))).unionByName(keyed).unionByName(own))
+
+    members = side.select("id", "at", "key", "tokens").join(kinds, ["key", "tokens"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    row = F.struct("id", "at") if at else F.struct("id")
+    chunks = stored(members.groupBy("number", "part").agg(F.collect_list(row).alias("rows")))
+    x, y = (chunks.select(F.col("number").alias(i), F.col("part").alias(p), F.col("rows").alias(v)) for i, p, v in (("a", "p", "x"), ("b", "q", "y")))
+    met = pairs.join(x, "a").join(y, "b").filter("a <> b or p <= q").repartition(8 * items.sparkSession.sparkContext.defaultParallelism, "a", "p", "b", "q")
+    listed = met.select(((F.col("a") == F.col("b")) & (F.col("p") == F.col("q"))).alias("one"), F.round("measure", 6).alias("similarity"), "y", F.explode("x").alias("x")).select("one", "similarity", "x", F.explode("y").alias("y"))
+    near = _near(F.col("x.at"), F.col("y.at"), days) if at else F.lit(True)
+    return listed.filter((~F.col("one") | (F.col("x.id") < F.col("y.id"))) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "similarity")
 
 
 def _near(x: Column, y: Column, days: int = 10) -> Column:
@@ -123,30 +158,40 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
     A row joins the first of its earlier matches' clusters, which bears the name of its first
     row; so its cluster is the smallest row that steps from matches to earlier matches reach.
     Rows of one (key, at), of one url and of one set of tokens match each other. Where all of
-    two such groups match, a row's steps lead to the row before it in its own group and in
-    both, as the others follow: no pairs of rows are listed.
+    two such groups match, steps lead from a row to the row before it in its own group, from each
+    row of the smaller group to the one before it in the other, and to it from the one after it,
+    as the others follow: no pairs of rows are listed, and a group's rows aren't read once a pair.
     """
-    base = items.select(F.col(item_id).alias("id"), F.struct(F.col(order).alias("order"), F.col(item_id).alias("id")).alias("node"), F.col(url).alias("url"), F.col(at).alias("at"), F.array_sort(F.array_distinct(tokens(title))).alias("tokens"), event_key(title).alias("key"))
+    base = _titled(items.select(F.col(item_id).alias("id"), F.struct(F.col(order).alias("order"), F.col(item_id).alias("id")).alias("node"), F.col(url).alias("url"), F.col(at).alias("at"), F.col(title).alias("title")), "title")
     group = F.sha2(F.concat_ws("|", "key", F.coalesce(F.col("at").cast("string"), F.lit(""))), 256)
     base = base.withColumn("group", group).withColumn("kind", F.sha2(F.concat_ws("|", "group", F.array_join("tokens", " ")), 256))
     base = stored(base)
     first = lambda c: F.first(c).alias(c)
     # Numbers in place of digests from here on: most of what is moved are pairs of them.
-    keyed = stored(base.groupBy("group").agg(first("key"), first("at")).withColumn("number", F.monotonically_increasing_id()))
-    kinds = base.groupBy("kind").agg(first("tokens"), first("group"), first("at")).join(keyed.select("group", "number"), "group")
-    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at"))
+    keyed = stored(base.groupBy("group").agg(first("key"), first("at"), F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()))
+    kinds = base.groupBy("kind").agg(first("tokens"), first("group"), first("at"), F.count("*").alias("n")).join(keyed.select("group", "number"), "group")
+    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at", "n"))
     base = stored(base.select("id", "node", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "node", "url", "group", F.col("number").alias("kind")))
-    x, y = (kinds.select(F.col("id").alias(i), F.struct("tokens", "at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    alike = proposed(kinds).join(x, "a").join(y, "b").filter(_near(F.col("x.at"), F.col("y.at")) & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
-    l, r = (keyed.select("key", F.col("number").alias(i), F.col("at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    same = l.join(r, "key").filter((F.col("a") < F.col("b")) & _near(F.col("x"), F.col("y"))).select("a", "b")
 
-    def between(pairs: DataFrame, name: str) -> DataFrame:
-        """Steps between the rows of the groups of each pair."""
-        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(name))
-        return _earlier(ends.join(base.select(name, "node"), name), "a", "b")
+    def asked(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """few, many: the groups of each pair whose times are near, the smaller one first; of: id, at, n."""
+        x, y = (of.select(F.col("id").alias(i), F.struct("n", "id", "at").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+        near = pairs.join(x, "a").join(y, "b").filter(_near(F.col("x.at"), F.col("y.at")))
+        return near.select(F.least("x", "y")["id"].alias("few"), F.greatest("x", "y")["id"].alias("many"))
+
+    l, r = (keyed.select("key", F.col("number").alias(i)) for i in "ab")  # noqa: E741
+    same = asked(l.join(r, "key").filter("a < b"), keyed.select(F.col("number").alias("id"), "at", "n"))
 
-    steps = _earlier(base, "group", skips=SKIPS).unionByName(_earlier(base.filter("url is not null"), "url", skips=SKIPS)).unionByName(between(alike, "kind")).unionByName(between(same, "group"))
+    def between(pairs: DataFrame, name: str) -> DataFrame:
+        """Steps between the rows of the groups of each pair: each row of the smaller one and its neighbours in the other."""
+        rows = base.select(F.col(name).alias("many"), "node", F.col("node").alias("own"))
+        looks = pairs.join(base.select(F.col(name).alias("few"), "node"), "few").select("many", "node", F.lit(None).cast(base.schema["node"].dataType).alias("own"))
+        w = lambda by: Window.partitionBy("many").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        told = rows.unionByName(looks).withColumns({"before": F.last("own", True).over(w(F.asc("node"))), "after": F.last("own", True).over(w(F.desc("node")))}).filter("own is null")
+        ends = F.array(F.struct(F.col("node").alias("a"), F.col("before").alias("b")), F.struct(F.col("after").alias("a"), F.col("node").alias("b")))
+        return told.select(F.explode(ends).alias("s")).select("s.a", "s.b").filter("a is not null and b is not null")
+
+    steps = _earlier(base, "group", skips=SKIPS).unionByName(_earlier(base.filter("url is not null"), "url", skips=SKIPS)).unionByName(between(asked(alike(kinds).select("a", "b"), kinds), "kind")).unionByName(between(same, "group"))
     reached = least_reached(steps).select("node", F.col("label.id").alias("cluster"))
     return base.select("id", "node").join(reached, "node", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
@@ -161,24 +206,24 @@ def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:
     row that was matched, else from the cluster's first row; known: the id is history's.
     """
     clusters = cluster(current, "id", "title", "url", "at", "order")
-
-    def side(df: DataFrame, which: str) -> DataFrame:
-        return df.select(F.struct(F.lit(which).alias("side"), F.col("id").cast("string").alias("id")).alias("id"), "url", "at", F.array_distinct(tokens("title")).alias("tokens"), event_key("title").alias("key"), F.lit(which).alias("group"))
-
-    now, then = stored(side(current, "now")), stored(side(history, "then"))
-    cross = proposed(now.unionByName(then).select("id", "tokens", "group"))
-    cross = cross.select(F.when(F.col("a.side") == "now", F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.side") == "now", F.col("b")).otherwise(F.col("a")).alias("b"))
-    left, right = (df.select(F.col("id").alias(i), F.struct("at", "tokens").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))
-    near = _near(F.col("x.at"), F.col("y.at"))
-    alike = cross.join(left, "a").join(right, "b").filter(near & (overlap(F.col("x.tokens"), F.col("y.tokens")) >= SIMILAR)).select("a", "b")
-    l, r = (df.select("key", F.col("id").alias(i), F.col("at").alias(v)) for df, i, v in ((now, "a", "x"), (then, "b", "y")))  # noqa: E741
-    keyed = l.join(r, "key").filter(_near(F.col("x"), F.col("y"))).select("a", "b")
-    linked = now.select("url", F.col("id").alias("a")).join(then.select("url", F.col("id").alias("b")), "url").select("a", "b")
     row = F.col("id").cast("string")
     home = F.struct(F.col("event_id").cast("string").alias("event"), F.when(F.col("event_id").isNull(), row).alias("row"))
-    told = history.select(row.alias("old"), home.alias("home"), F.struct("order", row.alias("id")).alias("at"))
-    told = told.join(told.groupBy("home").agg(F.min("at").alias("first")), "home").select("old", "home", "first")
-    matches = alike.unionByName(keyed).unionByName(linked).select(F.col("a.id").alias("row"), F.col("b.id").alias("old")).distinct().join(told, "old")
-    named = clusters.withColumn("row", row).join(matches, "row").groupBy("cluster").agg(F.min(F.struct("first", "home")).alias("m")).select("cluster", F.col("m.home").alias("_home"))
+    past = history.select("title", "url", "at", home.alias("home"), F.struct("order", row.alias("id")).alias("told"))
+    past = past.join(past.groupBy("home").agg(F.min("told").alias("first")), "home").select("title", "url", "at", F.struct("first", "home").alias("m"))
+    now, then = _titled(current.select("id", "url", "at", "title"), "title"), _titled(past, "title")
+
+    # Rows of one title and time match alike: of history's ones the event that comes first counts.
+    kinds = now.groupBy("tokens", "key", "at").agg(F.lit(None).cast(then.schema["m"].dataType).alias("m")).withColumn("group", F.lit("now"))
+    kinds = stored(kinds.unionByName(then.groupBy("tokens", "key", "at").agg(F.min("m").alias("m")).withColumn("group", F.lit("then"))).withColumn("id", F.monotonically_increasing_id()))
+    of = lambda side, i, v: kinds.filter(F.col("group") == side).select(F.col("id").alias(i), F.struct("at", "key", "m").alias(v))
+    near = _near(F.col("x.at"), F.col("y.at"))
+    pairs = alike(kinds).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b")
+    met = pairs.join(of("now", "a", "x"), "a").join(of("then", "b", "y"), "b").filter(near).select("a", "y.m")
+    keyed = of("now", "a", "x").join(of("then", "b", "y"), F.col("x.key") == F.col("y.key")).filter(near).select("a", "y.m")
+    best = met.unionByName(keyed).groupBy("a").agg(F.min("m").alias("m"))
+    best = kinds.filter("group = 'now'").join(best, F.col("id") == F.col("a")).select("tokens", "key", "at", best["m"])
+    by_title = now.join(best, (now["tokens"] == best["tokens"]) & (now["key"] == best["key"]) & now["at"].eqNullSafe(best["at"])).select("id", best["m"])
+    by_url = now.select("id", "url").join(then.groupBy("url").agg(F.min("m").alias("m")), "url").select("id", "m")
+    named = clusters.join(by_title.unionByName(by_url), "id").groupBy("cluster").agg(F.min("m").alias("m")).select("cluster", F.col("m.home").alias("_home"))
     new = F.sha2(F.when(F.col("_home.row").isNotNull(), F.concat(F.lit("history:"), "_home.row")).otherwise(F.concat(F.lit("event:"), F.col("cluster").cast("string"))), 256)
     return clusters.join(named, "cluster", "left").select("id", "cluster", F.coalesce("_home.event", new).alias("event_id"), F.col("_home.event").isNotNull().alias("known"))
