@@ -111,17 +111,23 @@ class _Toggle(StatefulProcessor):
 def latest_state(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """user_id, ts, event_type: the last event of each user that a batch has events of.
 
-    A user's state is one value; ttl_ms: it is dropped so long after its last change (processing
-    time), which bounds the state by the users of that time, and drained() wants `once` then. To be
-    started in on_disk_state().
+    A user's state is one value, kept by an aggregate in the JVM; ttl_ms: it is dropped so long after
+    its last change (processing time), which bounds the state by the users of that time, takes Python
+    once a user and batch, and drained() wants `once` then. To be started in on_disk_state().
     """
+    if not ttl_ms:
+        last = F.max(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")).alias("last")
+        return events.groupBy("user_id").agg(last).select("user_id", "last.ts", "last.event_type")
     rows = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    return rows.groupBy("user_id").transformWithStateInPandas(_Last(ttl_ms), "user_id long, ts timestamp, event_type string", "Update", "ProcessingTime" if ttl_ms else "None")
+    return rows.groupBy("user_id").transformWithStateInPandas(_Last(ttl_ms), "user_id long, ts timestamp, event_type string", "Update", "ProcessingTime")
 
 
 def toggle_states(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """user_id, event_type, active of each key that a batch has events of; ttl_ms as in latest_state(), after which a key is off."""
-    return events.select("user_id", "event_type").groupBy("user_id", "event_type").transformWithStateInPandas(_Toggle(ttl_ms), "user_id long, event_type string, active boolean", "Update", "ProcessingTime" if ttl_ms else "None")
+    keyed = events.select("user_id", "event_type").groupBy("user_id", "event_type")
+    if not ttl_ms:
+        return keyed.agg((F.count("*") % 2 == 1).alias("active"))
+    return keyed.transformWithStateInPandas(_Toggle(ttl_ms), "user_id long, event_type string, active boolean", "Update", "ProcessingTime")
 
 
 def drained(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update", once: bool = False) -> list[dict]:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from skeinwork.operators import resolve
+from skeinwork.sources.listings import article_date
+from skeinwork.streaming import streams
 
 
 def shuffled(spark, run: Callable[[], object]) -> float:
@@ -40,3 +43,18 @@ def test_similar_titles_are_measured_once_and_listed_whole(spark):
     got, n = [], 1200
     assert shuffled(spark, lambda: got.append(resolve.similar_pairs(titles(spark, n, "u"), "id", "title").agg(F.count("*"), F.sum(F.col("b") - F.col("a")), F.min(F.col("b") - F.col("a"))).first())) < 3
     assert tuple(got[0]) == (n * (n - 1) // 2, n * (n * n - 1) // 6, 1)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_state_without_time_to_live_stays_in_the_jvm(spark):
+    events = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    assert "TransformWithState" not in plan(streams.toggle_states(events)) + plan(streams.latest_state(events))
+
+
+def test_a_page_is_read_once_for_its_date(spark):
+    pages = spark.createDataFrame([('<meta name="date" content="3 Mar 2024 10:00">',)], "body string").select(article_date(F.col("body"), F.lit("en")).alias("at"))
+    assert pages.first()["at"] == datetime(2024, 3, 3, 10)
+    assert pages._jdf.queryExecution().analyzed().toString().count("<meta") == 1
