@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skeinwork.functions.extract import let
 from skeinwork.functions.text import col
 
 #: Months by their German names.
@@ -21,7 +22,7 @@ def feed_time(c: Column | str) -> Column:
         x = F.regexp_replace(x, rf"(?<=[\d ]){name}$", f" {offset}" if name == "Z" else offset)
     x = F.regexp_replace(x, r"\s+", " ")
     forms = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm")
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in forms], F.try_to_timestamp(F.trim(col(c))))
+    return F.coalesce(let(x, lambda v: F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in forms])), F.try_to_timestamp(F.trim(col(c))))
 
 
 def german_date(c: Column | str) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from skeinwork.functions.dates import english_date, feed_time, german_date
+from skeinwork.functions.extract import let
 from skeinwork.functions.text import clean_html
 from skeinwork.functions.urls import external_id
 from skeinwork.sources.pages import meta_map
@@ -208,9 +209,8 @@ def _context_snippet(context: pd.Series, title: pd.Series) -> pd.Series:
 
 
 def article_date(body: Column, line: Column) -> Column:
-    """A page's date: its meta tags by name, its first time tag, JSON-LD, then a line of its text (line: `en`, `de` or null)."""
-    told = lambda x: F.coalesce(feed_time(x), F.when(line == "de", german_date(x).cast("timestamp")))
-    meta = meta_map(body)
+    """A page's date: its meta tags by name, its first time tag, JSON-LD, then a line of its text (line: `en`, `de` or null). What is read of the page is read once."""
+    told = lambda x: let(x, lambda v: F.coalesce(feed_time(v), F.when(line == "de", german_date(v).cast("timestamp"))))
     blocks = F.regexp_extract_all(body, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     kinds = "struct<datePublished:string,dateCreated:string,dateModified:string>"
     each = F.flatten(F.transform(blocks, lambda b: F.coalesce(F.from_json(F.trim(b), "array<string>"), F.array(b))))  # a list of objects, or one
@@ -218,7 +218,8 @@ def article_date(body: Column, line: Column) -> Column:
     blank = lambda x: F.nullif(x, F.lit(""))
     dates = F.transform(nodes, lambda n: told(F.coalesce(blank(n["datePublished"]), blank(n["dateCreated"]), F.when(line == "de", n["dateModified"]))))
     written = F.when(line == "de", german_date(body).cast("timestamp")).when(line == "en", english_date(body).cast("timestamp"))
-    return F.coalesce(*[told(blank(meta[k])) for k in DATE_NAMES], told(blank(F.regexp_extract(body, r"(?i)<time[^>]*datetime=[\"']([^\"']+)[\"']", 1))), F.get(F.filter(dates, lambda d: d.isNotNull()), 0), written)
+    named = let(meta_map(body), lambda meta: F.coalesce(*[told(blank(meta[k])) for k in DATE_NAMES]))
+    return F.coalesce(named, told(blank(F.regexp_extract(body, r"(?i)<time[^>]*datetime=[\"']([^\"']+)[\"']", 1))), F.get(F.filter(dates, lambda d: d.isNotNull()), 0), written)
 
 
 def scanned(listings: DataFrame, bodies: DataFrame) -> DataFrame:

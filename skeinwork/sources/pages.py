@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from skeinwork.functions.extract import let
 from skeinwork.functions.text import col
 
 BLOCKS, HIDDEN = frozenset({"p", "h1", "h2", "h3", "h4", "li", "div", "article", "section", "td", "blockquote"}), frozenset({"script", "style", "nav", "header", "footer", "aside", "form", "noscript"})
@@ -46,9 +47,12 @@ def meta_map(c: Column | str) -> Column:
     """Names or properties of meta tags with their content; the last of a name counts."""
     tags = F.regexp_extract_all(col(c), F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
     pairs = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"(?i)(?:name|property)=[\"']([^\"']*)[\"']", 1)).alias("k"), F.regexp_extract(t, r"(?i)content=[\"']([^\"']*)[\"']", 1).alias("v")))
-    named = F.filter(pairs, lambda p: p["k"] != "")
-    keys = F.array_distinct(F.transform(named, lambda p: p["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1)["v"]))
+
+    def mapped(named: Column) -> Column:
+        keys = F.array_distinct(F.transform(named, lambda p: p["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(named, lambda p: p["k"] == k), -1)["v"]))
+
+    return let(F.filter(pairs, lambda p: p["k"] != ""), mapped)
 
 
 def published(c: Column | str) -> Column:
