@@ -21,9 +21,10 @@ from skeinwork.operators.shared import stored
 REASONS = ("event_sent", "url_sent", "group_url", "deployment_sent", "group_deployment", "group_funding", "funding_sent")
 
 
-def keyed(items: DataFrame, title: str, preview: str, at: str) -> DataFrame:
-    """items with funding and deployment keys, computed once and stored: several probes read them."""
-    return stored(spread(items).withColumns({"funding": extract.funding_key(title, preview, at), "deployment": extract.deployment_key(title, preview, at)}))
+def keyed(items: DataFrame, title: str, preview: str, at: str, kinds: Sequence[str] = ("funding", "deployment")) -> DataFrame:
+    """items with keys of these kinds, computed once and stored: several probes read them."""
+    reads = {"funding": extract.funding_key, "deployment": extract.deployment_key}
+    return stored(spread(items).withColumns({kind: reads[kind](title, preview, at) for kind in kinds}))
 
 
 def _matches(items: DataFrame, history: DataFrame, kind: str, days: int, same) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import resolve
+from skeinwork.operators import history, resolve
 from skeinwork.sources.listings import article_date
 from skeinwork.streaming import streams
 
@@ -58,3 +58,8 @@ def test_a_page_is_read_once_for_its_date(spark):
     pages = spark.createDataFrame([('<meta name="date" content="3 Mar 2024 10:00">',)], "body string").select(article_date(F.col("body"), F.lit("en")).alias("at"))
     assert pages.first()["at"] == datetime(2024, 3, 3, 10)
     assert pages._jdf.queryExecution().analyzed().toString().count("<meta") == 1
+
+
+def test_only_the_keys_that_are_asked_for_are_read(spark):
+    items = spark.createDataFrame([("Acme raises $5 million in Series B", None, datetime(2024, 1, 2))], "title string, preview string, at timestamp")
+    assert history.keyed(items, "title", "preview", "at", ("funding",)).columns == ["title", "preview", "at", "funding"]
