@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.dates import feed_time
-from skeinwork.functions.text import collapse, html_text
+from skeinwork.functions.text import clean_html, collapse, html_text
 
 RAW_ITEM = "source_id string, url string, title string, snippet string, author string, published string, external_id string"
 #: Names under which feeds give each field, best first.
@@ -71,14 +71,15 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for node in _entries(xml or ""):
                 got = {k: _text(node, v) for k, v in FIELDS.items()} | {"source_id": source, "url": _link(node)}
                 if got["url"] and got["title"]:
+                    got |= {k: clean_html(got[k]) for k in ("title", "snippet")}
                     rows.append([got[n] for n in names])
         yield pd.DataFrame(rows, columns=names)
 
 
 def rss_items(bodies: DataFrame) -> DataFrame:
-    """Raw items of feed bodies (source_id, body); text cleaned, dates read."""
+    """Raw items of feed bodies (source_id, body); text cleaned by the workers that parse it, dates read."""
     out = bodies.select("source_id", "body").mapInPandas(_parse, RAW_ITEM)
-    return out.withColumns({"title": html_text("title"), "snippet": html_text("snippet"), "published_ts": feed_time("published")})
+    return out.withColumn("published_ts", feed_time("published"))
 
 
 WP_POST = "array<struct<id:bigint,slug:string,link:string,status:string,date:string,date_gmt:string,title:struct<rendered:string>,excerpt:struct<rendered:string>,content:struct<rendered:string>>>"

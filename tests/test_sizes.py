@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from skeinwork.operators import history, resolve
+from skeinwork.sources import feeds
 from skeinwork.sources.listings import article_date
 from skeinwork.streaming import streams
 
@@ -63,3 +64,10 @@ def test_a_page_is_read_once_for_its_date(spark):
 def test_only_the_keys_that_are_asked_for_are_read(spark):
     items = spark.createDataFrame([("Acme raises $5 million in Series B", None, datetime(2024, 1, 2))], "title string, preview string, at timestamp")
     assert history.keyed(items, "title", "preview", "at", ("funding",)).columns == ["title", "preview", "at", "funding"]
+
+
+def test_feeds_take_one_kind_of_python_worker(spark):
+    feed = "<rss><channel><item><title>A &amp;amp; B</title><link>https://a.org</link><description>&lt;p&gt;x&lt;/p&gt;</description></item></channel></rss>"
+    out = feeds.rss_items(spark.createDataFrame([("s", feed)], "source_id string, body string"))
+    assert "ArrowEvalPython" not in plan(out)
+    assert [(r["title"], r["snippet"]) for r in out.collect()] == [("A & B", "x")]
