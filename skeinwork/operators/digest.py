@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.operators import rank
+from skeinwork.operators.relational import small
 from skeinwork.operators.shared import stored
 
 
@@ -77,42 +78,44 @@ def weekly(candidates: DataFrame, limit: int, preferred: Sequence[str], weak: Se
     """week, place, id of each week's prepared rows; stored_last: sent ones are prepared first, by themselves.
 
     candidates: week, id, url, title, story, bucket, sent, manual, noise, signal, score, and
-    eligible if not all are. Rows that aren't eligible don't move. Which rows repeat one before
-    them is found for all rows of all weeks at once (first_seen_any), for each of the pools that
-    a choice draws on. Of a pool's rows that are left, no choice needs more than the first few
-    (each row before them can make no more than four of them a repeat) and the first of each
-    preferred bucket; so the task that prepares a week reads a number of rows that doesn't
-    grow with the week.
+    eligible if not all are. Rows that aren't eligible don't move. Of a pool's rows that repeat
+    none before them, no choice needs more than the first few (each row before them can make no
+    more than four of them a repeat) and the first of each preferred bucket: these are found for all
+    weeks at once (first_few_seen_any), without moving the others. So the task that prepares a
+    week reads a number of rows that doesn't grow with the week.
     """
     if "eligible" in candidates.columns:
         candidates = candidates.filter("eligible")
     read = candidates.select("week", "id", "url", "title", "story", "bucket", "sent", "manual", "noise", F.struct(F.col("manual").cast("int").alias("m"), *[c.alias(f"c{i}") for i, c in enumerate([-ranks, F.col("sent").cast("int"), F.col("signal"), F.col("score")])]).alias("best"), F.monotonically_increasing_id().alias("row"))
     rows = stored(read)
-    order = [F.desc("best"), F.col("id"), F.col("row")]
+    order, ties = [F.desc("best"), F.col("id"), F.col("row")], ("id", "row")
     keys = [F.col("id"), F.lower(F.trim("url")), F.trim(F.regexp_replace(F.lower("title"), r"\s+", " ")), F.col("story")]
-    # first_seen_any() takes the smallest first: places are told once, by a sort over all rows.
-    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    distinct = lambda df: rank.first_seen_any(df, "place", [], keys, [F.col("week")])
-
-    def first(df: DataFrame, n: int, *by: str) -> DataFrame:
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy("week", *by).orderBy("place"))).filter(F.col("_r") <= n).drop("_r")
-
     many = 5 * (limit + len(preferred)) + limit
+    if stored_last:  # repeats of all rows of a week count, whichever pool they are in
+        # first_seen_any() takes the smallest first: places are told once, by a sort over all rows.
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+        rows = stored(rank.first_seen_any(stored(placed), "place", [], keys, [F.col("week")]).drop("place"))
+
+    def pool(df: DataFrame, n: int, within: Sequence[str], part: str | None = None) -> DataFrame:
+        if not stored_last:
+            return rank.first_few_seen_any(df, "best", ties, keys, within, n, part)
+        ranked = lambda *by: F.row_number().over(Window.partitionBy(*within, *by).orderBy(*order))
+        first = df.withColumn("_r", ranked()).filter(F.col("_r") <= n)
+        if part:
+            first = first.unionByName(df.filter(F.col(part).isNotNull()).withColumn("_r", ranked(part)).filter("_r = 1")).dropDuplicates(["row"])
+        return stored(first.drop("_r"))
+
+    manual = pool(rows.filter("manual"), limit, ["week"])
+    rest = rows.join(manual.select("week", "id"), ["week", "id"], "left_anti").filter("not noise").select(rows.columns)
+    strong = rest.filter(~F.coalesce(F.col("bucket").isin(*weak), F.lit(False)) & F.col("sent").isNotNull())
+    few = manual.unionByName(pool(strong.withColumn("part", F.when(F.col("bucket").isin(*preferred), F.col("bucket"))), many, ["week", "sent"], "part").drop("part"))
     if stored_last:
-        placed = stored(distinct(placed))
-        distinct = lambda df: df
-    manual = stored(first(distinct(placed.filter("manual")), limit))
-    rest = placed.join(manual.select("week", "id"), ["week", "id"], "left_anti").filter("not noise")
-    strong = rest.filter(~F.coalesce(F.col("bucket").isin(*weak), F.lit(False)))
-    pools = [manual]
-    for pool in (distinct(strong.filter("sent")), distinct(strong.filter("not sent"))):
-        pool = stored(pool)
-        pools += [first(pool, many), first(pool.filter(F.col("bucket").isin(*preferred)), 1, "bucket")]
-    pools += [first(distinct(rest), many)] if not stored_last else [first(rest, many, "sent")]
-    few = pools[0]
-    for pool in pools[1:]:
-        few = few.unionByName(pool)
-    few = few.dropDuplicates(["place"]).drop("best", "row")
+        few = few.unionByName(pool(rest, many, ["week", "sent"]))
+    else:  # weeks that have enough without them don't look at weak ones
+        enough = few.groupBy("week").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= min(limit, 5)).select("week")
+        few = few.unionByName(pool(rest.join(small(enough), "week", "left_anti").select(rows.columns), many, ["week"]))
+    few = few.dropDuplicates(["row"])
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("week").orderBy(*order))).drop("best", "row")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen = (sent_first if stored_last else prepare)(pdf.sort_values("place").to_dict("records"), limit, preferred, weak)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinwork.operators.relational import small
 from skeinwork.operators.shared import dropped, own_folder, stored
 
 
@@ -86,6 +87,12 @@ def _met(rows: DataFrame, keys: DataFrame, total: int) -> DataFrame:
     return rows.join(F.broadcast(hot), "k").unionByName(rows.join(F.broadcast(hot.select("k")), "k", "left_anti").join(cold.hint("merge"), "k"))
 
 
+def _told(keys: Sequence[Column], within: Sequence[Column]) -> Column:
+    """A row's keys, none of them null or empty; those of different columns, or of rows that differ in `within`, never meet."""
+    told = [F.struct(F.lit(i).alias("i"), F.struct(*[w.alias(f"w{j}") for j, w in enumerate(within)], F.lit(0).alias("_")).alias("w"), k.cast("string").alias("v")) for i, k in enumerate(keys)]
+    return F.filter(F.array(*told), lambda k: k["v"] != "")
+
+
 def first_seen_any(df: DataFrame, row: str, order: Sequence[Column], keys: Sequence[Column], within: Sequence[Column] = ()) -> DataFrame:
     """Rows, in an order, of which no key has been seen on a row that stayed; null and empty keys don't count.
 
@@ -97,9 +104,8 @@ def first_seen_any(df: DataFrame, row: str, order: Sequence[Column], keys: Seque
     share costs each task one row where it is counted, and is broadcast where its rows meet it.
     """
     spark = df.sparkSession
-    told = [F.struct(F.lit(i).alias("i"), F.struct(*[w.alias(f"w{j}") for j, w in enumerate(within)], F.lit(0).alias("_")).alias("w"), k.cast("string").alias("v")) for i, k in enumerate(keys)]
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row).alias("row"))
-    keyed = df.select(F.col(row).alias("row"), place.alias("place"), F.explode_outer(F.filter(F.array(*told), lambda k: k["v"] != "")).alias("k"))
+    keyed = df.select(F.col(row).alias("row"), place.alias("place"), F.explode_outer(_told(keys, within)).alias("k"))
     keyed = stored(keyed)
     without = keyed.filter("k is null").select("row")
     open_, kept = stored(keyed.filter("k is not null")), own_folder(spark, "kept")
@@ -118,6 +124,60 @@ def first_seen_any(df: DataFrame, row: str, order: Sequence[Column], keys: Seque
     return df.join(spark.read.schema(without.schema).parquet(kept).withColumnRenamed("row", row), row, "left_semi")
 
 
+#: A group is asked for so many times the rows that it has to give, and for so many times more each time it hasn't enough that stay.
+MORE, FURTHER = 2, 8
+#: So often rows are looked up that may make others a repeat; a group that needs more is read whole.
+LOOKS = 3
+
+
+def first_few_seen_any(df: DataFrame, best: str, ties: Sequence[str], keys: Sequence[Column], within: Sequence[str], whole: int, part: str | None = None) -> DataFrame:
+    """Of the rows that first_seen_any() leaves of each group (`within`) the first `whole`, and the first of each `part` that isn't null.
+
+    The order is from the largest `best` down, then by `ties`, whose last column tells rows apart.
+    Whether a row stays follows from the rows before it that share a key with it, and from those
+    that these share keys with: beside the first rows of groups and parts only they are looked up, and no
+    others move. Groups of which too few rows stay are asked for more, until they have enough or end.
+    """
+    group, order, row = F.struct(*within).alias("_group"), [F.desc(best), *map(F.col, ties)], ties[-1]
+    rank_of = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    told, columns = _told(keys, [F.col(w) for w in within]), df.columns
+    ask, out = MORE, None
+    while True:
+        # A group's first rows are among the first of its parts: all of df is ranked once.
+        n, heads = ask * whole, 2 * ask
+        ranked = stored(df.withColumn("_p", rank_of(*within, *([part] if part else []))).filter(F.col("_p") <= n))
+        first, head = F.col("_w") <= n, F.lit(False) if part is None else F.col(part).isNotNull() & (F.col("_p") <= heads)
+        near = stored(ranked.withColumn("_w", rank_of(*within)).filter(first | head))
+        # No row comes before a group's first ones that isn't one of them.
+        all_, asked = near.select(columns), near.filter(~first)
+        for _ in range(LOOKS if part else 0):
+            wanted = stored(asked.select(F.col(best).alias("_best"), F.explode(told).alias("_k")).groupBy("_k").agg(F.min("_best").alias("_upto")))
+            sharers = df.select(*columns, F.explode(told).alias("_k")).join(small(wanted), "_k").filter(F.col(best) >= F.col("_upto")).select(columns)
+            asked = stored(sharers.dropDuplicates([row]).join(all_.select(row), row, "left_anti").select(columns))
+            if asked.isEmpty():
+                break
+            all_ = all_.unionByName(asked)
+        else:
+            if part:
+                open_ = small(asked.select(group).distinct())
+                all_ = all_.unionByName(df.withColumn("_group", group).join(open_, "_group", "left_semi").select(columns).join(all_.select(row), row, "left_anti").select(columns))
+        placed = stored(all_.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+        stay = first_seen_any(placed, "_place", [], keys, [F.col(w) for w in within]).select(row, F.lit(True).alias("_stays"))
+        decided = stored(near.join(stay, row, "left").withColumn("_stays", F.coalesce("_stays", F.lit(False))))
+        lacks = lambda by, of, asked_, n: decided.filter(of).groupBy(*by).agg(F.count("*").alias("_n"), F.count_if("_stays").alias("_has")).filter((F.col("_n") >= asked_) & (F.col("_has") < n)).select(group)
+        short = lacks(within, first, n, whole)
+        if part:
+            short = short.unionByName(lacks([*within, part], head, heads, 1))
+        short = stored(short.distinct())
+        stays = decided.filter("_stays").withColumn("_w", F.when(first, rank_of(*within, first))).withColumn("_p", F.when(head, rank_of(*within, part or within[0], head)))
+        got = stays.filter((F.col("_w") <= whole) | (F.col("_p") <= 1)).withColumn("_group", group).join(short, "_group", "left_anti").select(columns)
+        out = got if out is None else out.unionByName(got)
+        if short.isEmpty():
+            return stored(out)
+        df = stored(df.withColumn("_group", group).join(small(short), "_group", "left_semi").select(columns))
+        ask *= FURTHER
+
+
 def first_unlinked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id of the nodes that have no edge to an earlier one that stayed, each probed in order against those accepted so far.
 

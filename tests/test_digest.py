@@ -96,6 +96,27 @@ def test_rounds_equal_a_fold(spark):
     assert rank.first_seen_any(df.limit(0), "id", [], [F.col("a")]).count() == 0
 
 
+def test_first_few_are_those_of_all_rows(spark):
+    """Groups whose first rows are repeats again and again, chains of repeats across parts, parts that only rows far down have."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xyz"), rng.choice(["p", "p", "q", None]), 1000 - i, f"a{rng.randrange(80)}", rng.choice([None, "", f"b{rng.randrange(40)}"])) for i in range(200)]
+    rows += [(1000 + i, "many", "p", 1000 - i, "one", None) for i in range(10)] + [(1300 + i, "many", "q" if i else "p", 500 - i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(8)]
+    rows += [(2000 + i, "chain", "p" if i < 12 else "q", 500 - i, f"e{i // 2}", f"f{(i + 1) // 2}") for i in range(16)]
+    df = spark.createDataFrame(rows, "id long, g string, part string, best long, a string, b string").repartition(3)
+    wanted, kept = set(), {}
+    seen = set()
+    for i, g, part, _, a, b in sorted(rows, key=lambda r: (-r[3], r[0])):
+        keys = {(g, k, v) for k, v in (("a", a), ("b", b)) if v}
+        if not keys & seen:
+            seen |= keys
+            n = kept[g] = kept.get(g, 0) + 1
+            if n <= 2 or (part and (g, part) not in kept):
+                wanted.add(i)
+            kept[g, part] = True
+    got = [r["id"] for r in rank.first_few_seen_any(df, "best", ["id"], [F.col("a"), F.col("b")], ["g"], 2, "part").collect()]
+    assert len(got) == len(wanted) and set(got) == wanted and {1000, 1300} <= wanted
+
+
 @pytest.mark.parametrize("answer, wanted", [
     ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('Sure: {"a": {"b": 1}} done', '{"a": {"b": 1}}'), ('{"a": 1} {"b": 2}', None), ("none", None), (None, None), ("[1]", None),
 ])

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import history, resolve
+from skeinwork.operators import digest, history, resolve
 from skeinwork.sources import feeds
 from skeinwork.sources.listings import article_date
 from skeinwork.streaming import streams
@@ -46,6 +46,14 @@ def test_similar_titles_are_measured_once_and_listed_whole(spark):
     assert tuple(got[0]) == (n * (n - 1) // 2, n * (n * n - 1) // 6, 1)
 
 
+def test_a_week_moves_few_of_its_rows(spark):
+    i, got = F.col("id"), []
+    c = spark.range(40_000).select(F.lit("w").alias("week"), "id", F.concat(F.lit("https://o.example.org/"), i).alias("url"), F.concat(F.lit("order "), i).alias("title"), (i % 9000).cast("string").alias("story"), F.concat((i % 5).cast("string"), F.lit("-x")).alias("bucket"),
+                                   (i % 2 == 0).alias("sent"), (i % 9001 == 0).alias("manual"), (i % 13 == 0).alias("noise"), F.lit(0).alias("signal"), F.pmod(F.hash("id"), F.lit(1000)).alias("score"))
+    assert shuffled(spark, lambda: got.extend(digest.weekly(c, 20, ("4-x", "3-x", "2-x", "1-x", "0-x"), (), F.col("signal")).collect())) < 5
+    assert len(got) == 20 and {r["week"] for r in got} == {"w"}
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
