@@ -28,35 +28,28 @@ def keyed(items: DataFrame, title: str, preview: str, at: str, kinds: Sequence[s
 
 
 def _matches(items: DataFrame, history: DataFrame, kind: str, days: int, same) -> DataFrame:
-    """Ids of items that tell of one event with a row of history; both have key, id and at."""
+    """item_id, place of items that tell of one event with a row of history; both have key, id and at, history has place."""
     names = F.array(F.col(f"{kind}.entity"))
     if kind == "deployment":  # any of its names: those of two that match have one in common
         names = F.concat(names, F.coalesce(F.col(f"{kind}.pair"), F.array().cast("array<string>")))
-    side = lambda df: df.filter(F.col(kind).isNotNull()).select("item_id", "at", kind, F.explode(F.array_distinct(F.array_compact(names))).alias("on"))
-    both = interval_match(side(items), side(history), "on", "at", days + 1)
-    return both.filter(same(F.col(f"l.{kind}"), F.col(f"r.{kind}"), days)).select(F.col("l.item_id").alias("item_id")).distinct()
+    side = lambda df, *more: df.filter(F.col(kind).isNotNull()).select(*more, "at", kind, F.explode(F.array_distinct(F.array_compact(names))).alias("on"))
+    both = interval_match(side(items, "item_id"), side(history, "place"), "on", "at", days + 1)
+    return both.filter(same(F.col(f"l.{kind}"), F.col(f"r.{kind}"), days)).select(F.col("l.item_id").alias("item_id"), F.col("r.place").alias("place"))
 
 
 def suppressed(items: DataFrame, sent: DataFrame, shared: DataFrame) -> DataFrame:
     """item_id, reason (null: may go out).
 
     items, sent, shared: item_id, event_id, url, at, funding, deployment; sent are delivered
-    alerts, shared are posts of the group. Every probe is an equi join of its own; the reasons
-    are then read in their order.
+    alerts, shared are posts of the group. Probes of one key are one equi join, whichever side they
+    look at; the reasons are then read in their order.
     """
-    marks = {
-        "event_sent": items.join(sent.filter("event_id is not null").select("event_id").distinct(), "event_id", "left_semi").select("item_id"),
-        "url_sent": items.join(sent.select("url").distinct(), "url", "left_semi").select("item_id"),
-        "group_url": items.join(shared.select("url").distinct(), "url", "left_semi").select("item_id"),
-        "deployment_sent": _matches(items, sent, "deployment", 7, extract.same_deployment),
-        "group_deployment": _matches(items, shared, "deployment", 7, extract.same_deployment),
-        "group_funding": _matches(items, shared, "funding", 3, extract.same_funding),
-        "funding_sent": _matches(items, sent, "funding", 3, extract.same_funding),
-    }
-    found = None
-    for place, reason in enumerate(REASONS):
-        one = marks[reason].select("item_id", F.lit(place).alias("place"))
-        found = one if found is None else found.unionByName(one)
+    told = lambda key, of_sent, of_shared: sent.select(*key, F.lit(REASONS.index(of_sent)).alias("place")).unionByName(shared.select(*key, F.lit(REASONS.index(of_shared)).alias("place")))
+    urls = told(["url"], "url_sent", "group_url").groupBy("url").agg(F.min("place").alias("place"))
+    event = items.join(sent.filter("event_id is not null").select("event_id").distinct(), "event_id", "left_semi").select("item_id", F.lit(REASONS.index("event_sent")).alias("place"))
+    found = event.unionByName(items.select("item_id", "url").join(urls, "url").select("item_id", "place"))
+    found = found.unionByName(_matches(items, told(["at", "deployment"], "deployment_sent", "group_deployment"), "deployment", 7, extract.same_deployment))
+    found = found.unionByName(_matches(items, told(["at", "funding"], "funding_sent", "group_funding"), "funding", 3, extract.same_funding))
     first = found.groupBy("item_id").agg(F.min("place").alias("place"))
     names = F.array(*map(F.lit, REASONS))
     return items.select("item_id").join(first, "item_id", "left").select("item_id", F.when(F.col("place").isNotNull(), names[F.col("place")]).alias("reason"))

@@ -221,7 +221,7 @@ def iso_week(t: Tables):
     return t.orders.select("o_orderkey", F.extract(F.lit("YEAROFWEEK"), "o_orderdate").cast("long").alias("iso_year"), F.weekofyear("o_orderdate").cast("long").alias("iso_week"))
 
 
-def order_stories(t: Tables):
+def order_stories(t: Tables, *more: str):
     """Orders told as fundings, deployments and partnerships of their customers, in several wordings; every fifth says nothing."""
     k, who = F.col("o_orderkey"), F.lpad("o_custkey", 6, "0")
     millions, robots = (F.col("o_totalprice") / 10000).cast("int"), F.col("o_custkey") + 1000
@@ -232,7 +232,7 @@ def order_stories(t: Tables):
         .when(k % 5 == 2, F.concat(name, F.lit(" and "), other, F.lit(" Works deploy "), grouped, F.lit(" humanoids"))).when(k % 5 == 3, F.concat(name, F.lit(" partners with "), other, F.lit(" Group"))).otherwise("Nothing to see")
     )
     preview = F.when(k % 5 == 2, F.concat(name, F.lit(" and "), other, F.lit(" Works deploy "), grouped, F.lit(" Atlas robots in plants."))).when(k % 5 == 3, F.concat(name, F.lit(" partners with "), other, F.lit(" Group on housing.")))
-    return t.orders.select("o_orderkey", title.alias("title"), preview.alias("preview"), F.col("o_orderdate").cast("timestamp").alias("published"))
+    return t.orders.select("o_orderkey", title.alias("title"), preview.alias("preview"), F.col("o_orderdate").cast("timestamp").alias("published"), *more)
 
 
 _NAME = "lpad(CAST(o_custkey AS VARCHAR), 6, '0')"
