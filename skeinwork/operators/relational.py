@@ -19,6 +19,12 @@ def small(dim: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(dim) if dim.limit(rows + 1).count() <= rows else dim
 
 
+def apart(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """table, marked to meet others by a shuffle if it has been counted to be large: a broadcast goes whole through the driver."""
+    rows = SMALL_ROWS if rows is None else rows
+    return table.hint("merge") if table.limit(rows + 1).count() > rows else table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for work that costs much a row: rows are dealt anew only if df has fewer parts than there are cores, then into several for each."""
     cores = df.sparkSession.sparkContext.defaultParallelism

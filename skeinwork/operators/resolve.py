@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions.extract import let
 from skeinwork.functions.text import event_key, overlap, tokens
 from skeinwork.operators.rank import best_of
+from skeinwork.operators.relational import apart
 from skeinwork.operators.shared import dropped, stored
 
 SIMILAR = 0.75
@@ -95,6 +96,7 @@ def least_reached(steps: DataFrame) -> DataFrame:
     nodes = steps.select(F.col("a").alias("node"), F.least("a", "b").alias("label")).unionByName(steps.select(F.col("b").alias("node"), F.col("b").alias("label")))
     labels = stored(nodes.groupBy("node").agg(F.min("label").alias("label")))
     while True:
+        labels = apart(labels)
         near = steps.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
@@ -162,16 +164,18 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
     row of the smaller group to the one before it in the other, and to it from the one after it,
     as the others follow: no pairs of rows are listed, and a group's rows aren't read once a pair.
     """
-    base = _titled(items.select(F.col(item_id).alias("id"), F.struct(F.col(order).alias("order"), F.col(item_id).alias("id")).alias("node"), F.col(url).alias("url"), F.col(at).alias("at"), F.col(title).alias("title")), "title")
+    base = _titled(items.select(F.col(item_id).alias("id"), F.col(order).alias("order"), F.col(url).alias("url"), F.col(at).alias("at"), F.col(title).alias("title")), "title")
     group = F.sha2(F.concat_ws("|", "key", F.coalesce(F.col("at").cast("string"), F.lit(""))), 256)
     base = base.withColumn("group", group).withColumn("kind", F.sha2(F.concat_ws("|", "group", F.array_join("tokens", " ")), 256))
     base = stored(base)
     first = lambda c: F.first(c).alias(c)
     # Numbers in place of digests from here on: most of what is moved are pairs of them.
-    keyed = stored(base.groupBy("group").agg(first("key"), first("at"), F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()))
+    keyed = apart(stored(base.groupBy("group").agg(first("key"), first("at"), F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id())))
     kinds = base.groupBy("kind").agg(first("tokens"), first("group"), first("at"), F.count("*").alias("n")).join(keyed.select("group", "number"), "group")
-    kinds = stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at", "n"))
-    base = stored(base.select("id", "node", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "node", "url", "group", F.col("number").alias("kind")))
+    kinds = apart(stored(kinds.select(F.monotonically_increasing_id().alias("id"), "kind", "tokens", F.col("number").alias("group"), "at", "n")))
+    base = base.select("id", "order", "url", "kind").join(kinds.select("kind", "group", F.col("id").alias("number")), "kind").select("id", "order", "url", "group", F.col("number").alias("kind"))
+    # Rows are told by their place in order, a number too: labels are what the rounds send about.
+    base = apart(stored(base.repartitionByRange("order", "id").sortWithinPartitions("order", "id").withColumn("node", F.monotonically_increasing_id())))
 
     def asked(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """few, many: the groups of each pair whose times are near, the smaller one first; of: id, at, n."""
@@ -192,8 +196,8 @@ def cluster(items: DataFrame, item_id: str, title: str, url: str, at: str, order
         return told.select(F.explode(ends).alias("s")).select("s.a", "s.b").filter("a is not null and b is not null")
 
     steps = _earlier(base, "group", skips=SKIPS).unionByName(_earlier(base.filter("url is not null"), "url", skips=SKIPS)).unionByName(between(asked(alike(kinds).select("a", "b"), kinds), "kind")).unionByName(between(same, "group"))
-    reached = least_reached(steps).select("node", F.col("label.id").alias("cluster"))
-    return base.select("id", "node").join(reached, "node", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    reached = base.select("id", "node").join(least_reached(steps), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return reached.join(base.select(F.col("node").alias("label"), F.col("id").alias("cluster")), "label").select("id", "cluster")
 
 
 def event_ids(current: DataFrame, history: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import digest, history, resolve
+from skeinwork.operators import digest, history, relational, resolve
 from skeinwork.sources import feeds
 from skeinwork.sources.listings import article_date
 from skeinwork.streaming import streams
@@ -58,6 +58,18 @@ def plan(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
+def test_large_tables_of_clusters_do_not_go_through_the_driver(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(relational, "SMALL_ROWS", 50)
+    items = titles(spark, 200, "u").withColumn("title", F.concat("title", F.lit(" at place"), F.col("id") % 90))
+    out = resolve.cluster(items, "id", "title", "url", "at", "order")
+    assert "Join" in plan(out) and "Broadcast" not in plan(out)
+    rows = [r.asDict() for r in items.collect()]
+    base = pd.DataFrame([{"id": r["id"], "order": r["order"], "url": r["url"], "at": pd.NaT, "tokens": [w for w in r["title"].split() if w != "at"], "key": "-".join([w for w in r["title"].split() if w != "at"][:6])} for r in rows])
+    assert {r["id"]: r["cluster"] for r in out.collect()} == dict(resolve.fold_clusters(base).itertuples(index=False))
+
+
 def test_state_without_time_to_live_stays_in_the_jvm(spark):
     events = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double")
     assert "TransformWithState" not in plan(streams.toggle_states(events)) + plan(streams.latest_state(events))
