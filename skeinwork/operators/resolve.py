@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.extract import let
 from skeinwork.functions.text import event_key, overlap, tokens
 from skeinwork.operators.rank import best_of
 from skeinwork.operators.relational import apart
@@ -39,8 +38,9 @@ def alike(sets: DataFrame) -> DataFrame:
     sets: id, tokens (distinct), group. Of n tokens, such a set shares ceil(SIMILAR * n) with
     a set as large or larger, so one at least of its n - ceil(SIMILAR * n) + 1 rarest tokens:
     only these propose, to all sets that hold them and aren't smaller. A pair is measured where it
-    meets, and counts at the rarest token that both have, so no proposal is ever moved; a
-    token's sets meet in parts of at most some PART of them.
+    meets, and counts at the rarest token that both have, so no proposal is ever moved, and a set
+    is passed over that has too few tokens from that one on; a token's sets meet in parts of at
+    most some PART of them.
     """
     each = stored(sets.select("id", "group", F.explode("tokens").alias("t")))
     counts = each.groupBy("t").agg(F.count("*").alias("count")).filter("count > 1").select("t", F.struct("count", F.monotonically_increasing_id().alias("number")).alias("word"))
@@ -49,14 +49,15 @@ def alike(sets: DataFrame) -> DataFrame:
     words = each.join(stored(counts).hint("merge"), "t", "left").groupBy("id", "group").agg(F.array_sort(F.collect_list(F.coalesce("word", alone))).alias("words"))
     words = stored(words).select("id", "group", F.size("words").alias("n"), F.transform(F.filter("words", lambda w: w["count"] > 0), lambda w: w["number"]).alias("held"), F.posexplode("words").alias("place", "word")).filter("word.count > 0")
     parts = F.ceil(F.col("word.count") / PART).cast("int")
-    few = words.filter(F.col("place") < F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n")) + 1)
-    left = few.select(F.col("word.number").alias("t"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("p"), F.col("group").alias("g"), F.col("held").alias("x"))
-    right = words.select(F.col("word.number").alias("t"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("q"), F.col("group").alias("h"), F.col("held").alias("y"))
+    need = F.ceil(F.lit(SIMILAR) * F.col("n")).cast("int")
+    few = words.filter(F.col("place") < F.col("n") - need + 1)
+    left = few.select(F.col("word.number").alias("t"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("a"), F.col("n").alias("p"), need.alias("need"), F.col("group").alias("g"), F.col("held").alias("x"))
+    right = words.select(F.col("word.number").alias("t"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("b"), F.col("n").alias("q"), (F.col("n") - F.col("place")).alias("left"), F.col("group").alias("h"), F.col("held").alias("y"))
     # A number of parts that is asked for stays: rows are few here, but their pairs are the work.
     dealt = lambda df: df.repartition(8 * sets.sparkSession.sparkContext.defaultParallelism, "t", "part")
-    both = dealt(left).join(dealt(right).hint("merge"), ["t", "part"]).filter("g <> h and (p < q or (p = q and a < b))")
-    shared = lambda s: F.when((s[0] == F.col("t")) & (F.size(s) / F.col("p") >= SIMILAR), F.size(s) / F.col("p"))
-    return both.select("a", "b", let(F.array_intersect("x", "y"), shared).alias("measure")).filter("measure is not null")
+    both = dealt(left).join(dealt(right).hint("merge"), ["t", "part"]).filter("g <> h and (p < q or (p = q and a < b)) and left >= need")
+    shared = F.array_intersect("x", "y")  # compiled as it stands; within a lambda it wouldn't be
+    return both.filter((F.size(shared) >= F.col("need")) & (shared[0] == F.col("t"))).select("a", "b", (F.size(shared) / F.col("p")).alias("measure"))
 
 
 def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = None, days: int = 10) -> DataFrame:
@@ -64,6 +65,7 @@ def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = N
 
     Titles of one key and one set of tokens are measured once. Their rows are listed as pairs only
     at the end, chunk by chunk, so that no task lists more than CHUNK times CHUNK pairs of two chunks.
+    Rows without an id, or of one id, make no pair.
     """
     side = _titled(items.select(F.col(item_id).alias("id"), (F.col(at) if at else F.lit(None).cast("timestamp")).alias("at"), F.col(title).alias("title")), "title")
     kinds = stored(side.groupBy("key", "tokens").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id()))
@@ -72,14 +74,15 @@ def similar_pairs(items: DataFrame, item_id: str, title: str, at: str | None = N
     own = kinds.filter("n > 1").select(F.col("number").alias("a"), F.col("number").alias("b"), F.when(F.size("tokens") > 0, 1.0).otherwise(0.0).alias("measure"))
     pairs = stored(alike(kinds.select(F.col("number").alias("id"), "tokens", F.col("number").alias("group"))).unionByName(keyed).unionByName(own))
 
-    members = side.select("id", "at", "key", "tokens").join(kinds, ["key", "tokens"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
-    row = F.struct("id", "at") if at else F.struct("id")
+    members = side.select("id", "at", "key", "tokens").filter("id is not null").join(kinds, ["key", "tokens"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)).cast("int"))
+    row = F.struct("id", "at") if at else F.col("id")
+    of = lambda c: F.col(f"{c}.id" if at else c)
     chunks = stored(members.groupBy("number", "part").agg(F.collect_list(row).alias("rows")))
     x, y = (chunks.select(F.col("number").alias(i), F.col("part").alias(p), F.col("rows").alias(v)) for i, p, v in (("a", "p", "x"), ("b", "q", "y")))
     met = pairs.join(x, "a").join(y, "b").filter("a <> b or p <= q").repartition(8 * items.sparkSession.sparkContext.defaultParallelism, "a", "p", "b", "q")
     listed = met.select(((F.col("a") == F.col("b")) & (F.col("p") == F.col("q"))).alias("one"), F.round("measure", 6).alias("similarity"), "y", F.explode("x").alias("x")).select("one", "similarity", "x", F.explode("y").alias("y"))
     near = _near(F.col("x.at"), F.col("y.at"), days) if at else F.lit(True)
-    return listed.filter((~F.col("one") | (F.col("x.id") < F.col("y.id"))) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), "similarity")
+    return listed.filter(((of("x") < of("y")) | (~F.col("one") & (of("x") > of("y")))) & near).select(F.least(of("x"), of("y")).alias("a"), F.greatest(of("x"), of("y")).alias("b"), "similarity")
 
 
 def _near(x: Column, y: Column, days: int = 10) -> Column:

@@ -46,6 +46,27 @@ def test_similar_titles_are_measured_once_and_listed_whole(spark):
     assert tuple(got[0]) == (n * (n - 1) // 2, n * (n * n - 1) // 6, 1)
 
 
+def test_ids_alone_are_moved_to_be_listed(spark):
+    got, n, copies = [], 12_000, 1500
+    items = spark.range(n).select("id", F.concat(F.lit("alpha beta gamma solo"), (F.col("id") / copies).cast("long")).alias("title"))
+    assert shuffled(spark, lambda: got.append(resolve.similar_pairs(items, "id", "title").count())) < 1.6
+    assert got == [n * (n - 1) // 2]
+
+
+def test_rows_of_one_id_or_none_make_no_pair(spark):
+    rows = [(1, "alpha beta gamma one"), (1, "alpha beta gamma two"), (None, "alpha beta gamma one"), (2, "alpha beta gamma one"), (None, "alpha beta gamma"), (2, "alpha beta gamma one")]
+    out = resolve.similar_pairs(spark.createDataFrame(rows, "id long, title string"), "id", "title")
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 0.75)] * 2 + [(1, 2, 1.0)] * 2
+
+
+def test_titles_are_measured_by_compiled_code(spark):
+    sets = spark.createDataFrame([(1, ["alpha", "beta", "gamma", "delta"], 1), (2, ["alpha", "beta", "gamma", "word"], 2), (3, ["alpha", "more", "gamma", "word"], 3)], "id long, tokens array<string>, group long")
+    out = resolve.alike(sets)
+    assert {tuple(r) for r in out.collect()} == {(1, 2, 0.75), (2, 3, 0.75)}
+    measured = [line for line in plan(out).split("\n") if "array_intersect" in line]
+    assert measured and not any("lambdafunction" in line for line in measured)
+
+
 def test_a_week_moves_few_of_its_rows(spark):
     i, got = F.col("id"), []
     c = spark.range(40_000).select(F.lit("w").alias("week"), "id", F.concat(F.lit("https://o.example.org/"), i).alias("url"), F.concat(F.lit("order "), i).alias("title"), (i % 9000).cast("string").alias("story"), F.concat((i % 5).cast("string"), F.lit("-x")).alias("bucket"),
